@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, minhash_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_exact_dedup": exact_dedup.query}
+    return {"op2_minhash_dedup": minhash_dedup.query, "op9_exact_dedup": exact_dedup.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.SQL}
+    return {"op2_minhash_dedup": minhash_dedup.SQL, "op9_exact_dedup": exact_dedup.SQL}
