@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash_dedup, packing
+from . import byte_bpe, exact_dedup, minhash_dedup, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minhash_dedup": minhash_dedup.query, "op8_packing": packing.query, "op9_exact_dedup": exact_dedup.query}
+    return {
+        "op2_minhash_dedup": minhash_dedup.query,
+        "op4_byte_bpe": byte_bpe.query,
+        "op8_packing": packing.query,
+        "op9_exact_dedup": exact_dedup.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
