@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, minhash_dedup, packing
+from . import byte_bpe, exact_dedup, line_crf, minhash_dedup, packing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash_dedup": minhash_dedup.query,
         "op4_byte_bpe": byte_bpe.query,
+        "op5_line_crf": line_crf.query,
         "op8_packing": packing.query,
         "op9_exact_dedup": exact_dedup.query,
+        "op10_quality_rules": quality_rules.query,
     }
 
 
