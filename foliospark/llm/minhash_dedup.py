@@ -8,11 +8,12 @@ Candidates. Documents with equal shingle sets are first collapsed to a class (it
 signatures of the representatives are cut in BANDS bands of ROWS coordinates; a band value that two representatives share is a bucket.
 With 42 bands of 6 rows a pair at similarity 0.8 is missed with probability below 3e-6.
 
-Links. Within a bucket not all pairs are formed: the smallest member that has not yet served is the bucket's centre and every
-member *of another component* is compared with it. Links that the exact check confirms (full sets of word pairs, from
-the texts) join components; buckets that still hold several components get further centres, twice as many each round, until every bucket
-lies in one component or all its members have served. So no pair of a bucket that could still join two components stays
-unexamined, and a bucket of n copies costs n comparisons.
+Links. First each bucket's members are compared with its smallest member only, which joins groups of copies at a cost of one
+comparison a copy. Buckets that then lie in one component are done. In the others, members of *different* components are compared by
+their sketches (a byte of each coordinate), blockwise: a large bucket is dealt into blocks of about BLOCK members, and each
+pair of blocks is one bounded piece of work, so neither rows nor tasks grow with a bucket's size beyond that. Pairs whose sketches
+agree in AGREE of K places go on to the exact check; at similarity 0.8 fewer than one pair in a million fails that. So no pair
+of a bucket that could still join two components stays unexamined. Every link is confirmed on the full shingle sets of both texts.
 
 Components come from alternating min-label steps with pointer jumping, all as joins; nothing is gathered on the driver.
 
@@ -34,6 +35,7 @@ from . import common
 
 BANDS, ROWS = 42, 6
 K = BANDS * ROWS
+AGREE, BLOCK = 169, 256
 SPACE = 1 << 20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 #: Words whose hashes a task remembers.
@@ -100,18 +102,20 @@ def _signed(width: int):
     def run(batches):
         known, pi = WordHashes(), permutation()
         for batch in batches:
-            counts, marks, keys = [], [], []
+            counts, marks, keys, sketches = [], [], [], []
             for text in common.texts(batch):
                 w = words(text)
                 if not w:
-                    counts.append(0), marks.append(None), keys.append([])
+                    counts.append(0), marks.append(None), keys.append([]), sketches.append(None)
                     continue
                 sets = np.unique(shingle_hashes(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), width))
                 counts.append(len(sets))
                 marks.append(hashlib.blake2b(sets.tobytes(), digest_size=16).digest())
                 cells = np.unique(((sets * _M2) >> np.uint64(44)).astype(np.int64))
-                keys.append(bands(signature(cells, pi)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "mark", "keys"])
+                sig = signature(cells, pi)
+                keys.append(bands(sig))
+                sketches.append(sig.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "mark", "keys", "sketch"])
 
     return run
 
@@ -148,8 +152,8 @@ def verified(pairs: DataFrame, text: DataFrame, width: int, percent: int) -> Dat
     return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(_checked(width, percent), f"a {kind}, b {kind}")
 
 
-def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """node, component: the smallest node that the undirected links (a, b) reach. Labels may hold a start."""
+def components(links: DataFrame) -> DataFrame:
+    """node, component: the smallest node that the undirected links (a, b) reach."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter(F.col("a") != F.col("b")).distinct()
     both = common.written(both, "links")
     state = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
@@ -164,68 +168,94 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         state = after.select("node", "component")
 
 
+def _compared(percent: int):
+    """Rows sorted by key, low, high to the pairs of different components whose sketches agree."""
+
+    def pairs(group: pa.Table) -> tuple[list, list]:
+        ids, comp = group.column("doc_id").to_pylist(), group.column("component").to_pylist()
+        sizes, block = group.column("n_shingles").to_numpy(), group.column("block").to_numpy()
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        marks = np.unique(np.array(comp, dtype=object).astype(str), return_inverse=True)[1]
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), K)
+        ones, twos = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        a, b = [], []
+        for k, i in enumerate(ones):
+            rest = twos[k + 1 :] if low == high else twos
+            rest = rest[(marks[rest] != marks[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))]
+            for j in rest[(sketch[rest] == sketch[i]).sum(axis=1) >= AGREE]:
+                a.append(max(ids[i], ids[j])), b.append(min(ids[i], ids[j]))
+        return a, b
+
+    def run(batches):
+        held, kind = None, None
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            if not table.num_rows:
+                continue
+            key = np.stack([table.column(c).to_numpy() for c in ("key", "low", "high")], axis=1)
+            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
+            a, b = [], []
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                more = pairs(table.slice(x, y - x))
+                a += more[0]
+                b += more[1]
+            held = table.slice(cut[-1]).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+        if held is not None and held.num_rows:
+            a, b = pairs(held)
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+
+    return run
+
+
+def blockwise(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs a > b of buckets' members (key, doc_id, n_shingles, component) that lie in different components and look alike."""
+    sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = open_.join(sizes, "key").join(sketches, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "n_shingles", "component", "sketch")
+    kind = open_.schema["doc_id"].dataType.simpleString()
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_compared(percent), f"a {kind}, b {kind}").distinct()
+
+
 def linked(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = common.written(docs.select("doc_id", "text").mapInArrow(_signed(width), f"doc_id {kind}, n_shingles bigint, mark binary, keys array<bigint>"), "signatures")
+    rows = common.written(docs.select("doc_id", "text").mapInArrow(_signed(width), f"doc_id {kind}, n_shingles bigint, mark binary, keys array<bigint>, sketch binary"), "signatures")
     known = rows.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = known.groupBy("mark").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("size"))
-    members = known.join(classes.filter("size > 1").select("mark", "head"), "mark").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).filter("a <> b").distinct()
-    heads = known.join(classes, (known["mark"] == classes["mark"]) & (known["doc_id"] == classes["head"]), "left_semi")
+    members = known.select("mark", "doc_id").join(classes.filter("size > 1").select("mark", "head"), "mark").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).filter("a <> b")
+    heads = known.select("doc_id", "n_shingles", "mark", "keys").join(classes.select("mark", F.col("head").alias("doc_id")), ["mark", "doc_id"], "left_semi")
     entries = heads.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    crowds = entries.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("key")
-    entries = common.written(entries.join(crowds, "key").distinct(), "buckets")
+    crowds = entries.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("c"), F.max("doc_id").alias("high")).filter("c.doc_id <> high").select("key", "c")
+    entries = common.written(entries.join(crowds, "key").select("key", "doc_id", "n_shingles", F.col("c.doc_id").alias("b"), F.col("c.n_shingles").alias("nb")), "buckets")
     text = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
 
-    def sides(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
         # rows that share a doc_id are one node: its largest text stands for it
-        return common.written(text.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
-
-    links, served, centres, tried = None, None, 1, None
-    while True:
-        if links is None:
-            standing = entries.withColumn("component", F.col("doc_id"))
-        else:
-            labels = components(links)
-            standing = entries.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-            # buckets that lie in one component are done
-            open_ = standing.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-            standing = common.written(standing.join(open_, "key"), "open")
-            if not standing.head(1):
-                break
-        free = standing if served is None else standing.join(served, ["key", "doc_id"], "left_anti")
-        chosen = free.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "component")).alias("c")) if centres == 1 else smallest(free, centres)
-        chosen = common.written(chosen.select("key", F.col("c.doc_id").alias("b"), F.col("c.n_shingles").alias("nb"), F.col("c.component").alias("cb")), "centres")
-        if links is not None and not chosen.head(1):
-            break
-        pairs = standing.join(chosen, "key").filter((F.col("component") != F.col("cb")) & (100 * F.least("n_shingles", "nb") >= percent * F.greatest("n_shingles", "nb")))
-        pairs = pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
-        pairs = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs.union(members).distinct()
-        pairs = common.written(pairs, "pairs")
-        found = common.written(verified(pairs, sides(pairs), width, percent), "links")
-        links = found if links is None else common.written(links.union(found), "links")
-        tried = pairs if tried is None else tried.union(pairs)
-        picked = chosen.select("key", F.col("b").alias("doc_id"))
-        served = picked if served is None else served.union(picked)
-        centres *= 2
+        texts = text.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+        return common.written(verified(pairs, common.written(texts, "texts"), width, percent), "links")
+
+    similar = entries.filter((F.col("doc_id") != F.col("b")) & (100 * F.least("n_shingles", "nb") >= percent * F.greatest("n_shingles", "nb")))
+    stars = common.written(similar.select(F.col("doc_id").alias("a"), "b").union(members).distinct(), "pairs")
+    links = confirmed(stars)
+    labels = components(links)
+    standing = entries.select("key", "doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = standing.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    open_ = common.written(standing.join(mixed, "key"), "open")
+    pairs = common.written(blockwise(open_, known.select("doc_id", "sketch").dropDuplicates(["doc_id"]), percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    if pairs.head(1):
+        more = confirmed(pairs)
+        if more.head(1):
+            labels = components(links.union(more))
     out = rows.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def smallest(rows: DataFrame, n: int) -> DataFrame:
-    """The n smallest members of each bucket, found by n rounds of a minimum that partial aggregation shrinks first."""
-    value = F.struct("doc_id", "n_shingles", "component")
-    taken = rows.groupBy("key").agg(F.min(value).alias("c"))
-    out, last = taken, taken
-    for _ in range(n - 1):
-        last = rows.join(last.withColumnRenamed("c", "_last"), "key").filter(value > F.col("_last")).groupBy("key").agg(F.min(value).alias("c"))
-        last = common.written(last, "centres")
-        out = out.union(last)
-    return out
-
-
 def deduplicated(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """The rows of docs that stay: of each component the smallest doc_id."""
     gone = linked(docs, width, percent).filter(~F.col("kept")).select("doc_id").distinct()
