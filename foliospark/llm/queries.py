@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, line_crf, minhash_dedup, packing, pii, quality_rules
+from . import byte_bpe, exact_dedup, line_crf, minhash_dedup, packing, pii, quality_rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": pii.query,
         "op2_minhash_dedup": minhash_dedup.query,
+        "op3_toxicity": toxicity.query,
         "op4_byte_bpe": byte_bpe.query,
         "op5_line_crf": line_crf.query,
         "op8_packing": packing.query,
