@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, context_tree, exact_dedup, line_crf, minhash_dedup, packing, pii, quality_rules, toxicity
+from . import byte_bpe, context_tree, exact_dedup, line_crf, minhash_dedup, packing, passages, pii, quality_rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": toxicity.query,
         "op4_byte_bpe": byte_bpe.query,
         "op5_line_crf": line_crf.query,
+        "op6_passages": passages.query,
         "op7_context_tree": context_tree.query,
         "op8_packing": packing.query,
         "op9_exact_dedup": exact_dedup.query,
