@@ -8,8 +8,8 @@ Candidates. Documents with equal shingle sets are first collapsed to a class (it
 signatures of the representatives are cut in BANDS bands of ROWS coordinates; a band value that two representatives share is a bucket.
 With 42 bands of 6 rows a pair at similarity 0.8 is missed with probability below 3e-6.
 
-Links. First each bucket's members are compared with its smallest member only, which joins groups of copies at a cost of one
-comparison a copy. Buckets that then lie in one component are done. In the others, members of *different* components are compared by
+Links. First each bucket's members are compared with few of them only (the smallest, and the first in STARS hashed orders), which
+joins groups of copies at a bounded number of comparisons a copy. Buckets that then lie in one component are done. In the others, members of *different* components are compared by
 their sketches (a byte of each coordinate), blockwise: a large bucket is dealt into blocks of about BLOCK members, and each
 pair of blocks is one bounded piece of work, so neither rows nor tasks grow with a bucket's size beyond that. Pairs whose sketches
 agree in AGREE of K places go on to the exact check; at similarity 0.8 fewer than one pair in a million fails that. So no pair
@@ -35,7 +35,7 @@ from . import common
 
 BANDS, ROWS = 42, 6
 K = BANDS * ROWS
-AGREE, BLOCK = 169, 256
+AGREE, BLOCK, STARS = 169, 256, 4
 SPACE = 1 << 20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 #: Words whose hashes a task remembers.
@@ -178,12 +178,20 @@ def _compared(percent: int):
         marks = np.unique(np.array(comp, dtype=object).astype(str), return_inverse=True)[1]
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), K)
         ones, twos = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        # of a pair in two components one member at least is outside the largest component: only those are looped over
+        most = np.bincount(marks).argmax()
         a, b = [], []
-        for k, i in enumerate(ones):
-            rest = twos[k + 1 :] if low == high else twos
+
+        def meet(i: int, rest: np.ndarray) -> None:
             rest = rest[(marks[rest] != marks[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))]
             for j in rest[(sketch[rest] == sketch[i]).sum(axis=1) >= AGREE]:
                 a.append(max(ids[i], ids[j])), b.append(min(ids[i], ids[j]))
+
+        for i in ones[marks[ones] != most]:
+            meet(i, ones[(marks[ones] == most) | (ones > i)] if low == high else twos)
+        if low != high:
+            for i in twos[marks[twos] != most]:
+                meet(i, ones[marks[ones] == most])
         return a, b
 
     def run(batches):
@@ -229,8 +237,11 @@ def linked(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     members = known.select("mark", "doc_id").join(classes.filter("size > 1").select("mark", "head"), "mark").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).filter("a <> b")
     heads = known.select("doc_id", "n_shingles", "mark", "keys").join(classes.select("mark", F.col("head").alias("doc_id")), ["mark", "doc_id"], "left_semi")
     entries = heads.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    crowds = entries.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("c"), F.max("doc_id").alias("high")).filter("c.doc_id <> high").select("key", "c")
-    entries = common.written(entries.join(crowds, "key").select("key", "doc_id", "n_shingles", F.col("c.doc_id").alias("b"), F.col("c.n_shingles").alias("nb")), "buckets")
+    member = F.struct("doc_id", "n_shingles")
+    # the smallest member and those that come first in STARS other orders, the same ones in all buckets
+    centres = [F.min(member).alias("c0"), *(F.min_by(member, F.xxhash64("doc_id", F.lit(i))).alias(f"c{i}") for i in range(1, STARS + 1))]
+    crowds = entries.groupBy("key").agg(*centres, F.max("doc_id").alias("high")).filter("c0.doc_id <> high").select("key", F.array_distinct(F.array(*(f"c{i}" for i in range(STARS + 1)))).alias("centres"))
+    entries = common.written(entries.join(crowds, "key"), "buckets")
     text = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -239,8 +250,10 @@ def linked(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
         texts = text.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
         return common.written(verified(pairs, common.written(texts, "texts"), width, percent), "links")
 
-    similar = entries.filter((F.col("doc_id") != F.col("b")) & (100 * F.least("n_shingles", "nb") >= percent * F.greatest("n_shingles", "nb")))
-    stars = common.written(similar.select(F.col("doc_id").alias("a"), "b").union(members).distinct(), "pairs")
+    fit = F.filter("centres", lambda c: (c["doc_id"] != F.col("doc_id")) & (100 * F.least(F.col("n_shingles"), c["n_shingles"]) >= percent * F.greatest(F.col("n_shingles"), c["n_shingles"])))
+    near = entries.select("doc_id", fit.alias("fit")).filter("size(fit) > 0").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("fit"))).alias("fit"))
+    similar = near.select("doc_id", F.explode("fit.doc_id").alias("b")).select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b"))
+    stars = common.written(similar.union(members).distinct(), "pairs")
     links = confirmed(stars)
     labels = components(links)
     standing = entries.select("key", "doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
