@@ -29,6 +29,12 @@ def includes(files: DataFrame) -> dict[str, str]:
     return {r["path"].rsplit("/", 1)[-1]: r["text"] for r in files.select("path", "text").collect()}
 
 
+def spread(sources: DataFrame) -> DataFrame:
+    """Few large files of sources dealt over all cores: the kernels cost far more than moving the texts once."""
+    cores = sources.sparkSession.sparkContext.defaultParallelism
+    return sources.repartition(cores, "path") if len(sources.inputFiles()) < cores else sources
+
+
 def _each(make, schema: str, files: dict[str, str] | None):
     """make(text, files) gives rows; a failure gives one row with the error."""
     types = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}

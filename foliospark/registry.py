@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import citing, numbering
+from .plans import citing, kernels, numbering, sections, texts
 
-PLANS = (numbering, citing)
+PLANS = (numbering, citing, sections, texts, kernels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
