@@ -125,10 +125,11 @@ def groups(docs: DataFrame, verify: bool = True) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     names = docs.columns
-    rows = common.written(docs.withColumn("_uid", F.monotonically_increasing_id()), "rows")
-    marks = groups(rows.select(F.struct("doc_id", "_uid").alias("doc_id"), "text"))
-    gone = marks.filter(~F.col("kept")).select(F.col("doc_id._uid").alias("_uid"))
-    return rows.join(gone, "_uid", "left_anti").select(*names)
+    # the row as one struct, so that no column of its own can clash
+    rows = common.written(docs.select(F.struct(*names).alias("all"), F.monotonically_increasing_id().alias("uid")), "rows")
+    marks = groups(rows.select(F.struct("all.doc_id", "uid").alias("doc_id"), F.col("all.text").alias("text")))
+    gone = marks.filter(~F.col("kept")).select(F.col("doc_id.uid").alias("uid"))
+    return rows.join(gone, "uid", "left_anti").select("all.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
