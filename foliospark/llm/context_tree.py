@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DEPTH, BLOCK, END = 5, 12_000_000, b"\xff"
+DEPTH, BLOCK, END = 4, 12_000_000, b"\xff"
 
 
 def serialised(words: list[bytes]) -> bytes:
