@@ -389,7 +389,7 @@ class Lexer:
                 self.macros[t.show()] = m
             elif u.text in PRIMITIVES:
                 self.macros[t.show()] = Macro([], [], primitive=u.text)
-            else:
+            elif u != t:
                 self.macros[t.show()] = Macro([], [u])
         elif name in ("newcommand", "renewcommand", "providecommand", "DeclareRobustCommand"):
             self.star()
@@ -508,10 +508,7 @@ class Lexer:
                     t = m.char
                 elif m is not None and m.primitive is None:
                     self.spend()
-                    if m.body == [t] and not m.args:
-                        out.append(t)
-                    else:
-                        self.push(self.substitute(m.body, self.capture(m.args)))
+                    self.push(self.substitute(m.body, self.capture(m.args)))
                     continue
                 elif (name := self.meaning_of(t)) is not None:
                     self.spend()
