@@ -40,7 +40,7 @@ NEEDS = {"email": "contains(t, '@')", "ip": "t RLIKE '[0-9]\\\\.[0-9]+\\\\.[0-9]
 GENERATORS = {
     "groups": (r"(?<![0-9A-Za-z.+])(?:\\([0-9]{2,4}\\)[ ]?)?[0-9]{2,5}(?:[ .-][0-9]{2,5}){1,5}(?![0-9A-Za-z])", "t RLIKE '[0-9][ .)-]+[0-9]'"),
     "spelled": r"[A-Za-z0-9._-]{2,40}(?: ?[\\[(] ?at ?[\\])] ?| at )[A-Za-z0-9-]{2,40}(?:(?: ?[\\[(] ?dot ?[\\])] ?| dot )[A-Za-z]{2,20}){1,3}",
-    "token": (r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{14,200}={0,2}(?![A-Za-z0-9+/_-])", "t RLIKE '[A-Za-z+/_-][0-9]|[0-9][A-Za-z+/_-]'"),
+    "token": (r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{14,200}={0,2}(?![A-Za-z0-9+/_-])", "t RLIKE '[A-Za-z+/_-][0-9]|[0-9][A-Za-z+/_-]'"),
     "account": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "t RLIKE '[A-Z]{2}[0-9]{2}'"),
     "colons": (r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){3,7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])", "t RLIKE '[0-9a-fA-F]:[0-9a-fA-F]'"),
 }
