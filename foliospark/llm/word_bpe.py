@@ -53,8 +53,8 @@ class WordBpe:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, self.rank[at], len(self.keys))
 
-    def words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces, each non-empty and merged on its own."""
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, each non-empty and merged on its own, side by side; and how many each has."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
         symbols, owner = self.inner[raw], np.repeat(np.arange(len(words)), sizes)
@@ -86,7 +86,7 @@ class WordBpe:
         owner = np.concatenate([x for x, _ in done]) if done else np.empty(0, np.int64)
         symbols = np.concatenate([x for _, x in done]) if done else np.empty(0, np.int64)
         order = np.argsort(owner, kind="stable")
-        return np.split(symbols[order].astype("<u4"), np.cumsum(np.bincount(owner, minlength=len(words)))[:-1])
+        return symbols[order].astype("<u4"), np.bincount(owner, minlength=len(words))
 
     def _learn(self, stretches: list[str]) -> None:
         if len(self.known) + len(stretches) > REMEMBERED:
@@ -100,9 +100,8 @@ class WordBpe:
             else:
                 slow.append(s)
         if quick:
-            ids = self.words(pieces)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            blob = np.concatenate(ids).tobytes() if ids else b""
+            ids, sizes = self.words(pieces)
+            blob = ids.tobytes()
             at = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])] * 4
             self.known.update(zip(quick, (blob[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), strict=True))
         for s, e in zip(slow, self.library.encode_batch(slow, add_special_tokens=False) if slow else (), strict=True):
