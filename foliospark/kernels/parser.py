@@ -34,6 +34,29 @@ SYMBOLS = {
     "-": "SOFT HYPHEN", "times": "MULTIPLICATION SIGN", "div": "DIVISION SIGN", "pm": "PLUS-MINUS SIGN", "mp": "MINUS-OR-PLUS SIGN", "cdot": "DOT OPERATOR", "ast": "ASTERISK OPERATOR", "star": "STAR OPERATOR", "circ": "RING OPERATOR", "bullet": "BULLET OPERATOR", "cap": "INTERSECTION", "cup": "UNION", "vee": "LOGICAL OR", "wedge": "LOGICAL AND", "setminus": "SET MINUS", "oplus": "CIRCLED PLUS", "otimes": "CIRCLED TIMES", "leq": "LESS-THAN OR EQUAL TO", "le": "LESS-THAN OR EQUAL TO", "geq": "GREATER-THAN OR EQUAL TO", "ge": "GREATER-THAN OR EQUAL TO", "neq": "NOT EQUAL TO", "ne": "NOT EQUAL TO", "equiv": "IDENTICAL TO", "approx": "ALMOST EQUAL TO", "sim": "TILDE OPERATOR", "simeq": "ASYMPTOTICALLY EQUAL TO", "cong": "APPROXIMATELY EQUAL TO", "propto": "PROPORTIONAL TO", "subset": "SUBSET OF", "supset": "SUPERSET OF", "subseteq": "SUBSET OF OR EQUAL TO", "supseteq": "SUPERSET OF OR EQUAL TO", "in": "ELEMENT OF", "ni": "CONTAINS AS MEMBER", "notin": "NOT AN ELEMENT OF", "vdash": "RIGHT TACK", "dashv": "LEFT TACK", "models": "TRUE", "perp": "UP TACK", "parallel": "PARALLEL TO", "mid": "DIVIDES", "ll": "MUCH LESS-THAN", "gg": "MUCH GREATER-THAN",
     "leftarrow": "LEFTWARDS ARROW", "rightarrow": "RIGHTWARDS ARROW", "to": "RIGHTWARDS ARROW", "gets": "LEFTWARDS ARROW", "leftrightarrow": "LEFT RIGHT ARROW", "Leftarrow": "LEFTWARDS DOUBLE ARROW", "Rightarrow": "RIGHTWARDS DOUBLE ARROW", "Leftrightarrow": "LEFT RIGHT DOUBLE ARROW", "uparrow": "UPWARDS ARROW", "downarrow": "DOWNWARDS ARROW", "mapsto": "RIGHTWARDS ARROW FROM BAR", "infty": "INFINITY", "forall": "FOR ALL", "exists": "THERE EXISTS", "neg": "NOT SIGN", "lnot": "NOT SIGN", "emptyset": "EMPTY SET", "nabla": "NABLA", "partial": "PARTIAL DIFFERENTIAL", "sum": "N-ARY SUMMATION", "prod": "N-ARY PRODUCT", "int": "INTEGRAL", "oint": "CONTOUR INTEGRAL", "surd": "SQUARE ROOT", "top": "DOWN TACK", "bot": "UP TACK", "angle": "ANGLE", "prime": "PRIME", "aleph": "ALEF SYMBOL", "ell": "SCRIPT SMALL L", "wp": "SCRIPT CAPITAL P", "Re": "BLACK-LETTER CAPITAL R", "Im": "BLACK-LETTER CAPITAL I", "langle": "MATHEMATICAL LEFT ANGLE BRACKET", "rangle": "MATHEMATICAL RIGHT ANGLE BRACKET", "lfloor": "LEFT FLOOR", "rfloor": "RIGHT FLOOR", "lceil": "LEFT CEILING", "rceil": "RIGHT CEILING",
 }
+#: Further relations, operators and signs.
+SYMBOLS |= {
+    "prec": "PRECEDES", "succ": "SUCCEEDS", "preceq": "PRECEDES ABOVE SINGLE-LINE EQUALS SIGN", "succeq": "SUCCEEDS ABOVE SINGLE-LINE EQUALS SIGN", "asymp": "EQUIVALENT TO", "doteq": "APPROACHES THE LIMIT", "bowtie": "BOWTIE", "smile": "SMILE", "frown": "FROWN", "amalg": "AMALGAMATION OR COPRODUCT", "uplus": "MULTISET UNION", "wr": "WREATH PRODUCT", "dagger": "DAGGER", "ddagger": "DOUBLE DAGGER", "diamond": "DIAMOND OPERATOR", "owns": "CONTAINS AS MEMBER", "land": "LOGICAL AND", "lor": "LOGICAL OR",
+    "triangleleft": "WHITE LEFT-POINTING SMALL TRIANGLE", "triangleright": "WHITE RIGHT-POINTING SMALL TRIANGLE", "bigtriangleup": "WHITE UP-POINTING TRIANGLE", "bigtriangledown": "WHITE DOWN-POINTING TRIANGLE", "triangle": "WHITE UP-POINTING TRIANGLE", "bigcirc": "LARGE CIRCLE", "hbar": "PLANCK CONSTANT OVER TWO PI", "imath": "LATIN SMALL LETTER DOTLESS I", "jmath": "LATIN SMALL LETTER DOTLESS J", "flat": "MUSIC FLAT SIGN", "natural": "MUSIC NATURAL SIGN", "sharp": "MUSIC SHARP SIGN", "clubsuit": "BLACK CLUB SUIT", "diamondsuit": "WHITE DIAMOND SUIT", "heartsuit": "WHITE HEART SUIT", "spadesuit": "BLACK SPADE SUIT", "vdots": "VERTICAL ELLIPSIS", "cdots": "MIDLINE HORIZONTAL ELLIPSIS", "ddots": "DOWN RIGHT DIAGONAL ELLIPSIS", "backslash": "REVERSE SOLIDUS", "vert": "VERTICAL LINE", "Vert": "DOUBLE VERTICAL LINE", "lbrace": "LEFT CURLY BRACKET", "rbrace": "RIGHT CURLY BRACKET", "lbrack": "LEFT SQUARE BRACKET", "rbrack": "RIGHT SQUARE BRACKET", "coprod": "N-ARY COPRODUCT",
+    "nearrow": "NORTH EAST ARROW", "searrow": "SOUTH EAST ARROW", "swarrow": "SOUTH WEST ARROW", "nwarrow": "NORTH WEST ARROW", "hookleftarrow": "LEFTWARDS ARROW WITH HOOK", "hookrightarrow": "RIGHTWARDS ARROW WITH HOOK", "iff": "LONG LEFT RIGHT DOUBLE ARROW", "longmapsto": "LONG RIGHTWARDS ARROW FROM BAR", "rightleftharpoons": "RIGHTWARDS HARPOON OVER LEFTWARDS HARPOON",
+}
+#: Families whose members' names follow from their parts: bases, and the Unicode names of the parts.
+_WAYS = {"left": "LEFTWARDS", "right": "RIGHTWARDS", "leftright": "LEFT RIGHT", "up": "UPWARDS", "down": "DOWNWARDS", "updown": "UP DOWN"}
+_CIRCLED = {"plus": "PLUS", "minus": "MINUS", "times": "TIMES", "slash": "DIVISION SLASH", "dot": "DOT OPERATOR"}
+for _w, _n in _WAYS.items():
+    SYMBOLS |= {f"{_w}arrow": f"{_n} ARROW", f"{_w.capitalize()}arrow": f"{_n} DOUBLE ARROW"}
+    if _w in ("left", "right", "leftright"):
+        SYMBOLS |= {f"long{_w}arrow": f"LONG {_n} ARROW", f"Long{_w}arrow": f"LONG {_n} DOUBLE ARROW"}
+    if _w in ("left", "right"):
+        SYMBOLS |= {f"{_w}harpoon{_t}": f"{_n} HARPOON WITH BARB {_t.upper()}WARDS" for _t in ("up", "down")}
+for _c, _n in _CIRCLED.items():
+    SYMBOLS[f"o{_c}"] = f"CIRCLED {_n}"
+    if _c in ("plus", "times", "dot"):
+        SYMBOLS[f"bigo{_c}"] = f"N-ARY CIRCLED {_n.removesuffix(' OPERATOR')} OPERATOR"
+for _s, _n in {"cap": "INTERSECTION", "cup": "UNION", "vee": "LOGICAL OR", "wedge": "LOGICAL AND"}.items():
+    SYMBOLS[f"big{_s}"] = f"N-ARY {_n}"
+for _s, _n in {"sqcap": "SQUARE CAP", "sqcup": "SQUARE CUP", "sqsubset": "SQUARE IMAGE OF", "sqsupset": "SQUARE ORIGINAL OF", "sqsubseteq": "SQUARE IMAGE OF OR EQUAL TO", "sqsupseteq": "SQUARE ORIGINAL OF OR EQUAL TO"}.items():
+    SYMBOLS[_s] = _n
 FUNCTIONS = frozenset("arccos arcsin arctan arg cos cosh cot coth csc deg det dim exp gcd hom inf ker lg lim liminf limsup ln log max min Pr sec sin sinh sup tan tanh".split())
 LITERALS = frozenset("{}$&#%_ ")
 LIGATURES = {"?`": "¿", "!`": "¡", "---": "—", "--": "–", "``": "“", "''": "”", "`": "‘", "'": "’"}
