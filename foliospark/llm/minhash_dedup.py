@@ -237,11 +237,14 @@ def linked(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     members = known.select("mark", "doc_id").join(classes.filter("size > 1").select("mark", "head"), "mark").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).filter("a <> b")
     heads = known.select("doc_id", "n_shingles", "mark", "keys").join(classes.select("mark", F.col("head").alias("doc_id")), ["mark", "doc_id"], "left_semi")
     entries = heads.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
+    # most keys are held by one document: they go first, on nothing but keys and ids
+    crowds = entries.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("key")
+    crowded = common.written(entries.join(crowds, "key"), "crowded")
     member = F.struct("doc_id", "n_shingles")
     # the smallest member and those that come first in STARS other orders, the same ones in all buckets
     centres = [F.min(member).alias("c0"), *(F.min_by(member, F.xxhash64("doc_id", F.lit(i))).alias(f"c{i}") for i in range(1, STARS + 1))]
-    crowds = entries.groupBy("key").agg(*centres, F.max("doc_id").alias("high")).filter("c0.doc_id <> high").select("key", F.array_distinct(F.array(*(f"c{i}" for i in range(STARS + 1)))).alias("centres"))
-    entries = common.written(entries.join(crowds, "key"), "buckets")
+    stars = crowded.groupBy("key").agg(*centres).select("key", F.array_distinct(F.array(*(f"c{i}" for i in range(STARS + 1)))).alias("centres"))
+    entries = crowded.join(stars, "key")
     text = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -256,7 +259,7 @@ def linked(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     stars = common.written(similar.union(members).distinct(), "pairs")
     links = confirmed(stars)
     labels = components(links)
-    standing = entries.select("key", "doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    standing = crowded.select("key", "doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = standing.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     open_ = common.written(standing.join(mixed, "key"), "open")
     pairs = common.written(blockwise(open_, known.select("doc_id", "sketch").dropDuplicates(["doc_id"]), percent).join(stars, ["a", "b"], "left_anti"), "pairs")
