@@ -343,6 +343,21 @@ def test_planted_passages(spark):
     assert got == {i for v in groups.values() if len(v) > 1 for i in v}
 
 
+def elements(words):
+    return np.array([hash(" ".join(words[i : i + 5])) & 0x7FFFFFFFFFFFFFFF for i in range(len(words) - 4)], dtype=np.uint64)
+
+
+def test_edits_after_a_passage_do_not_lose_it():
+    r = random.Random(6)
+    one = [r.choice(WORDS) for _ in range(331)]
+    two = [f"edit{i}" if i == 44 or i >= 90 and i % 20 == 10 else w for i, w in enumerate(one)]
+    got = passages.matched(elements(one), elements(two), [(0, 326, 0)], 5, 50, 80)
+    assert got and min(x for x, *_ in got) == 0 and any(x == 0 and y >= 90 for x, y, *_ in got)
+    for x, y, u, v in got:
+        a, b = set(elements(one[x:y]).tolist()), set(elements(two[u:v]).tolist())
+        assert 5 * len(a & b) >= 4 * len(a | b)
+
+
 # ---- personal data
 
 
