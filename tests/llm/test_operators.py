@@ -351,13 +351,28 @@ def test_edits_after_a_passage_do_not_lose_it():
     r = random.Random(6)
     one = [r.choice(WORDS) for _ in range(331)]
     two = [f"edit{i}" if i == 44 or i >= 90 and i % 20 == 10 else w for i, w in enumerate(one)]
-    got = passages.matched(elements(one), elements(two), [(0, 326, 0)], 5, 50, 80)
+    got = passages.matched(elements(one), elements(two), [(0, 326, 0, 326, 0)], 5, 50, 80)
     assert got and min(x for x, *_ in got) == 0 and any(x == 0 and y >= 90 for x, y, *_ in got)
     for x, y, u, v in got:
         a, b = set(elements(one[x:y]).tolist()), set(elements(two[u:v]).tolist())
         assert 5 * len(a & b) >= 4 * len(a | b)
 
 
+def test_words_put_in_are_found_beside_strays(spark):
+    r = random.Random(8)
+
+    def text(n):
+        return [r.choice(WORDS) for _ in range(n)]
+
+    stray, docs = text(7), []
+    for i in range(20):
+        p, left, right = text(61), text(60), text(60)
+        docs.append((2 * i, " ".join(text(20) + stray + left + p + right + stray + text(20))))
+        docs.append((2 * i + 1, " ".join(text(20) + stray + text(60) + p[:30] + ["new"] + p[30:] + text(60) + stray + text(20))))
+    got = {(x["doc_id"], x["rep_doc_id"]) for x in passages.passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert {(2 * i + 1, 2 * i) for i in range(20)} <= got
+
+
 # ---- personal data
 
 
