@@ -373,6 +373,20 @@ def test_words_put_in_are_found_beside_strays(spark):
     assert {(2 * i + 1, 2 * i) for i in range(20)} <= got
 
 
+def test_members_of_hot_groups_meet(spark):
+    r = random.Random(9)
+
+    def text(n):
+        return [r.choice(WORDS) for _ in range(n)]
+
+    # every run of a shared passage is hot: it is put together from lines that many strangers hold too
+    lines = [text(13) for _ in range(4)]
+    docs = [(i, " ".join(text(50) + lines[i % 3] + lines[i % 3 + 1] + text(50))) for i in range(40)]
+    docs += [(100 + i, " ".join(text(50) + [w for x in lines for w in x] + text(50))) for i in range(2)]
+    got = {(x["doc_id"], x["rep_doc_id"]) for x in passages.passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {(101, 100)}
+
+
 # ---- personal data
 
 
