@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -387,6 +388,21 @@ def test_members_of_hot_groups_meet(spark):
     assert got == {(101, 100)}
 
 
+def test_recall_at_the_bound():
+    r, n, texts = random.Random(10), 6000, []
+    for _ in range(n):
+        one = [r.choice(WORDS) for _ in range(50)]
+        two = list(one)
+        two[r.randrange(5, 45)] = "edit"  # Jaccard 41 / 51
+        texts += [" ".join(one), " ".join(two)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2 * n), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    keys = defaultdict(set)
+    for b in passages._windows(5, 46)([batch]):
+        for d, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            keys[d].add(k)
+    assert sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(n)) >= 0.997 * n
+
+
 # ---- personal data
 
 
