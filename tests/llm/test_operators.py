@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import inspect
 import itertools
 import math
 import random
@@ -305,6 +306,10 @@ def test_bytes_are_a_distribution(spark):
     assert abs(sum(10 ** r["lp"] for r in context_tree.tree(rows, 2).collect()) - 1) < 1e-9
 
 
+def test_contexts_span_five_bytes():
+    assert inspect.signature(context_tree.scored).parameters["depth"].default >= 5
+
+
 # ---- passages
 
 
