@@ -437,6 +437,17 @@ def test_candidates_and_redaction(spark):
     assert got[1] == "so password=[SECRET] and mail [EMAIL], card [CARD]" and got[2] == docs[1][1]
 
 
+def test_long_groups_and_long_tokens_are_candidates(spark):
+    r = random.Random(5)
+    secret = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(420))
+    texts = ["call 0171 234567 now", "Tel: 01712345678 now", "card 378282246310005 now", f"password={secret} now", "tel (030) 123456 now"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, t string")
+    got = {x["doc_id"]: {c["text"] for c in x["raw"]} for x in docs.withColumn("raw", F.expr(pii._generated())).collect()}
+    assert [got[i] for i in range(5)] == [{"0171 234567"}, {"01712345678"}, {"378282246310005"}, {secret}, {"(030) 123456"}]
+    redacted = {x["doc_id"]: x["text"] for x in pii.redacted(docs.withColumnRenamed("t", "text")).collect()}
+    assert redacted[0] == "call [PHONE] now" and redacted[2] == "card [CARD] now" and redacted[3] == "password=[SECRET] now"
+
+
 # ---- rules
 
 
