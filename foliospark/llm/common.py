@@ -14,6 +14,7 @@ _SHIPPED = "foliospark.llm.shipped"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -22,12 +23,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; only where it is unset, a local one."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; only where it is unset and Spark runs in one process, a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isDefined():
             return str(own.get()).rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         root = f"file://{tempfile.mkdtemp(prefix='foliospark-')}"
@@ -64,6 +67,15 @@ def lower_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sends texts to Python in smaller batches than Spark's ten thousand rows, so that long ones fit in a worker's memory."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = (spark.conf.get(name) or "").rstrip("b")
+        now = int(now) if now.lstrip("-").isdigit() else 0
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
+
+
 def texts(batch, name: str = "text") -> list[str]:
     """A string column of an Arrow batch as Python strings; null counts as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]

@@ -1,25 +1,31 @@
 """Near duplicates by circulant MinHash, banding and exact Jaccard verification.
 
-Signature. Shingles are hashed to [0, D) by a first permutation-like hash, and a second permutation pi of [0, D), shifted
-circularly by k, gives coordinate k: min over the set of pi[(s - k) mod D]. The K shifted values of a shingle are neighbours in
-pi, so one contiguous slice per shingle yields all coordinates; two permutations serve K of them.
+Signature. Shingles are hashed to cells of [0, 2**32) by a first permutation; a second permutation pi of the same space, shifted circularly by
+k, gives coordinate k: the minimum over the set of pi(cell - k). So two permutations serve all K coordinates. Both are mixings that can be
+undone, so no table is held and no cell is shared by shift or size.
 
 Candidates. Documents with equal shingle sets are first collapsed to a class (its smallest doc_id stands for it). The
 signatures of the representatives are cut in BANDS bands of ROWS coordinates; a band value that two representatives share is a bucket.
-With 42 bands of 6 rows a pair at similarity 0.8 is missed with probability below 3e-6.
-
-Links. First each bucket's members are compared with few of them only (the smallest, and the first in STARS hashed orders), which
-joins groups of copies at a bounded number of comparisons a copy. Buckets that then lie in one component are done. In the others, members of *different* components are compared by
-their sketches (a byte of each coordinate), blockwise: a large bucket is dealt into blocks of about BLOCK members, and each
-pair of blocks is one bounded piece of work, so neither rows nor tasks grow with a bucket's size beyond that. Pairs whose sketches
-agree in AGREE of K places go on to the exact check; at similarity 0.8 fewer than one pair in a million fails that. So no pair
-of a bucket that could still join two components stays unexamined. Every link is confirmed on the full shingle sets of both texts.
-
-Components come from alternating min-label steps with pointer jumping, all as joins; nothing is gathered on the driver.
+With 42 bands of 6 rows a pair at similarity 0.8 is missed with probability below 3e-6 were coordinates independent; tests measure it.
+
+Links, in three steps whose rows are linear in members:
+1. Each member of a bucket meets the bucket's smallest member, its root. This joins copies at one comparison for each root of a document.
+2. The members of one root (of buckets of three or more) form a group. In groups that hold several components, each member meets the
+   group's first STARS members in hashed orders, unless they are in one component by now.
+3. In groups that still hold several components, all members outside the largest one, the strangers, meet all members. Strangers are dealt
+   into parts of PART, members into slices of SLICE; one task at a time holds a part's sets and lets a slice pass, so every pair of
+   different components is compared within tasks, and only links leave them.
+In all steps pairs whose sketches (a byte of each coordinate) agree in fewer than AGREE of K places are left out before texts are
+moved or read; at similarity 0.8 fewer than one pair in a million is. No pair of a bucket that could still join two components stays
+unexamined, and every link is confirmed on the full shingle sets of both texts.
+
+Components come from alternating min-label steps with pointer jumping, all as joins; nothing is gathered on the driver. Scratch tables go as
+soon as what reads them is written.
 
 Defined results: null, empty and word-less texts have no shingles, are linked with nothing and stay; a text with fewer words than
-the shingle length is one shingle; rows that share a doc_id are one node; a row without doc_id is linked with nothing
-and stays, with a null component_id; extra columns don't matter; an empty table gives an empty result.
+the shingle length is one shingle; rows that share a doc_id are one node, which has the equal texts of all its rows and the near ones of its
+largest text; a row without doc_id is linked with nothing and stays, with a null component_id; equal documents fall to the smallest
+doc_id, so ties don't arise; very long texts are read whole; extra columns don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,8 +41,10 @@ from . import common
 
 BANDS, ROWS = 42, 6
 K = BANDS * ROWS
-AGREE, BLOCK, STARS = 169, 256, 4
-SPACE = 1 << 20
+AGREE, STARS = 169, 4
+#: Strangers whose sets a task holds at once, members that pass them, and parts of a bucket's rows in joins by its key.
+PART, SLICE, SALTS = 256, 2048, 16
+_SHIFTS = np.arange(K, dtype=np.uint32)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 #: Words whose hashes a task remembers.
 REMEMBERED = 500_000
@@ -73,18 +81,21 @@ def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def permutation(space: int = SPACE, coordinates: int = K) -> np.ndarray:
-    """pi, written twice over at the seam, so that a shifted slice never wraps."""
-    pi = np.random.Generator(np.random.PCG64(20240607)).permutation(space).astype(np.uint32)
-    return np.concatenate([pi[-coordinates:], pi])
+def pi(cells: np.ndarray) -> np.ndarray:
+    """The second permutation of [0, 2**32), in place."""
+    cells ^= cells >> np.uint32(16)
+    cells *= np.uint32(0x85EBCA6B)
+    cells ^= cells >> np.uint32(13)
+    cells *= np.uint32(0xC2B2AE35)
+    cells ^= cells >> np.uint32(16)
+    return cells
 
 
-def signature(cells: np.ndarray, pi: np.ndarray, coordinates: int = K) -> np.ndarray:
-    """Coordinates K-1 .. 0 of the circulant MinHash of a non-empty array of cells of [0, SPACE)."""
-    view = np.lib.stride_tricks.sliding_window_view(pi, coordinates)
-    best = np.full(coordinates, np.iinfo(np.uint32).max, dtype=np.uint32)
-    for at in range(0, len(cells), 4096):
-        np.minimum(best, view[cells[at : at + 4096]].min(axis=0), out=best)
+def signature(cells: np.ndarray, shifts: np.ndarray = _SHIFTS) -> np.ndarray:
+    """The circulant MinHash of a non-empty array of cells: a coordinate for each shift."""
+    best = np.full(len(shifts), np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(cells), 512):
+        np.minimum(best, pi(cells[at : at + 512, None] - shifts).min(axis=0), out=best)
     return best
 
 
@@ -100,7 +111,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 def _signed(width: int):
     def run(batches):
-        known, pi = WordHashes(), permutation()
+        known = WordHashes()
         for batch in batches:
             counts, marks, keys, sketches = [], [], [], []
             for text in common.texts(batch):
@@ -111,8 +122,7 @@ def _signed(width: int):
                 sets = np.unique(shingle_hashes(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), width))
                 counts.append(len(sets))
                 marks.append(hashlib.blake2b(sets.tobytes(), digest_size=16).digest())
-                cells = np.unique(((sets * _M2) >> np.uint64(44)).astype(np.int64))
-                sig = signature(cells, pi)
+                sig = signature(((sets * _M2) >> np.uint64(32)).astype(np.uint32))
                 keys.append(bands(sig))
                 sketches.append(sig.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "mark", "keys", "sketch"])
@@ -120,13 +130,19 @@ def _signed(width: int):
     return run
 
 
+def _sets(text: str | None, width: int) -> set:
+    w = words(text)
+    return set(zip(*(w[i:] for i in range(width)), strict=False)) if len(w) >= width else {tuple(w)} if w else set()
+
+
+def _similar(one: set, two: set, percent: int) -> bool:
+    both = len(one & two)
+    return both > 0 and 100 * both >= percent * (len(one) + len(two) - both)
+
+
 def _checked(width: int, percent: int):
     """Rows a, b, text_a, text_b to the pairs whose full shingle sets are similar enough."""
 
-    def sets(text):
-        w = words(text)
-        return set(zip(*(w[i:] for i in range(width)), strict=False)) if len(w) >= width else {tuple(w)} if w else set()
-
     def run(batches):
         for batch in batches:
             keep, last, held = [], None, set()
@@ -134,16 +150,35 @@ def _checked(width: int, percent: int):
             for i in range(batch.num_rows):
                 if two[i] is not last:
                     if two[i] != last:
-                        held = sets(two[i])
+                        held = _sets(two[i], width)
                     last = two[i]
-                mine = sets(one[i])
-                both = len(mine & held)
-                keep.append(both > 0 and 100 * both >= percent * (len(mine) + len(held) - both))
+                keep.append(_similar(_sets(one[i], width), held, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _agreeing(percent: int):
+    """Rows a, b, n_a, sketch_a, n_b, sketch_b to the pairs that may be similar enough by size and sketch."""
+
+    def run(batches):
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, K) for c in ("sketch_a", "sketch_b"))
+            n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            keep = ((one == two).sum(axis=1) >= AGREE) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def screened(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those that size and sketch allow; sketches has doc_id, n_shingles and sketch."""
+    first = sketches.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    second = sketches.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    kind = pairs.schema["a"].dataType.simpleString()
+    return pairs.join(first, "a").join(second, "b").mapInArrow(_agreeing(percent), f"a {kind}, b {kind}")
+
+
 def verified(pairs: DataFrame, text: DataFrame, width: int, percent: int) -> DataFrame:
     """Of distinct pairs (a, b), those whose texts are similar enough; text has doc_id and text, one row per id."""
     first = text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -160,72 +195,77 @@ def components(links: DataFrame) -> DataFrame:
     state = common.written(state, "labels")
     while True:
         near = both.join(state.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        step = state.join(near, state["node"] == near["a"]).select("node", F.least("component", "near").alias("next"), "component")
+        step = state.select("node", "component").join(near, state["node"] == near["a"]).select("node", F.least("component", "near").alias("next"), "component")
         jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
         after = common.written(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("component"), F.col("component").alias("before")), "labels")
+        common.removed(state)
+        state = after
         if not after.filter(F.col("component") != F.col("before")).head(1):
+            common.removed(both)
             return after.select("node", "component")
-        state = after.select("node", "component")
-
-
-def _compared(percent: int):
-    """Rows sorted by key, low, high to the pairs of different components whose sketches agree."""
-
-    def pairs(group: pa.Table) -> tuple[list, list]:
-        ids, comp = group.column("doc_id").to_pylist(), group.column("component").to_pylist()
-        sizes, block = group.column("n_shingles").to_numpy(), group.column("block").to_numpy()
-        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
-        marks = np.unique(np.array(comp, dtype=object).astype(str), return_inverse=True)[1]
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), K)
-        ones, twos = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        # of a pair in two components one member at least is outside the largest component: only those are looped over
-        most = np.bincount(marks).argmax()
-        a, b = [], []
-
-        def meet(i: int, rest: np.ndarray) -> None:
-            rest = rest[(marks[rest] != marks[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))]
-            for j in rest[(sketch[rest] == sketch[i]).sum(axis=1) >= AGREE]:
-                a.append(max(ids[i], ids[j])), b.append(min(ids[i], ids[j]))
-
-        for i in ones[marks[ones] != most]:
-            meet(i, ones[(marks[ones] == most) | (ones > i)] if low == high else twos)
-        if low != high:
-            for i in twos[marks[twos] != most]:
-                meet(i, ones[marks[ones] == most])
-        return a, b
+
+
+def _met(width: int, percent: int):
+    """Rows sorted by root, part, slice and role to links: the strangers of a part, then all members of a slice."""
 
     def run(batches):
-        held, kind = None, None
+        known = WordHashes()
+
+        def numbers(text: str) -> np.ndarray:
+            w = words(text)
+            return np.unique(shingle_hashes(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), width))
+
+        at, held, table, sizes, done = None, [], None, None, set()
         for batch in batches:
-            kind = batch.schema.field("doc_id").type
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]) if held is not None else table
-            if not table.num_rows:
-                continue
-            key = np.stack([table.column(c).to_numpy() for c in ("key", "low", "high")], axis=1)
-            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()]
-            a, b = [], []
-            for x, y in zip(cut[:-1], cut[1:], strict=True):
-                more = pairs(table.slice(x, y - x))
-                a += more[0]
-                b += more[1]
-            held = table.slice(cut[-1]).combine_chunks()
-            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
-        if held is not None and held.num_rows:
-            a, b = pairs(held)
+            kind, a, b = batch.schema.field(batch.schema.get_field_index("doc_id")).type, [], []
+            cols = [batch.column(c).to_pylist() for c in ("root", "part", "slice", "member", "doc_id", "component", "stranger", "n_shingles", "sketch")]
+            for root, part, slice_, member, d, c, stranger, n, sketch, text in zip(*cols, common.texts(batch), strict=True):
+                if (root, part, slice_) != at:
+                    at, held, table, done = (root, part, slice_), [], None, set()
+                if not member:
+                    held.append([d, c, n, sketch, text, None])
+                    continue
+                if table is None:
+                    table = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(-1, K)
+                    sizes = np.fromiter((h[2] for h in held), np.int64, len(held))
+                fit = np.flatnonzero(100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+                if not len(fit):
+                    continue
+                fit = fit[(table[fit] == np.frombuffer(sketch, np.uint8)).sum(axis=1) >= AGREE]
+                mine = None
+                for k in fit.tolist():
+                    other = held[k]
+                    # two strangers meet once; a stranger needs one link to a component
+                    if other[1] == c or (stranger and other[0] > d) or (other[0], c) in done:
+                        continue
+                    if other[5] is None:
+                        other[5] = numbers(other[4])
+                    if mine is None:
+                        mine = numbers(text)
+                    both = len(np.intersect1d(mine, other[5], assume_unique=True))
+                    if 100 * both >= percent * (len(mine) + len(other[5]) - both) and _similar(_sets(text, width), _sets(other[4], width), percent):
+                        done.add((other[0], c))
+                        a.append(max(d, other[0])), b.append(min(d, other[0]))
             yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 
     return run
 
 
-def blockwise(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs a > b of buckets' members (key, doc_id, n_shingles, component) that lie in different components and look alike."""
-    sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = open_.join(sizes, "key").join(sketches, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "n_shingles", "component", "sketch")
-    kind = open_.schema["doc_id"].dataType.simpleString()
-    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_compared(percent), f"a {kind}, b {kind}").distinct()
+def strangers(groups: DataFrame, sketches: DataFrame, text: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of groups (root, doc_id, component) between different components, found within parts and slices."""
+    kind = groups.schema["doc_id"].dataType.simpleString()
+    sizes = groups.groupBy("root", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("root").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n")).filter("n > most.n")
+    sizes = sizes.select("root", F.col("most.component").alias("home"), F.ceil((F.col("n") - F.col("most.n")) / PART).cast("int").alias("parts"), F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+    rows = groups.join(sizes, "root").withColumn("stranger", F.col("component") != F.col("home"))
+    own = F.xxhash64("doc_id")
+    part, slice_ = F.pmod(own, F.col("parts").cast("long")).cast("int"), F.pmod(F.shiftright(own, 20), F.col("slices").cast("long")).cast("int")
+    one = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda x: F.struct(part.alias("part"), x.alias("slice"), F.lit(False).alias("member")))
+    all_ = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(x.alias("part"), slice_.alias("slice"), F.lit(True).alias("member")))
+    rows = rows.select("root", "doc_id", "component", "stranger", F.explode(F.when(F.col("stranger"), F.concat(one, all_)).otherwise(all_)).alias("x"))
+    rows = rows.select("root", "x.part", "x.slice", "x.member", "doc_id", "component", "stranger").join(sketches, "doc_id").join(text, "doc_id")
+    rows = rows.select("root", "part", "slice", "member", "doc_id", "component", "stranger", "n_shingles", "sketch", "text")
+    return rows.repartition("root", "part", "slice").sortWithinPartitions("root", "part", "slice", "member").mapInArrow(_met(width, percent), f"a {kind}, b {kind}").distinct()
 
 
 def linked(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
@@ -234,39 +274,56 @@ def linked(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     rows = common.written(docs.select("doc_id", "text").mapInArrow(_signed(width), f"doc_id {kind}, n_shingles bigint, mark binary, keys array<bigint>, sketch binary"), "signatures")
     known = rows.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = known.groupBy("mark").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("size"))
-    members = known.select("mark", "doc_id").join(classes.filter("size > 1").select("mark", "head"), "mark").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).filter("a <> b")
-    heads = known.select("doc_id", "n_shingles", "mark", "keys").join(classes.select("mark", F.col("head").alias("doc_id")), ["mark", "doc_id"], "left_semi")
-    entries = heads.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
+    members = known.select("mark", "doc_id").join(classes.filter("size > 1").select("mark", "head"), "mark").select("mark", F.col("doc_id").alias("a"), F.col("head").alias("b")).filter("a <> b").distinct()
+    members = common.written(members, "members")
+    heads = known.join(members.select("mark", F.col("a").alias("doc_id")), ["mark", "doc_id"], "left_anti")
+    entries = heads.select("doc_id", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     # most keys are held by one document: they go first, on nothing but keys and ids
-    crowds = entries.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("key")
-    crowded = common.written(entries.join(crowds, "key"), "crowded")
-    member = F.struct("doc_id", "n_shingles")
-    # the smallest member and those that come first in STARS other orders, the same ones in all buckets
-    centres = [F.min(member).alias("c0"), *(F.min_by(member, F.xxhash64("doc_id", F.lit(i))).alias(f"c{i}") for i in range(1, STARS + 1))]
-    stars = crowded.groupBy("key").agg(*centres).select("key", F.array_distinct(F.array(*(f"c{i}" for i in range(STARS + 1)))).alias("centres"))
-    entries = crowded.join(stars, "key")
-    text = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        # rows that share a doc_id are one node: its largest text stands for it
-        texts = text.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-        return common.written(verified(pairs, common.written(texts, "texts"), width, percent), "links")
-
-    fit = F.filter("centres", lambda c: (c["doc_id"] != F.col("doc_id")) & (100 * F.least(F.col("n_shingles"), c["n_shingles"]) >= percent * F.greatest(F.col("n_shingles"), c["n_shingles"])))
-    near = entries.select("doc_id", fit.alias("fit")).filter("size(fit) > 0").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("fit"))).alias("fit"))
-    similar = near.select("doc_id", F.explode("fit.doc_id").alias("b")).select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b"))
-    stars = common.written(similar.union(members).distinct(), "pairs")
-    links = confirmed(stars)
+    crowds = entries.groupBy("key").agg(F.min("doc_id").alias("root"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).filter("root <> high")
+    crowds = crowds.select("key", "root", (F.col("n") > 2).alias("many"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = entries.join(crowds, ["key", "salt"]).filter("doc_id <> root").groupBy("root", "doc_id").agg(F.max("many").alias("many"))
+    met = common.written(met, "met")
+    sketches = known.select("doc_id", "n_shingles", "sketch")
+
+    firm = common.written(screened(met.select(F.col("doc_id").alias("a"), F.col("root").alias("b")), sketches, percent), "pairs")
+    # texts of all that may meet: those of step one and of groups that more than one member has besides its root
+    groups = met.filter("many").select("root", "doc_id")
+    needed = firm.select(F.col("a").alias("doc_id")).union(firm.select(F.col("b").alias("doc_id"))).union(groups.select("doc_id")).distinct()
+    text = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()).join(needed, "doc_id", "left_semi")
+    # rows that share a doc_id are one node: its largest text stands for it
+    text = common.written(text.groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
+    links = common.written(members.select("a", "b").union(verified(firm, text, width, percent)), "links")
+    common.removed(firm), common.removed(members)
     labels = components(links)
-    standing = crowded.select("key", "doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = standing.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    open_ = common.written(standing.join(mixed, "key"), "open")
-    pairs = common.written(blockwise(open_, known.select("doc_id", "sketch").dropDuplicates(["doc_id"]), percent).join(stars, ["a", "b"], "left_anti"), "pairs")
-    if pairs.head(1):
-        more = confirmed(pairs)
-        if more.head(1):
-            labels = components(links.union(more))
+
+    def standing(labels: DataFrame, groups: DataFrame) -> DataFrame:
+        """The groups that still hold several components."""
+        rows = groups.select("root", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        open_ = rows.groupBy("root").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("root")
+        return common.written(rows.join(open_, "root"), "groups")
+
+    rest = standing(labels, groups)
+    if rest.head(1):
+        member = F.struct("doc_id", "component")
+        stars = rest.groupBy("root").agg(*(F.min_by(member, F.xxhash64("doc_id", F.lit(i))).alias(f"c{i}") for i in range(STARS)))
+        stars = stars.select("root", F.array_distinct(F.array(*(f"c{i}" for i in range(STARS)))).alias("centres"))
+        pairs = rest.join(stars, "root").select("doc_id", "component", F.explode("centres").alias("c")).filter("component <> c.component")
+        pairs = pairs.select(F.greatest("doc_id", "c.doc_id").alias("a"), F.least("doc_id", "c.doc_id").alias("b")).distinct()
+        firm = common.written(screened(pairs, sketches, percent), "pairs")
+        more = common.written(links.select("a", "b").union(verified(firm, text, width, percent)), "links")
+        common.removed(links), common.removed(firm), common.removed(labels)
+        links, labels = more, components(more)
+        last = standing(labels, rest)
+        common.removed(rest)
+        if last.head(1):
+            more = common.written(strangers(last, sketches, text, width, percent), "links")
+            if more.head(1):
+                common.removed(labels)
+                labels = components(links.select("a", "b").union(more.select("a", "b")))
+            common.removed(more)
+        common.removed(last)
+    for table in (met, text, links):
+        common.removed(table)
     out = rows.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

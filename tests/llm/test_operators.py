@@ -129,10 +129,41 @@ def test_near_groups(spark, width):
 
 
 def test_signature_is_circulant():
-    pi = minhash_dedup.permutation(64, 8)
-    cells = np.array([3, 17, 40])
-    want = [min(pi[8:][(c - k) % 64] for c in cells) for k in range(8, 0, -1)]
-    assert minhash_dedup.signature(cells, pi, 8).tolist() == want
+    cells, shifts = np.array([3, 17, 2**32 - 2], dtype=np.uint32), np.arange(8, dtype=np.uint32)
+    want = [min(int(minhash_dedup.pi(np.array([(int(c) - k) % 2**32], dtype=np.uint32))[0]) for c in cells) for k in range(8)]
+    assert minhash_dedup.signature(cells, shifts).tolist() == want
+    assert len(np.unique(minhash_dedup.pi(np.arange(100_000, dtype=np.uint32)))) == 100_000
+
+
+def test_pairs_at_the_bound_share_a_band_and_agree():
+    r, missed = np.random.default_rng(4), 0
+    for _ in range(3000):
+        n = int(r.choice([12, 45, 200]))
+        both = r.integers(0, 2**32, size=8 * n // 9 + 1, dtype=np.uint32)  # of sets of n each: 8 n / 9 in common are similarity 0.8
+        one, two = (minhash_dedup.signature(np.concatenate([both, r.integers(0, 2**32, size=n - len(both), dtype=np.uint32)])) for _ in range(2))
+        agree = (one.astype(np.uint8) == two.astype(np.uint8)).sum() >= minhash_dedup.AGREE
+        missed += not (agree and (minhash_dedup.bands(one) == minhash_dedup.bands(two)).any())
+    assert missed <= 1
+
+
+def test_strangers_meet_in_parts_and_slices(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "PART", 8)
+    monkeypatch.setattr(minhash_dedup, "SLICE", 16)
+    r = random.Random(12)
+    base = [r.choice(WORDS) for _ in range(60)]
+    docs = []
+    for i in range(120):  # far from the base, and here and there a near neighbour of another one
+        w = list(base) if i % 3 else docs[r.randrange(i)][1].split() if i else list(base)
+        for _ in range(9 if i % 3 else 2):
+            w[r.randrange(60)] = r.choice(WORDS)
+        docs.append((i, " ".join(w)))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    sketches = frame.select("doc_id", "text").mapInArrow(minhash_dedup._signed(2), "doc_id bigint, n_shingles bigint, mark binary, keys array<bigint>, sketch binary").select("doc_id", "n_shingles", "sketch")
+    groups = frame.select(F.lit(0).cast("bigint").alias("root"), "doc_id", F.col("doc_id").alias("component"))
+    got = {(x["a"], x["b"]) for x in minhash_dedup.strangers(groups, sketches, frame, 2, 80).collect()}
+    s = {i: minhash_dedup._sets(t, 2) for i, t in docs}
+    want = {(a, b) for b, a in itertools.combinations(s, 2) if minhash_dedup._similar(s[a], s[b], 80)}
+    assert got == want and len(want) > 10
 
 
 # ---- tokenisers
