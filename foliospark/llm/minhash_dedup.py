@@ -251,13 +251,20 @@ def _met(width: int, percent: int):
     return run
 
 
+def _with(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """rows (with doc_id) joined with small, one row a key; each key's rows are dealt over SALTS tasks, since one key may hold many."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    small = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(small, [key, "salt"]).drop("salt")
+
+
 def strangers(groups: DataFrame, sketches: DataFrame, text: DataFrame, width: int, percent: int) -> DataFrame:
     """Links of groups (root, doc_id, component) between different components, found within parts and slices."""
     kind = groups.schema["doc_id"].dataType.simpleString()
     sizes = groups.groupBy("root", "component").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("root").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n")).filter("n > most.n")
     sizes = sizes.select("root", F.col("most.component").alias("home"), F.ceil((F.col("n") - F.col("most.n")) / PART).cast("int").alias("parts"), F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
-    rows = groups.join(sizes, "root").withColumn("stranger", F.col("component") != F.col("home"))
+    rows = _with(groups, sizes, "root").withColumn("stranger", F.col("component") != F.col("home"))
     own = F.xxhash64("doc_id")
     part, slice_ = F.pmod(own, F.col("parts").cast("long")).cast("int"), F.pmod(F.shiftright(own, 20), F.col("slices").cast("long")).cast("int")
     one = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda x: F.struct(part.alias("part"), x.alias("slice"), F.lit(False).alias("member")))
@@ -277,11 +284,10 @@ def linked(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     members = known.select("mark", "doc_id").join(classes.filter("size > 1").select("mark", "head"), "mark").select("mark", F.col("doc_id").alias("a"), F.col("head").alias("b")).filter("a <> b").distinct()
     members = common.written(members, "members")
     heads = known.join(members.select("mark", F.col("a").alias("doc_id")), ["mark", "doc_id"], "left_anti")
-    entries = heads.select("doc_id", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    entries = heads.select("doc_id", F.explode("keys").alias("key"))
     # most keys are held by one document: they go first, on nothing but keys and ids
     crowds = entries.groupBy("key").agg(F.min("doc_id").alias("root"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).filter("root <> high")
-    crowds = crowds.select("key", "root", (F.col("n") > 2).alias("many"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = entries.join(crowds, ["key", "salt"]).filter("doc_id <> root").groupBy("root", "doc_id").agg(F.max("many").alias("many"))
+    met = _with(entries, crowds.select("key", "root", (F.col("n") > 2).alias("many")), "key").filter("doc_id <> root").groupBy("root", "doc_id").agg(F.max("many").alias("many"))
     met = common.written(met, "met")
     sketches = known.select("doc_id", "n_shingles", "sketch")
 
@@ -289,7 +295,8 @@ def linked(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     # texts of all that may meet: those of step one and of groups that more than one member has besides its root
     groups = met.filter("many").select("root", "doc_id")
     needed = firm.select(F.col("a").alias("doc_id")).union(firm.select(F.col("b").alias("doc_id"))).union(groups.select("doc_id")).distinct()
-    text = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()).join(needed, "doc_id", "left_semi")
+    # the ids grow with the table, so they are sorted against it at every size and never sent whole to all tasks
+    text = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()).join(needed.hint("merge"), "doc_id", "left_semi")
     # rows that share a doc_id are one node: its largest text stands for it
     text = common.written(text.groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
     links = common.written(members.select("a", "b").union(verified(firm, text, width, percent)), "links")
@@ -300,14 +307,14 @@ def linked(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
         """The groups that still hold several components."""
         rows = groups.select("root", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         open_ = rows.groupBy("root").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("root")
-        return common.written(rows.join(open_, "root"), "groups")
+        return common.written(_with(rows, open_, "root"), "groups")
 
     rest = standing(labels, groups)
     if rest.head(1):
         member = F.struct("doc_id", "component")
         stars = rest.groupBy("root").agg(*(F.min_by(member, F.xxhash64("doc_id", F.lit(i))).alias(f"c{i}") for i in range(STARS)))
         stars = stars.select("root", F.array_distinct(F.array(*(f"c{i}" for i in range(STARS)))).alias("centres"))
-        pairs = rest.join(stars, "root").select("doc_id", "component", F.explode("centres").alias("c")).filter("component <> c.component")
+        pairs = _with(rest, stars, "root").select("doc_id", "component", F.explode("centres").alias("c")).filter("component <> c.component")
         pairs = pairs.select(F.greatest("doc_id", "c.doc_id").alias("a"), F.least("doc_id", "c.doc_id").alias("b")).distinct()
         firm = common.written(screened(pairs, sketches, percent), "pairs")
         more = common.written(links.select("a", "b").union(verified(firm, text, width, percent)), "links")
