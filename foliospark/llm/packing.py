@@ -6,11 +6,12 @@ smallest (a sequence that is filled has no gap and leaves the sum), so that no r
 
 Scale. Pieces are dealt by a hash into groups of about GROUP pieces, and each group is packed by one task, in shuffled order with the
 shortest quarter last. What a group leaves in sequences filled below FULL is returned and packed once more in groups that are as much larger;
-this repeats until one group holds the rest or no group got better, so the waste doesn't grow with the number of groups. The
-pieces' ids are not moved, only their lengths.
+this repeats until one group holds the rest or a round needs as many sequences for it as the one before, so the waste doesn't grow with the number of
+groups. The pieces' ids are not moved, only their lengths.
 
-Defined results: null text counts as empty and is one piece holding the end id; repeated rows and repeated doc_ids are packed
-separately, each row on its own; a null doc_id is kept as null; extra columns don't matter; an empty table gives an empty result.
+Defined results: null text counts as empty and is one piece holding the end id; a text of any length is encoded whole and cut into as many pieces
+as it takes; repeated rows and repeated doc_ids are packed separately, each row on its own; equal lengths keep the order of a shuffle with a fixed
+seed, equal sums go to the smallest gap left; a null doc_id is kept as null; extra columns don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -129,17 +130,18 @@ def _packed(capacity: int):
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """rows (with length) plus sequence_id and offset; the lengths alone decide."""
     rows = common.written(rows.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    todo, settled, n, seen = rows.select("_row", "length"), [], 0, None
+    todo, settled, seen = rows.select("_row", "length"), [], None
     while True:
-        n = todo.count()
-        count = max(1, -(-n // GROUP))
+        count = max(1, -(-todo.count() // GROUP))
         dealt = todo.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(len(settled))), F.lit(count)))
         done = common.written(dealt.groupBy("_group").applyInPandas(_packed(capacity), "_row bigint, length bigint, _group bigint, sequence_id bigint, offset bigint, filled bigint"), "packed")
-        if count == 1 or (seen is not None and n > 0.9 * seen):
+        open_ = done.filter(F.col("filled") < FULL * capacity)
+        used = done.filter("offset = 0").agg(F.count(F.lit(1)), F.count(F.when(F.col("filled") < FULL * capacity, 1))).first()
+        if count == 1 or (seen is not None and used[0] >= seen):
             settled.append(done)
             break
         settled.append(done.filter(F.col("filled") >= FULL * capacity))
-        todo, seen = done.filter(F.col("filled") < FULL * capacity).select("_row", "length"), n
+        todo, seen = open_.select("_row", "length"), used[1]
     places = settled[0]
     for more in settled[1:]:
         places = places.union(more)

@@ -3,7 +3,7 @@
 White space separates pieces and is dropped, so a text is cut at spaces and line feeds and the ids of each distinct stretch are
 computed once and remembered. Stretches that are new are encoded together: all their symbols lie in one array, and each step finds the
 lowest-ranked pair of every word at once and merges its leftmost place, as the merge list prescribes. What needs Unicode
-normalisation, has rare letters or is very long goes through the library itself.
+normalisation, has rare letters, holds one of the vocabulary's added tokens or is very long goes through the library itself.
 """
 
 from __future__ import annotations
@@ -34,9 +34,12 @@ def _byte_letters() -> dict[int, str]:
 class WordBpe:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            spec = json.load(f)
+        model = spec["model"]
+        # strings that the library takes whole wherever they stand; none holds a blank, so cutting at blanks leaves them whole
+        self.whole = [t["content"] for t in spec["added_tokens"]]
+        assert not any(_CUT.search(t) for t in self.whole)
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         letters = _byte_letters()
         self.inner = np.array([vocab[letters[b]] for b in range(256)], dtype=np.int64)
@@ -93,7 +96,7 @@ class WordBpe:
             self.known.clear()
         quick, slow, pieces, counts = [], [], [], []
         for s in stretches:
-            if _PLAIN.fullmatch(s) and len(s) <= LONGEST:
+            if _PLAIN.fullmatch(s) and len(s) <= LONGEST and not any(t in s for t in self.whole):
                 own = [s.lower().encode()] if s.isalpha() else [p.encode() for p in _PIECES.findall(s.lower())]
                 quick.append(s), counts.append(len(own))
                 pieces += own
