@@ -1,9 +1,11 @@
 """Personal data: base patterns, and candidates judged by boosted trees; DataFrame and SQL functions only.
 
 Base spans are the leftmost non-overlapping matches of four patterns that pass their checks; they always stay. Generators of high
-recall propose further spans (numbers written in groups, spelled-out e-mail addresses, long mixed tokens, bank account numbers, addresses with
-colons), which may overlap. Each is described by its form and by the words around it; gradient-boosted trees, compiled to SQL, give it a
-score, and one threshold for each kind, set on held-out examples, decides. Of overlapping accepted spans the base one stays, then the better scored.
+recall propose further spans (numbers written in groups, spelled-out e-mail addresses, long mixed tokens and dotted chains of them, whatever is assigned to
+a word for a secret, bank account numbers, addresses with colons), which may overlap. Each is described by its form and by the words around
+it; gradient-boosted trees, compiled to SQL, give it a score. On held-out examples each kind's scores are calibrated to probabilities by a logistic
+curve, and the kind's threshold is the least probability whose precision there is PRECISION or more. Of overlapping accepted spans the base one
+stays, then the better scored.
 
 The trees are fitted on the driver to EXAMPLES generated examples of documented formats and look-alikes (dates, versions, ISBNs, order numbers,
 checksums): a bounded sample that doesn't depend on the corpus. Features of examples and of documents come from the same SQL.
@@ -39,15 +41,15 @@ NEEDS = {"email": "contains(t, '@')", "ip": "t RLIKE '[0-9]\\\\.[0-9]+\\\\.[0-9]
 #: Generators: a pattern, and what must be there for it to run.
 GENERATORS = {
     "groups": (r"(?<![0-9A-Za-z.+])(?:\\([0-9]{2,4}\\)[ ]?[0-9]{2,19}(?:[ .-][0-9]{2,19}){0,5}|[0-9]{2,19}(?:[ .-][0-9]{2,19}){1,5}|[0-9]{7,19})(?![0-9A-Za-z])", "t RLIKE '[0-9][ .)-]+[0-9]|[0-9]{7}'"),
-    "spelled": r"[A-Za-z0-9._-]{2,40}(?: ?[\\[(] ?at ?[\\])] ?| at )[A-Za-z0-9-]{2,40}(?:(?: ?[\\[(] ?dot ?[\\])] ?| dot )[A-Za-z]{2,20}){1,3}",
-    "token": (r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{14,}+={0,2}(?![A-Za-z0-9+/_-])", "t RLIKE '[A-Za-z+/_-][0-9]|[0-9][A-Za-z+/_-]|[A-Za-z]{14}'"),
+    "spelled": (r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+(?: ?[\\[(] ?at ?[\\])] ?| at )[A-Za-z0-9-]{2,}+(?:(?: ?[\\[(] ?dot ?[\\])] ?| dot )[A-Za-z]{2,}+)+", "t RLIKE '[ (\\\\[]at[ )\\\\]]' AND contains(t, 'dot')"),
+    "token": (r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{14,}+(?:\\.[A-Za-z0-9+/_-]{14,}+)*={0,2}(?![A-Za-z0-9+/_-])", "t RLIKE '[A-Za-z+/_-][0-9]|[0-9][A-Za-z+/_-]|[A-Za-z]{14}'"),
+    "named": (r"(?<=[\"\\x27=: ])(?<=(?i:password|passwd|passphrase|pwd|secret|token|api[_ -]?key|credential)(?:[\"\\x27 ]{0,2}[=:] {0,2}[\"\\x27]?| [\"\\x27]))[^\\s\"\\x27]{6,}+", "t RLIKE '(?i:password|passwd|passphrase|pwd|secret|token|api[_ -]?key|credential)[ :=\"\\\\x27]'"),
     "account": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "t RLIKE '[A-Z]{2}[0-9]{2}'"),
     "colons": (r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){3,7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])", "t RLIKE '[0-9a-fA-F]:[0-9a-fA-F]'"),
 }
-GENERATORS["spelled"] = (GENERATORS["spelled"], "t RLIKE '[ (\\\\[]at[ )\\\\]].{2,60}dot'")
 #: Kinds that candidates may become, in the order of the spans column: the base kinds first.
 KINDS = ("email", "ip", "card", "phone", "secret", "account", "id")
-EXAMPLES, SEED = 3000, 11
+EXAMPLES, SEED, PRECISION = 4000, 11, 0.97
 SPAN = "struct<start:int,end:int,text:string,before:string,after:string>"
 
 
@@ -106,12 +108,15 @@ FEATURES = {
     "year": "IF(x.text RLIKE '(^|[ .-])(19|20)[0-9]{2}([ .-]|$)', 1D, 0D)",
     "assigned": "IF(x.before RLIKE '[A-Za-z_]+ ?[=:] ?[\"\\']?$', 1D, 0D)",
     "known": "IF(x.text RLIKE '^(AKIA|ASIA|ghp_|gho_|sk-|sk_live|xox[abp]-|eyJ|AIza)', 1D, 0D)",
+    "symbols": "double(length(regexp_replace(x.text, '[A-Za-z0-9]', '')))",
+    "runs": "double(size(split(x.text, '[^A-Za-z0-9]+')))",
+    "stand_in": "IF(x.text RLIKE '(?i)^[<{*$%]|^x+$|your|example|required|changed?|enter|none|null|true|false|environ|[*]{3}|[(]', 1D, 0D)",
     "money": "IF(x.before RLIKE '[$€£#]$' OR x.after RLIKE '^ ?([%€$]|USD|EUR)', 1D, 0D)",
     **{k: f"IF(lower(x.before) RLIKE '(^|[^a-z])({w})[^a-z]{{0,4}}([a-z]{{0,12}}[^a-z]{{1,4}}){{0,2}}$', 1D, 0D)" for k, w in _WORDS.items()},
 }
 #: Which kind an accepted candidate becomes.
 BECOMES = (
-    "CASE x.g WHEN 'spelled' THEN 'email' WHEN 'colons' THEN 'ip' WHEN 'account' THEN 'account' WHEN 'token' THEN 'secret' ELSE "
+    "CASE x.g WHEN 'spelled' THEN 'email' WHEN 'colons' THEN 'ip' WHEN 'account' THEN 'account' WHEN 'token' THEN 'secret' WHEN 'named' THEN 'secret' ELSE "
     f"CASE WHEN length({_DIGITS}) >= 13 THEN 'card' WHEN x.text RLIKE '^[0-9]{{3}}[ -][0-9]{{2}}[ -][0-9]{{4}}$' THEN 'id' ELSE 'phone' END END"
 )
 
@@ -141,8 +146,11 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, int]]:
         return "".join(r.choice(of) for _ in range(k))
 
     while len(out) < n:
-        yes, kind, lead = r.random() < 0.5, r.randrange(6), ""
-        if yes:
+        yes, kind, lead = r.random() < 0.5, r.randrange(7), ""
+        if r.random() < 0.2:  # long words of running text are by far the most frequent candidates
+            yes, text = False, "".join(_word(r) for _ in range(12))[: r.randint(14, 26)]
+            lead, text = r.choice(["", "", "the ", f"{_word(r)}, ", "a "]), r.choice([text, text, text.capitalize(), text.upper(), text.upper() + "!!", text + "-" + _word(r), _word(r) + "/" + text])
+        elif yes:
             if kind == 0:
                 lead, text = r.choice(["call ", "Tel: ", "phone ", "fax ", "mobile no. ", "dial ", ""]), _digits(r, r.choice(["(999) 999-9999", "999-999-9999", "999.999.9999", "0999 999999", "09 99 99 99 99", "999 999 9999", "0999999999", "09999999999"]))
             elif kind == 1:
@@ -151,9 +159,14 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, int]]:
                 lead, text = r.choice(["card ", "visa ", "credit card: ", "pay with ", ""]), "{}-{}-{}-{}".format(*(lambda c: (c[:4], c[4:8], c[8:12], c[12:]))(_with_check("4" + _digits(r, "9" * 14)))).replace("-", r.choice(["-", " "])) if r.random() < 0.75 else _with_check("37" + _digits(r, "9" * 12))
             elif kind == 3:
                 lead = r.choice(["password=", "token = \"", "api_key: ", "secret: ", "Bearer ", "passwd: ", "key=", ""])
+                if r.random() < 0.2:
+                    lead = r.choice(["token = \"", "secret=\"", "auth token: ", "api_key = "])
                 text = "AKIA" + mixed(16, chars[:26] + chars[-10:]) if not lead or r.random() < 0.3 else mixed(r.randint(16, 44), r.choice([chars, "0123456789abcdef"]))
             elif kind == 4:
                 lead, text = r.choice(["IBAN ", "account ", "bank transfer to ", ""]), r.choice(["DE", "FR", "ES", "GB", "NL"]) + _digits(r, r.choice(["99 9999 9999 9999 9999 99", "99999999999999999999", "99 9999 9999 9999 9999 9999"]))
+            elif kind == 5:
+                lead = r.choice(["password: ", "password=", "secret \"", "passwd = ", "pwd: ", "passphrase: ", "token: ", "my password: "])
+                text = r.choice([lambda: "".join(_word(r) for _ in range(r.randint(2, 5))) + "es", lambda: mixed(r.randint(8, 30), chars + "!@#&%^*-_"), lambda: _word(r) + r.choice("!@#&$") + _digits(r, "999") + _word(r) + "er", lambda: ".".join(mixed(r.randint(18, 90), chars + "-_") for _ in range(3))])()
             else:
                 lead, text = r.choice(["mail ", "contact ", "write to ", "reach me: ", ""]), f"{_word(r)}.{_word(r)}{r.choice([' at ', ' (at) ', ' [at] '])}{_word(r)}{r.choice([' dot ', ' (dot) ', ' [dot] '])}{r.choice(['com', 'org', 'net', 'de', 'fr'])}"
                 if r.random() < 0.3:
@@ -170,6 +183,11 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, int]]:
                 lead = "sha "
         elif kind == 4:
             lead, text = r.choice(["$", "about ", "", "some ", "no. ", "order "]), _digits(r, r.choice(["999 999 999", "99 999", "999.999.999", "99 999 999", "9" * r.randint(14, 24)]))
+        elif kind == 5:
+            lead = r.choice(["password: ", "secret: ", "token: ", "the token ", "pwd=", "api_key="])
+            text = r.choice(["required", "<password>", "your_password_here", "********", "changed", "(optional)", "${PASSWORD}", "os.environ[KEY]", "None,", "example", "xxxxxxxx", "<your-token>", "true,", "enter-your-secret-here"])
+            if lead == "the token ":
+                text = f"{_word(r)}-{_word(r)}-{_word(r)}ment-{_word(r)}er"
         else:
             lead, text = r.choice(["", "between ", "at "]), r.choice([_digits(r, "12:99:99:99"), f"{_word(r)} at {_word(r)} dot matrix", _digits(r, "99-99-99")])
         out.append((f"{_word(r)} {_word(r)} {lead}{text}{r.choice([' ', '. ', ', ', chr(34) + ' '])}{_word(r)} {_word(r)}", int(yes)))
@@ -222,6 +240,16 @@ def boosted(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, rate:
     return [rate, out]
 
 
+def calibrated(score: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, float]:
+    """Slope (positive) and shift of the logistic curve from scores to probabilities, by Newton steps with a small ridge."""
+    x, w = np.stack([score, np.ones(len(score))], axis=1), np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), x.T @ (p - y) + 0.1 * (w - [1.0, 0.0]))
+        w[0] = max(w[0], 0.05)
+    return float(w[0]), float(w[1])
+
+
 # ---- expressions --------------------------------------------------------------------------------------------------------------
 
 
@@ -260,9 +288,12 @@ def _fitted(spark: SparkSession) -> tuple[str, str]:
         bounds = {}
         for k in KINDS:
             mine = held & (kinds == k)
-            tries = [b for b in np.arange(0, 3.01, 0.25) if (score[mine] >= b).any() and y[mine][score[mine] >= b].mean() >= 0.97]
-            bounds[k] = float(tries[0]) if tries else 3.0
-        _fits[key] = (f"{rate}D * (" + " + ".join(_sql(t, names) for t in trees) + ")", "CASE x.kind " + " ".join(f"WHEN '{k}' THEN {b}D" for k, b in bounds.items()) + " ELSE 3D END")
+            slope, shift = calibrated(score[mine], y[mine])
+            chance = 1 / (1 + np.exp(-(slope * score[mine] + shift)))
+            tries = [p for p in np.arange(0.5, 0.96, 0.05) if (chance >= p).any() and y[mine][chance >= p].mean() >= PRECISION]
+            least = tries[0] if tries else 0.95
+            bounds[k] = float((np.log(least / (1 - least)) - shift) / slope)
+        _fits[key] = (f"{rate}D * (" + " + ".join(_sql(t, names) for t in trees) + ")", "CASE x.kind " + " ".join(f"WHEN '{k}' THEN {b:.6f}D" for k, b in bounds.items()) + " ELSE 3D END")
     return _fits[key]
 
 
@@ -275,16 +306,15 @@ def found(docs: DataFrame, *keep: str) -> DataFrame:
     spark = docs.sparkSession
     score, bound = _fitted(spark)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), *(F.col(k) for k in keep if k != "doc_id"))
-    rows = rows.withColumn("any", F.expr("t RLIKE '[0-9@]|[ (\\\\[]at[ )\\\\]]'"))
     kind = "array<struct<place:int,start:int,kind:string,end:int>>"
     parts = [f"transform(filter({_spans('t', BASE[k], NEEDS[k])}, x -> {CHECKS[k]}), x -> named_struct('place', {i}, 'start', x.start, 'kind', '{k}', 'end', x.end))" for i, k in enumerate(BASE)]
-    rows = rows.withColumn("base", F.expr(f"CASE WHEN any THEN cast(concat({', '.join(parts)}) AS {kind}) ELSE cast(array() AS {kind}) END"))
+    rows = rows.withColumn("base", F.expr(f"cast(concat({', '.join(parts)}) AS {kind})"))
     described = _described(f"filter({_generated()}, x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end))")
     scored = f"transform({described}, x -> named_struct('gain', {score} - ({bound}), 'start', x.start, 'end', x.end, 'kind', x.kind))"
     best = "array_sort(filter(scored, x -> x.gain >= 0), (l, r) -> CASE WHEN l.gain > r.gain THEN -1 WHEN l.gain < r.gain THEN 1 WHEN l.start < r.start THEN -1 WHEN l.start > r.start THEN 1 ELSE r.end - l.end END)"
-    rows = rows.withColumn("scored", F.expr(f"CASE WHEN any THEN {scored} END"))
+    rows = rows.withColumn("scored", F.expr(scored))
     chosen = f"aggregate({best}, cast(array() AS {kind}), (a, x) -> IF(exists(a, b -> b.start < x.end AND x.start < b.end), a, concat(a, array(named_struct('place', {_order('x.kind')}, 'start', x.start, 'kind', x.kind, 'end', x.end)))))"
-    rows = rows.withColumn("spans", F.expr(f"CASE WHEN any THEN array_sort(cast(concat(base, {chosen}) AS {kind})) ELSE base END"))
+    rows = rows.withColumn("spans", F.expr(f"array_sort(cast(concat(base, {chosen}) AS {kind}))"))
     return rows.select("doc_id", "t", *(k for k in keep if k != "doc_id"), "base", "spans")
 
 
@@ -308,4 +338,4 @@ def redacted(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = found(common.documents(spark, sf_dir))
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in BASE]
-    return rows.select("doc_id", *counts, F.sha2(_written("base").cast("binary"), 256).alias("base_sha256"), _written("spans").alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(_written("base").cast("binary"), 256).alias("base_sha256"), _written("spans").alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))
