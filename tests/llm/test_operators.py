@@ -183,13 +183,29 @@ def test_byte_bpe_equals_the_library():
 
 
 def test_word_bpe_equals_the_library():
-    bpe, r = word_bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json")), random.Random(2)
-    bits = [" ", "\n", "Σας", "ΟΔΟΣ", "it's", "I'LL", "12", "ab́", " ", "Straße", "word", "<|endoftext|>", "!?", "x" * 60, "İ", "\x1c"]
-    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 20))) for _ in range(500)]
-    for ids, e in zip(bpe.encode(texts), bpe.library.encode_batch(texts, add_special_tokens=False), strict=True):
+    from tokenizers import Tokenizer
+
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(2)
+    bpe, library = word_bpe.WordBpe(path), Tokenizer.from_file(path)
+    bits = [" ", "\n", "Σας", "ΟΔΟΣ", "it's", "I'LL", "12", "ab́", " ", "Straße", "word", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "!?", "x" * 60, "İ", "\x1c"]
+    texts = ["hi <|endoftext|> you", *("".join(r.choice(bits) for _ in range(r.randint(0, 20))) for _ in range(500))]
+    for ids, e in zip(bpe.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == e.ids
 
 
+def test_pieces_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library, got = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), defaultdict(list)
+    docs = {r["doc_id"]: r["text"] for r in common.documents(spark, SF).collect()} | {10**9: "long <|endoftext|> text \n" * 3000, 10**9 + 1: None}
+    for x in packing.packed(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect():
+        got[x["doc_id"]].append((x["piece"], x["start"], x["length"], x["ids_crc32"]))
+    for d, t in docs.items():
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        want = [(k, a, len(p), zlib.crc32(np.array(p, dtype="<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 4096)) for p in [ids[a : a + 4096]]]
+        assert sorted(got[d]) == want
+
+
 # ---- packing
 
 
@@ -287,8 +303,10 @@ def test_quotation_weighs_less():
 # ---- context trees
 
 
-def test_scores_equal_brute_force(spark):
-    depth, r = 2, random.Random(8)
+@pytest.mark.parametrize("depth", [1, 2, 5])
+def test_scores_equal_brute_force(spark, depth, monkeypatch):
+    monkeypatch.setattr(context_tree.stretches, "__defaults__", (50,))
+    r = random.Random(8)
     docs = [(i, " ".join(r.choice(["ab", "abc", "Ba", "c"]) for _ in range(r.randint(0, 30)))) for i in range(40)] + [(99, None)]
 
     def steps(t):
@@ -332,13 +350,17 @@ def test_scores_equal_brute_force(spark):
         assert abs(got[i]["score"] - want) < 1e-4 * abs(want) and abs(got[i]["base_score"] - base) < 1e-9 * abs(base) and got[i]["train_tokens"] == total
 
 
-def test_bytes_are_a_distribution(spark):
-    rows = spark.createDataFrame([(int.from_bytes(b"ab", "big") << 8 | s, 3 if s == 99 else 0) for s in range(256)], "run bigint, n bigint")
-    assert abs(sum(10 ** r["lp"] for r in context_tree.tree(rows, 2).collect()) - 1) < 1e-9
+def test_bytes_are_a_distribution():
+    keys, counts = np.arange(256, dtype=np.int64) | int.from_bytes(b"aab", "big") << 8, np.zeros(256, dtype=np.int64)
+    counts[99] = 3
+    tree = context_tree.Subtrees(keys, counts, 3, 3)
+    names = tree.roots()[0]
+    assert len(names) == 255 and abs((10 ** tree.log10(names, np.full(255, 0.2), np.full(255, 0.6))).sum() - 1) < 1e-9
 
 
-def test_contexts_span_five_bytes():
-    assert inspect.signature(context_tree.scored).parameters["depth"].default >= 5
+def test_better_than_the_base_on_held_out_texts(spark):
+    rows = context_tree.query(spark, SF.replace("0.001", "0.01")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert rows[0] > rows[1] and inspect.signature(context_tree.scored).parameters["depth"].default >= 6
 
 
 # ---- passages
@@ -479,6 +501,37 @@ def test_long_groups_and_long_tokens_are_candidates(spark):
     assert redacted[0] == "call [PHONE] now" and redacted[2] == "card [CARD] now" and redacted[3] == "password=[SECRET] now"
 
 
+def test_secrets_of_any_form_are_candidates(spark):
+    r = random.Random(15)
+    texts = {
+        "my password: hunterhunterhunter ok": "my password: [SECRET] ok",
+        'the secret "Tr0ub4dor&3xyzzyPlugh" is': 'the secret "[SECRET]" is',
+        "jwt eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U end": "jwt [SECRET] end",
+        "password: required by the form": None,
+        "john.smith at example dot com": "[EMAIL]",
+        f"{'long.' * 30}name at {'d' * 70} dot com": "[EMAIL]",
+        "write to john at example": None,
+        "the-quick-brown-fox-jumped here, unquestionably": None,
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = [x["text"] for x in pii.redacted(docs).orderBy("doc_id").collect()]
+    assert got == [w or t for t, w in texts.items()]
+    # words and shapes that the fitted examples don't use
+    lines = [(f"ring me under {pii._digits(r, '0999-9999999')} tonight", 1) for _ in range(40)] + [(f"db_passwd := \"{''.join(r.choice('abcdefXYZ0123456789') for _ in range(24))}\"", 1) for _ in range(40)]
+    lines += [(f"the meeting of {pii._digits(r, '2014-9-9')} took {pii._digits(r, '99')} people", 0) for _ in range(60)] + [(f"see {'-'.join(r.choice(WORDS) for _ in range(5))} there", 0) for _ in range(60)]
+    found = {x["doc_id"] for x in pii.found(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(lines)], "doc_id bigint, text string")).filter("size(spans) > 0").collect()}
+    assert sum(i in found for i, (_, y) in enumerate(lines) if y) >= 0.8 * 80 and sum(i in found for i, (_, y) in enumerate(lines) if not y) <= 3
+
+
+def test_trees_in_sql_give_the_same_values(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, 3))
+    rate, trees = pii.boosted(x, ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float), trees=6)
+    frame = spark.createDataFrame([tuple(map(float, row)) for row in x], "a double, b double, c double").selectExpr("named_struct('a', a, 'b', b, 'c', c) AS x")
+    got = [v[0] for v in frame.select(*(F.expr(f"{rate}D * (" + " + ".join(pii._sql(t, ["a", "b", "c"]) for t in trees) + ")"),)).collect()]
+    assert np.allclose(got, rate * sum(pii._value(t, x) for t in trees), atol=1e-5)
+
+
 # ---- rules
 
 
