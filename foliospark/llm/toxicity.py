@@ -6,13 +6,14 @@ within a few edits of a term (none below five letters, one from five, two from t
 pairs, made deterministic as texts demand it, so a word costs one table step per letter whatever the lexicon's size. A misspelling
 counts only if clean training documents don't use it as a word of its own.
 
-Context. Each hit is weighed by its window of WINDOW words to either side: between quotation marks, after a verb of reporting or a mention ("the word ..."),
-it counts less; next to a word of address more. The document's weight, its strongest hit, its number and density of hits
-go into a logistic curve fitted on the same sample.
+Context. Each hit is weighed by its window of WINDOW words to either side: whether it stands between quotation marks, near a verb of reporting or a
+mention ("the word ...") as well, or next to a word of address. The three factors are learned: of a grid, coordinate by coordinate, those
+are taken with which the logistic curve fits the sample best; where the sample doesn't tell, quotation and reporting halve a hit and address adds
+a fifth. The document's strongest hit, the sum and the density of its hits go into that curve.
 
 Defined results: null and empty texts and texts without hits get the score of a text without hits; without labels of both kinds the lexicon is
 empty and every score is the share of toxic labels (0 without labels); equal texts get equal scores; extra columns don't
-matter; an empty table gives an empty result.
+matter; texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from . import common
 from .line_crf import _adam, _sigmoid
 
-SAMPLE, TERMS, WINDOW, THRESHOLD = 12_000, 2_000, 8, 0.7
+SAMPLE, WINDOW, THRESHOLD = 12_000, 8, 0.7
+#: Factors of hits in quotation, of reported ones and of addressed ones: where learning starts, and what it tries.
+FACTORS, TRIED = (0.5, 0.5, 1.2), ((0.5, 1.0, 0.7, 0.3, 0.1), (0.5, 1.0, 0.7, 0.3, 0.1), (1.2, 1.0, 1.5, 2.0))
 #: Words that a worker remembers, and automaton states; when full, they are built anew.
 REMEMBERED, STATES = 500_000, 50_000
 _TOKEN = re.compile(r"[\w@$]+")
@@ -135,6 +138,7 @@ class Lexicon:
     weights: list[float]
     own: frozenset[str] = frozenset()  # near a term, but words of clean documents
     curve: list[float] = field(default_factory=lambda: [0.0] * 5)
+    factors: tuple[float, float, float] = FACTORS
 
     def matcher(self) -> Matcher:
         return Matcher(self)
@@ -157,8 +161,8 @@ class Matcher(dict):
         value = self[stretch] = tuple(hits)
         return value
 
-    def hits(self, text: str) -> list[tuple[float, int, str]]:
-        """Weight in context, edits and surface of each hit."""
+    def marked(self, text: str) -> list[tuple[float, int, str, tuple[bool, bool, bool]]]:
+        """Weight without context, edits, surface and context of each hit."""
         words = text.split()
         found = list(map(self.__getitem__, words))
         out = []
@@ -166,32 +170,39 @@ class Matcher(dict):
             return out
         for i, hs in enumerate(found):
             if hs:
-                factor = context(words, i)
-                out += [(self.lexicon.weights[k] * (0.8 ** e) * factor, e, w) for k, e, w in hs]
+                marks = context(words, i)
+                out += [(self.lexicon.weights[k] * (0.8 ** e), e, w, marks) for k, e, w in hs]
         return out
 
+    def hits(self, text: str) -> list[tuple[float, int, str]]:
+        """Weight in context, edits and surface of each hit."""
+        return [(w * factor(marks, self.lexicon.factors), e, surface) for w, e, surface, marks in self.marked(text)]
+
     def features(self, text: str) -> list[float]:
-        hits = self.hits(text)
-        if not hits:
-            return [0.0, 0.0, 0.0, 0.0]
-        w = [h[0] for h in hits]
-        return [1.0, min(1.0, max(w) / 6), min(1.0, sum(w) / 30), min(1.0, 20 * len(w) / (len(text.split()) + 20))]
+        return features([h[0] for h in self.hits(text)], len(text.split()))
+
 
+def features(weights: list[float], n_words: int) -> list[float]:
+    """Of the weights of a text's hits: whether there are any, the strongest, their sum, their density."""
+    if not weights:
+        return [0.0, 0.0, 0.0, 0.0]
+    return [1.0, min(1.0, max(weights) / 6), min(1.0, sum(weights) / 30), min(1.0, 20 * len(weights) / (n_words + 20))]
 
-def context(words: list[str], i: int) -> float:
-    """Between quotation and abuse: the factor of a hit at place i."""
+
+def context(words: list[str], i: int) -> tuple[bool, bool, bool]:
+    """Of a hit at place i: whether it is quoted, reported as well, addressed."""
     low, high = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
     opened = any(w[0] in _OPEN for w in words[low : i + 1])
     closed = any(w.rstrip(".,;:!?")[-1:] in _CLOSE and w.rstrip(".,;:!?") for w in words[i:high])
     near = {t for w in words[low:high] for t in _TOKEN.findall(w.lower())}
-    factor = 1.0
-    if opened and closed:
-        factor *= 0.5
-    if near & REPORTING and opened:
-        factor *= 0.5
-    if near & ADDRESS:
-        factor *= 1.2
-    return factor
+    return opened and closed, bool(opened and near & REPORTING), bool(near & ADDRESS)
+
+
+def factor(marks: tuple[bool, bool, bool], factors: tuple[float, float, float]) -> float:
+    out = 1.0
+    for mark, f in zip(marks, factors, strict=True):
+        out *= f if mark else 1.0
+    return out
 
 
 def _word_counts(batches):
@@ -210,18 +221,35 @@ def _word_counts(batches):
 
 
 def _measured(lexicon: Lexicon):
+    """Each text's label, words, and its hits: weights without context, their contexts as bits, and surfaces that are near a term."""
+
     def run(batches):
         matcher = lexicon.matcher()
         for batch in batches:
-            x, near = [], []
+            n, weights, marks, near = [], [], [], []
             for text in common.texts(batch):
-                x.append(matcher.features(text))
-                near.append(sorted({w for _, e, w in matcher.hits(text) if e}))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("toxic")), pa.array(x, pa.list_(pa.float64())), pa.array(near, pa.list_(pa.string()))], names=["toxic", "x", "near"])
+                hits = matcher.marked(text)
+                n.append(len(text.split())), weights.append([h[0] for h in hits])
+                marks.append([h[3][0] | h[3][1] << 1 | h[3][2] << 2 for h in hits]), near.append(sorted({w for _, e, w, _ in hits if e}))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("toxic")), pa.array(n, pa.int64()), pa.array(weights, pa.list_(pa.float64())), pa.array(marks, pa.list_(pa.int32())), pa.array(near, pa.list_(pa.string()))], names=["toxic", "n", "weights", "marks", "near"])
 
     return run
 
 
+_MEASURED = "toxic int, n bigint, weights array<double>, marks array<int>, near array<string>"
+
+
+def curve(table, factors: tuple[float, float, float]) -> tuple[list[float], float]:
+    """The logistic curve that fits the sample's rows (toxic, n, weights, marks) under these factors, and its mean log loss."""
+    values = [factor((bool(m & 1), bool(m & 2), bool(m & 4)), factors) for m in range(8)]
+    x = np.array([[1.0, *features([w * values[m] for w, m in zip(ws, ms, strict=True)], n)] for n, ws, ms in zip(table["n"], table["weights"], table["marks"], strict=True)])
+    y = table["toxic"].to_numpy().astype(float)
+    w = _adam(lambda w: x.T @ (_sigmoid(x @ w) - y) / len(y) + 1e-4 * w, np.zeros(5), 600, 0.1)
+    w[2:] = np.maximum(0.0, w[2:])  # more or stronger hits never lower a score
+    p = np.clip(_sigmoid(x @ w), 1e-9, 1 - 1e-9)
+    return w.tolist(), float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held: int = 1, of: int = 3) -> Lexicon:
     """Learns from labelled rows whose crc32 remainder is not held."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (common.remainder(F.col("doc_id"), of) != held)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -235,7 +263,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held: int =
     counts = rows.mapInArrow(_word_counts, "term string, stem boolean, clean bigint, toxic bigint").groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # support, and an odds ratio that chance would hardly give
     strong = counts.filter((F.col("toxic") >= F.when(F.col("stem"), 8).otherwise(3)) & (F.col("toxic") * good >= 40 * (F.col("clean") + F.when(F.col("stem"), 0.2).otherwise(0.1)) * bad))
-    picked = strong.orderBy(F.desc("toxic"), "term", "stem").limit(TERMS).collect()
+    picked = strong.orderBy(F.desc("toxic"), "term", "stem").collect()  # words of a bounded sample
     stems = {r["term"] for r in picked if r["stem"]}
     stems = {s for s in stems if not any(s[:k] in stems for k in range(4, len(s)))}
     words = {r["term"] for r in picked if not r["stem"]}
@@ -246,13 +274,16 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held: int =
         if (r["stem"] and t in stems) or (not r["stem"] and len(t) > 2 and not any(t[:k] in stems for k in range(4, len(t)))):
             terms.append((t, r["stem"])), weights.append(float(np.log((r["toxic"] + 0.5) / (bad + 1) * (good + 1) / (r["clean"] + 0.5))))
     lexicon = Lexicon(terms, weights)
-    near = rows.mapInArrow(_measured(lexicon), "toxic int, x array<double>, near array<string>").filter("toxic = 0").select(F.explode("near").alias("w")).distinct().limit(200_000)
+    near = rows.mapInArrow(_measured(lexicon), _MEASURED).filter("toxic = 0").select(F.explode("near").alias("w")).distinct()
     lexicon.own = frozenset(r["w"] for r in near.collect())
-    table = rows.mapInArrow(_measured(lexicon), "toxic int, x array<double>, near array<string>").select("toxic", "x").toPandas()
-    x = np.hstack([np.ones((len(table), 1)), np.array(table["x"].tolist(), dtype=float).reshape(len(table), 4)])
-    y = table["toxic"].to_numpy().astype(float)
-    lexicon.curve = _adam(lambda w: x.T @ (_sigmoid(x @ w) - y) / len(y) + 1e-4 * w, np.zeros(5), 600, 0.1).tolist()
-    lexicon.curve[2:] = [max(0.0, c) for c in lexicon.curve[2:]]  # more or stronger hits never lower a score
+    table = rows.mapInArrow(_measured(lexicon), _MEASURED).select("toxic", "n", "weights", "marks").toPandas().sort_values(["toxic", "n"], kind="stable")
+    lexicon.curve, loss = curve(table, lexicon.factors)
+    for i, tries in enumerate(TRIED):
+        for f in tries[1:]:
+            factors = (*lexicon.factors[:i], f, *lexicon.factors[i + 1 :])
+            made, less = curve(table, factors)
+            if less < loss - 1e-5:
+                lexicon.curve, lexicon.factors, loss = made, factors, less
     return lexicon
 
 

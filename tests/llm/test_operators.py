@@ -300,6 +300,33 @@ def test_quotation_weighs_less():
     assert abuse[0][0] > 2 * quoted[0][0]
 
 
+def test_context_factors_are_learned(spark):
+    r, docs, marks = random.Random(11), [], []
+    for i in range(600):
+        w = [r.choice(WORDS) for _ in range(30)]
+        kind = 1 if i % 3 == 1 else 2 if i % 75 == 2 else 0
+        if kind == 1:
+            w[10] = "scumbag"
+        elif kind == 2:
+            w[8:12] = ["the", "word", '"scumbag"', "is"]
+            w.insert(8, "wrote")
+        docs.append((i, " ".join(w))), marks.append((i, int(kind == 1)))
+    lexicon = toxicity.fitted(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(marks, "doc_id bigint, toxic int"))
+    assert ("scumbag", False) in lexicon.terms and lexicon.factors[0] * lexicon.factors[1] <= 0.25
+    rest = " abc" * 25
+    tried = ["one scumbag here" + rest, "he wrote the word \"scumbag\" once" + rest, "one scumbags here" + rest, "none" + rest]
+    got = {x["doc_id"]: x["score"] for x in toxicity.scored(spark.createDataFrame(list(enumerate(tried)), "doc_id bigint, text string"), lexicon).collect()}
+    print(got, lexicon.factors, lexicon.curve)
+    assert got[0] >= 0.7 and got[2] >= 0.5 and got[1] < got[0] - 0.2 and got[3] < 0.2
+
+
+def test_toxic_on_held_out_rows(spark):
+    sf = SF.replace("0.001", "0.1")
+    rows = toxicity.query(spark, sf).join(common.labels(spark, sf), "doc_id").filter("held_out AND toxic IS NOT NULL").collect()
+    hit = sum(r["predicted"] and r["toxic"] for r in rows)
+    assert hit >= 0.85 * sum(r["toxic"] for r in rows) and hit >= 0.95 * sum(r["predicted"] for r in rows)
+
+
 # ---- context trees
 
 
