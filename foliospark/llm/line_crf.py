@@ -1,8 +1,8 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Each non-blank line is labelled good or bad from its own features and those of its neighbours, with weights for transitions between
-labels. Training takes at most SAMPLE labelled documents (smallest hashes of their ids) of at most LINES lines; a line starts with its
-document's label, and in a second pass lines of bad documents that look good on their own are relabelled, so that a clean line next
+labels. Training takes labelled documents of any length in the order of hashes of their ids, at most SAMPLE of them and, after the first, none that
+brings their lines above LINES together; longer ones are cut into chains of CHAIN lines, all of which count; a line starts with its document's label, and in a second pass lines of bad documents that look good on their own are relabelled, so that a clean line next
 to junk doesn't blur the model. Scoring runs forward-backward over all lines of every text; the length-weighted mean of the good
 marginals, put through a fitted logistic curve, is the document's quality.
 
@@ -10,7 +10,7 @@ The recursion runs over many documents at once: they are ordered by their number
 one. Nothing is padded, so one very long text doesn't enlarge the others.
 
 Defined results: null, empty and blank texts have no lines and get the share of good documents among the training labels (0.5 without
-any); without labels of both kinds every text gets that share; equal texts get equal scores; a null doc_id is scored and not held
+any); texts of any length are read whole; without labels of both kinds every text gets that share; equal texts get equal scores; a null doc_id is scored and not held
 out unless the empty id's hash says so; extra columns don't matter; an empty table gives an empty result.
 """
 
@@ -21,13 +21,13 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Bounds of the training sample: documents, and lines that such a document may have.
-SAMPLE, LINES = 4_000, 1_000
+#: Bounds of the training sample: documents, and lines of all of them together; and lines of a chain in training.
+SAMPLE, LINES, CHAIN = 4_000, 400_000, 500
 THRESHOLD = 0.3
 _UPPER, _DIGITS, _SIGNS = bytes(range(65, 91)), bytes(range(48, 58)), b"#*$%&|<>{}[]\\^~=_"
 _LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -192,18 +192,14 @@ def train(x: np.ndarray, sizes: np.ndarray, counts: np.ndarray, quality: np.ndar
     return out
 
 
-def _lines(most: int):
-    def run(batches):
-        for batch in batches:
-            lines, sizes, keep = [], [], []
-            for i, text in enumerate(common.texts(batch)):
-                x, s = line_features(text)
-                if len(s) <= most:
-                    keep.append(i), lines.append(x.ravel()), sizes.append(s)
-            kept = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(lines, pa.list_(pa.float64())), pa.array(sizes, pa.list_(pa.float64()))], names=["doc_id", "quality", "x", "sizes"])
-
-    return run
+def _lines(batches):
+    """Each text's number of lines, and features and sizes of its lines as packed numbers."""
+    for batch in batches:
+        made = [line_features(text) for text in common.texts(batch)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array([len(s) for _, s in made], pa.int64()), *(pa.array([m[k].astype(np.float32).tobytes() for m in made], pa.binary()) for k in (0, 1))],
+            names=["doc_id", "quality", "n", "x", "sizes"],
+        )
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES, held: int = 0, of: int = 5) -> LineCrf:
@@ -211,11 +207,18 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (common.remainder(F.col("doc_id"), of) != held)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    table = rows.mapInArrow(_lines(lines), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, x array<double>, sizes array<double>").toPandas().sort_values("doc_id", kind="stable").head(sample)
-    counts = np.array([len(s) for s in table["sizes"]], dtype=np.int64)
-    if not len(table):
-        return train(np.zeros((0, OWN)), np.zeros(0), counts, np.zeros(0))
-    return train(np.concatenate(list(table["x"])).reshape(-1, OWN), np.concatenate(list(table["sizes"])), counts, table["quality"].to_numpy().astype(float))
+    rows = common.written(rows.mapInArrow(_lines, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, n bigint, x binary, sizes binary"), "lines")
+    # rows that share a doc_id may be more than the sample: they follow in the order of their features
+    order = rows.select("doc_id", "n", F.xxhash64("doc_id").alias("h"), F.xxhash64("x", "sizes").alias("own")).orderBy("h", "doc_id", "own").limit(sample)
+    w = Window.orderBy("h", "doc_id", "own")
+    order = order.select("doc_id", "own", F.row_number().over(w).alias("place"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("all")).filter((F.col("place") == 1) | (F.col("all") <= lines))
+    table = rows.withColumn("own", F.xxhash64("x", "sizes")).join(F.broadcast(order.select("doc_id", "own").distinct()), ["doc_id", "own"], "left_semi").select("doc_id", "own", "quality", "x", "sizes").toPandas().sort_values(["doc_id", "own"], kind="stable").head(sample)
+    common.removed(rows)
+    x, sizes = (np.frombuffer(b"".join(table[c]), np.float32).astype(np.float64) for c in ("x", "sizes"))
+    counts = np.array([len(s) // 4 for s in table["sizes"]], dtype=np.int64)
+    chains = [[CHAIN] * (n // CHAIN) + ([n % CHAIN] if n % CHAIN or not n else []) for n in counts.tolist()]
+    quality = np.repeat(table["quality"].to_numpy().astype(float), [len(c) for c in chains])
+    return train(x.reshape(-1, OWN), sizes, np.array([n for c in chains for n in c], dtype=np.int64), quality)
 
 
 #: Texts that are scored at once.

@@ -5,7 +5,8 @@ conjunction of thresholds, is grown condition by condition by information gain o
 last third, kept while it is right there often enough, and the rows that it covers are set aside before the next is grown. The list
 becomes one ordered CASE expression, which Spark evaluates; anyone can read it (see `DecisionList.sql`).
 
-Learning takes at most SAMPLE labelled rows, those with the smallest hashes of their ids; statistics and verdicts cover all rows.
+Learning takes at most SAMPLE labelled rows, those with the smallest hashes of their ids; a fifth of the labels, by the crc32 of the id, is left out, so
+that the list can be measured. Statistics and verdicts cover all rows.
 
 Defined results: null and empty texts have all counts 0 and fail the base rule; equal rows get equal verdicts; a document without
 doc_id is judged like any other; without labelled rows of both kinds the list is empty and the base rule alone decides;
@@ -192,10 +193,11 @@ def learn(table: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9,
     return DecisionList(tuple(rules))
 
 
-def fitted(counts: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DecisionList:
-    """The list that at most sample labelled rows teach."""
-    chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = counts.join(F.broadcast(chosen), "doc_id").selectExpr("quality", *(f"CAST({x} AS double) AS {k}" for k, x in FEATURES.items())).orderBy("quality", *FEATURES).limit(sample).toPandas()
+def fitted(counts: DataFrame, labels: DataFrame, sample: int = SAMPLE, held: int = 0, of: int = 5) -> DecisionList:
+    """The list that at most sample labelled rows teach whose crc32 remainder is not held."""
+    chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (common.remainder(F.col("doc_id"), of) != held)).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    rows = counts.join(F.broadcast(chosen), "doc_id").selectExpr("doc_id", "quality", *(f"CAST({x} AS double) AS {k}" for k, x in FEATURES.items()))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *FEATURES).limit(sample).toPandas()
     bad = (rows["quality"] == 0).to_numpy()
     if not len(bad) or bad.all() or not bad.any():
         return DecisionList(())

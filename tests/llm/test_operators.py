@@ -269,6 +269,33 @@ def test_quality_on_held_out_rows(spark):
     assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.95 * len(rows)
 
 
+def test_long_documents_teach_too(spark):
+    docs = [(i, "good words stand here in this line\n" * 1500 if i % 2 else "### $$$ %%% 9 9 9\n" * 1500) for i in range(12)]
+    model = line_crf.fitted(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, quality int"))
+    good, bad = model.score(["good words stand here in this line", "### $$$ %%% 9 9 9"])
+    assert good > 0.7 and bad < 0.3
+
+
+def test_scores_equal_enumeration(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs, seen = common.documents(spark, sf), 0
+    model = line_crf.fitted(docs, common.labels(spark, sf))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in line_crf.query(spark, sf).collect():
+        x, sizes = line_crf.line_features(texts[r["doc_id"]])
+        assert r["predicted"] == int(r["score"] >= line_crf.THRESHOLD) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        if not 0 < len(sizes) <= 7:
+            continue
+        emission = line_crf.with_neighbours(x, np.array([len(sizes)])) @ model.weights
+        weights = {y: math.exp(sum(emission[i] * v for i, v in enumerate(y)) + sum(model.transition[a, b] for a, b in zip(y, y[1:], strict=False))) for y in itertools.product((0, 1), repeat=len(sizes))}
+        share = sum(w * sum(s for s, v in zip(sizes, y, strict=True) if v) for y, w in weights.items()) / sum(weights.values()) / sum(sizes)
+        share = min(max(share, 0.002), 0.998)
+        want = 1 / (1 + math.exp(-(model.curve[0] * math.log(share / (1 - share)) + model.curve[1])))
+        assert abs(r["score"] - want) < 1e-4
+        seen += 1
+    assert seen > 100
+
+
 # ---- toxicity
 
 
@@ -589,6 +616,26 @@ def test_covering_learns_thresholds():
     assert (got == bad).mean() > 0.97 and "CASE WHEN" in rules.sql()
 
 
+def test_verdicts_equal_brute_force(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = common.documents(spark, sf), common.labels(spark, sf)
+    rules = quality_rules.fitted(quality_rules.counted(docs), labels)
+    texts, good = {r["doc_id"]: r["text"] or "" for r in docs.collect()}, {r["doc_id"]: r["quality"] for r in labels.collect()}
+    right = n = 0
+    for x in quality_rules.query(spark, sf).collect():
+        t = texts[x["doc_id"]]
+        c = dict(zip(quality_rules.COUNTS, quality_rules.statistics(t), strict=True))
+        failed = c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"]
+        scope = {"greatest": max, **c}
+        table = {k: np.array([float(eval(e, scope))]) for k, e in quality_rules.FEATURES.items()}  # noqa: S307
+        rejected = any(quality_rules.covered(r, table, 1)[0] for r in rules.rules)
+        assert (x["base_failed"], x["kept"]) == (failed, not failed and not rejected)
+        assert all(x[k] == c[k] for k in quality_rules.COUNTS[:5])
+        if good.get(x["doc_id"]) is not None and not failed and zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0:
+            n, right = n + 1, right + (x["kept"] == bool(good[x["doc_id"]]))
+    assert n > 50 and right >= 0.9 * n
+
+
 def test_digests(spark):
     rows = exact_dedup.query(spark, SF).collect()
     texts = {r["doc_id"]: r["text"] for r in common.documents(spark, SF).collect()}
