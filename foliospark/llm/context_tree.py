@@ -30,13 +30,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-DEPTH, ROOT, BLOCK, END = 6, 3, 24_000_000, b"\xff"
+DEPTH, ROOT, BLOCK, END = 6, 3, 30_000_000, b"\xff"
 #: Bytes of texts whose runs are in hand at once.
 STRETCH = 2_000_000
 
@@ -86,20 +87,20 @@ def _runs(held: list[bytes], owners: list[tuple[int, int]], depth: int) -> np.nd
 
 def _planes(x: np.ndarray) -> bytes:
     """Numbers packed: equal bytes of neighbours side by side, compressed."""
-    return zlib.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+    return zstandard.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 3)
 
 
 def _numbers(blob: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def _pack(rows: list[tuple[bytes, bool, bytes]]) -> bytes:
-    return zlib.compress(b"".join(struct.pack("<iBq", len(k), h, len(t)) + k + t for k, h, t in rows), 1)
+    return zstandard.compress(b"".join(x for k, h, t in rows for x in (struct.pack("<iBq", len(k), h, len(t)), k, t)), 3)
 
 
 def _unpack(blob: bytes) -> Iterator[tuple[bytes, bool, bytes]]:
-    raw, at = zlib.decompress(blob), 0
+    raw, at = zstandard.decompress(blob), 0
     while at < len(raw):
         a, h, n = struct.unpack_from("<iBq", raw, at)
         at += 13
@@ -115,7 +116,7 @@ def _group(runs_: np.ndarray, root: int, groups: int) -> np.ndarray:
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts."""
     k, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k)
+    order = np.argsort(k).astype(np.int32 if len(k) < 1 << 31 else np.int64)
     k, n = k[order], n[order]
     start = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, dtype=np.int64)
     return k[start], np.add.reduceat(n, start) if len(k) else n
@@ -130,7 +131,7 @@ def _counted(depth: int, root: int, size: int, groups: int):
     def table(block: int, rows: list[tuple[bytes, bool, bytes]]):
         words: Counter = Counter()
         other: set[bytes] = set()
-        held_keys, held_counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        held_keys, held_counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
         for held in (False, True):
             texts = [t for _, h, t in rows if h is held]
             for t in texts:
@@ -142,8 +143,8 @@ def _counted(depth: int, root: int, size: int, groups: int):
             words[END] += 0 if held else len(texts)
             for r, _ in stretches(texts, depth):
                 k, n = np.unique(r, return_counts=True)
-                held_keys.append(k), held_counts.append(n * (not held))
-                if len(held_keys) > 8:
+                held_keys.append(k), held_counts.append((n * (not held)).astype(np.int32))
+                if len(held_keys) > 3:
                     k, n = _summed(held_keys, held_counts)
                     held_keys, held_counts = [k], [n]
         for w in other:
@@ -161,7 +162,7 @@ def _counted(depth: int, root: int, size: int, groups: int):
             if len(mine) or lists[g]:
                 k = keys[mine]
                 n = np.fromiter(map(words.__getitem__, lists[g]), np.int64, len(lists[g]))
-                out.append((block, g, _planes(np.diff(k, prepend=0)), _planes(counts[mine]), zlib.compress(b"\n".join(lists[g]), 1), _planes(n), None))
+                out.append((block, g, _planes(np.diff(k, prepend=0)), _planes(counts[mine].astype(np.int64)), zstandard.compress(b"\n".join(lists[g]), 3), _planes(n), None))
         out.append((block, -1, None, None, None, None, _pack(rows)))
         types = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["block", "part", "runs", "counts", "words", "word_counts", "texts"])
@@ -297,7 +298,7 @@ def _merged(lists: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
 
 
 def _words(lists: pa.Table) -> tuple[list[list[bytes]], Counter]:
-    each, total = [zlib.decompress(w).split(b"\n") if len(n) else [] for w, n in zip(lists.column("words").to_pylist(), map(lambda x: _numbers(x, np.int64), lists.column("word_counts").to_pylist()), strict=True)], Counter()
+    each, total = [zstandard.decompress(w).split(b"\n") if len(n) else [] for w, n in zip(lists.column("words").to_pylist(), map(lambda x: _numbers(x, np.int64), lists.column("word_counts").to_pylist()), strict=True)], Counter()
     for ws, n in zip(each, lists.column("word_counts").to_pylist(), strict=True):
         for w, c in zip(ws, _numbers(n, np.int64).tolist(), strict=True):
             total[w] += c
@@ -373,20 +374,22 @@ _SCORES = "key string, held_out boolean, n_tokens bigint, n_known bigint, train_
 def _scored(depth: int, total: int, distinct: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         bottom = total + 0.5 * (distinct + 1)
-        counts: dict[bytes, int] = {}
-        keys, values = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.float32)]
+        place: dict[bytes, int] = {}
+        keys, values, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.float32)], [np.zeros(0, dtype=np.int64)]
         blob = None
         for r, lp, w, n, texts in zip(*(rows.column(c).to_pylist() for c in ("runs", "lp", "words", "word_counts", "texts")), strict=True):
             if texts is not None:
                 blob = texts
                 continue
             keys.append(np.cumsum(_numbers(r, np.int64))), values.append(_numbers(lp, np.float32))
-            n = _numbers(n, np.int64).tolist()
-            counts.update(zip(zlib.decompress(w).split(b"\n"), n, strict=True) if n else ())
+            counts.append(_numbers(n, np.int64))
+            if len(counts[-1]):
+                place.update(zip(zstandard.decompress(w).split(b"\n"), range(len(place), len(place) + len(counts[-1])), strict=True))
         keys_, values_ = np.concatenate(keys), np.concatenate(values)
         order = np.argsort(keys_)
         keys_, values_ = keys_[order], values_[order].astype(np.float64)
-        logs = {w: math.log10((c + 0.5) / bottom) for w, c in counts.items()}
+        counts_ = np.concatenate(counts)
+        logs = np.log10((counts_ + 0.5) / bottom)
         docs = list(_unpack(blob))
         scores = [0.0] * len(docs)
         for r, owners in stretches([t for _, _, t in docs], depth):
@@ -398,7 +401,8 @@ def _scored(depth: int, total: int, distinct: int):
         out = []
         for (k, h, t), s in zip(docs, scores, strict=True):
             w = [*t[:-1].split(), END]
-            out.append((k.decode() or None, h, len(w), sum(map(bool, map(counts.__getitem__, w))), total, math.fsum(map(logs.__getitem__, w)), s, len(t)))
+            at = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
+            out.append((k.decode() or None, h, len(w), int((counts_[at] > 0).sum()), total, float(logs[at].sum()), s, len(t)))
         types = (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
 
