@@ -39,7 +39,7 @@ from . import common
 
 DEPTH, ROOT, BLOCK, END = 6, 3, 30_000_000, b"\xff"
 #: Bytes of texts whose runs are in hand at once.
-STRETCH = 2_000_000
+STRETCH = 500_000
 
 
 # ---- texts and lists ----------------------------------------------------------------------------------------------------------
@@ -110,7 +110,7 @@ def _unpack(blob: bytes) -> Iterator[tuple[bytes, bool, bytes]]:
 
 def _group(runs_: np.ndarray, root: int, groups: int) -> np.ndarray:
     ctx = ((runs_ >> 8) & ((1 << (8 * root)) - 1)).astype(np.uint64)
-    return (((ctx * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+    return (((ctx * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(groups)).astype(np.int16)
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +131,7 @@ def _counted(depth: int, root: int, size: int, groups: int):
     def table(block: int, rows: list[tuple[bytes, bool, bytes]]):
         words: Counter = Counter()
         other: set[bytes] = set()
-        held_keys, held_counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
+        sums: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32))]
         for held in (False, True):
             texts = [t for _, h, t in rows if h is held]
             for t in texts:
@@ -143,16 +143,22 @@ def _counted(depth: int, root: int, size: int, groups: int):
             words[END] += 0 if held else len(texts)
             for r, _ in stretches(texts, depth):
                 k, n = np.unique(r, return_counts=True)
-                held_keys.append(k), held_counts.append((n * (not held)).astype(np.int32))
-                if len(held_keys) > 3:
-                    k, n = _summed(held_keys, held_counts)
-                    held_keys, held_counts = [k], [n]
+                sums.append((k, (n * (not held)).astype(np.int32)))
+                while len(sums) > 1 and 2 * len(sums[-1][0]) >= len(sums[-2][0]):  # neighbours of like size are merged
+                    one, two = sums.pop(), sums.pop()
+                    sums.append(_summed([two[0], one[0]], [two[1], one[1]]))
+                    del one, two
         for w in other:
             words.setdefault(w, 0)
-        keys, counts = _summed(held_keys, held_counts)
+        while len(sums) > 1:
+            one, two = sums.pop(), sums.pop()
+            sums.append(_summed([two[0], one[0]], [two[1], one[1]]))
+            del one, two
+        keys, counts = sums.pop()
         group = _group(keys, root, groups)
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group, kind="stable").astype(np.int32)
         cut = np.searchsorted(group[order], np.arange(groups + 1))
+        del group
         lists: list[list[bytes]] = [[] for _ in range(groups)]
         for w in words:
             lists[zlib.crc32(w) % groups].append(w)
@@ -386,15 +392,17 @@ def _scored(depth: int, total: int, distinct: int):
             if len(counts[-1]):
                 place.update(zip(zstandard.decompress(w).split(b"\n"), range(len(place), len(place) + len(counts[-1])), strict=True))
         keys_, values_ = np.concatenate(keys), np.concatenate(values)
-        order = np.argsort(keys_)
-        keys_, values_ = keys_[order], values_[order].astype(np.float64)
+        keys.clear(), values.clear()
+        order = np.argsort(keys_).astype(np.int32)
+        keys_, values_ = keys_[order], values_[order]
+        del order
         counts_ = np.concatenate(counts)
         logs = np.log10((counts_ + 0.5) / bottom)
         docs = list(_unpack(blob))
         scores = [0.0] * len(docs)
         for r, owners in stretches([t for _, _, t in docs], depth):
             distinct_, back = np.unique(r, return_inverse=True)
-            lp = values_[np.searchsorted(keys_, distinct_)][back]
+            lp = values_[np.searchsorted(keys_, distinct_)].astype(np.float64)[back]
             sizes = np.fromiter((n for _, n in owners), np.int64, len(owners))
             for (i, _), s in zip(owners, np.add.reduceat(lp, np.cumsum(sizes) - sizes).tolist(), strict=True):
                 scores[i] += s
