@@ -9,6 +9,7 @@ normalisation, has rare letters, holds one of the vocabulary's added tokens or i
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
@@ -21,7 +22,6 @@ LONGEST = 48
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Latin letters whose lower case is one letter and which NFC leaves alone; anything else takes the library's way.
 _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
-_CUT = re.compile("[ \n]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -39,7 +39,8 @@ class WordBpe:
         model = spec["model"]
         # strings that the library takes whole wherever they stand; none holds a blank, so cutting at blanks leaves them whole
         self.whole = [t["content"] for t in spec["added_tokens"]]
-        assert not any(_CUT.search(t) for t in self.whole)
+        assert not any(" " in t or "\n" in t for t in self.whole)
+        self.mark = os.path.commonprefix(self.whole)
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         letters = _byte_letters()
         self.inner = np.array([vocab[letters[b]] for b in range(256)], dtype=np.int64)
@@ -64,10 +65,10 @@ class WordBpe:
         ends = np.cumsum(sizes) - 1
         symbols[ends] = self.last[raw[ends]]
         none, done = len(self.keys), []
+        ranks = np.full(len(symbols), none)  # of each symbol with the next one of its word
+        if len(symbols):
+            ranks[:-1] = np.where(owner[:-1] == owner[1:], self._pair_ranks(symbols[:-1], symbols[1:]), none)
         while len(symbols):
-            ranks = self._pair_ranks(symbols[:-1], symbols[1:])
-            ranks[owner[:-1] != owner[1:]] = none
-            ranks = np.append(ranks, none)
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             low = np.minimum.reduceat(ranks, starts)
             lengths = np.diff(np.append(starts, len(symbols)))
@@ -77,15 +78,20 @@ class WordBpe:
                 symbols, owner, ranks = symbols[active], owner[active], ranks[active]
                 if not len(symbols):
                     break
-                starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-                lengths = np.diff(np.append(starts, len(symbols)))
+                lengths = lengths[low < none]
                 low = low[low < none]
             hit = np.flatnonzero(ranks == np.repeat(low, lengths))
             hit = hit[np.append(True, owner[hit[1:]] != owner[hit[:-1]])]
             symbols[hit] = self.made[ranks[hit]]
             keep = np.ones(len(symbols), dtype=bool)
             keep[hit + 1] = False
-            symbols, owner = symbols[keep], owner[keep]
+            symbols, owner, ranks = symbols[keep], owner[keep], ranks[keep]
+            # only what a new symbol is a part of has a new rank
+            hit = hit - np.arange(len(hit))
+            for left in (hit, hit[hit > 0] - 1):
+                right = np.minimum(left + 1, len(symbols) - 1)
+                same = (owner[left] == owner[right]) & (right > left)
+                ranks[left] = np.where(same, self._pair_ranks(symbols[left], symbols[right]), none)
         owner = np.concatenate([x for x, _ in done]) if done else np.empty(0, np.int64)
         symbols = np.concatenate([x for _, x in done]) if done else np.empty(0, np.int64)
         order = np.argsort(owner, kind="stable")
@@ -96,7 +102,7 @@ class WordBpe:
             self.known.clear()
         quick, slow, pieces, counts = [], [], [], []
         for s in stretches:
-            if _PLAIN.fullmatch(s) and len(s) <= LONGEST and not any(t in s for t in self.whole):
+            if _PLAIN.fullmatch(s) and len(s) <= LONGEST and not (self.whole and self.mark in s and any(t in s for t in self.whole)):
                 own = [s.lower().encode()] if s.isalpha() else [p.encode() for p in _PIECES.findall(s.lower())]
                 quick.append(s), counts.append(len(own))
                 pieces += own
@@ -112,7 +118,7 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
-        cut = [_CUT.split(t) if "\n" in t else t.split(" ") for t in texts]
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
         new = {s for c in cut for s in c if s not in known}
         if new:
