@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import datetime
 import sys
+import uuid
 
 FORMATS = ("html", "html-multi", "xml", "epub", "itok", "itex", "idoc")
 VERSION = "0.1.0"
+ENDINGS = {"html": "html", "xml": "xml", "epub": "epub", "idoc": "json"}
 
 
 def options(args: list[str] | None = None) -> argparse.Namespace:
@@ -23,8 +26,8 @@ def options(args: list[str] | None = None) -> argparse.Namespace:
 
 def main(args: list[str] | None = None) -> int:
     o = options(args)
-    if o.to == "epub" and not o.output:
-        print("an output path is needed for EPUB", file=sys.stderr)
+    if o.to in ("epub", "html-multi") and not o.output:
+        print(f"an output path is needed for {o.to}", file=sys.stderr)
         return 1
     from pyspark.sql import SparkSession
 
@@ -32,27 +35,54 @@ def main(args: list[str] | None = None) -> int:
     from .shipping import ship
     from .sources import files
 
+    def say(text: str) -> None:
+        if o.verbose:
+            print(text, file=sys.stderr)
+
     spark = SparkSession.builder.appName("foliospark").getOrCreate()
     ship(spark)
     works = None
     if o.bib:
         try:
             works = corpus.works(corpus.bib_fields(files.bib_files(spark, o.bib)))
+            say(f"{len(works)} works in {o.bib}")
         except Exception as e:  # an unreadable bibliography is no reason to stop
             print(f"warning: bibliography can't be read: {e}\nwarning: going on without it", file=sys.stderr)
     sources = files.tex_files(spark, o.path)
-    if o.to == "itok":
-        rows = corpus.tokens(sources)
-    elif o.to == "itex":
-        rows = corpus.atoms(sources)
+    beside = o.path.rsplit("/", 1)[0] if "/" in o.path else "."
+    include = corpus.includes(files.tex_files(spark, f"{beside}/*.tex")) if o.path.endswith(".tex") else None
+    failed = 0
+
+    def name(path: str) -> str:
+        return path.rsplit("/", 1)[-1].removesuffix(".tex")
+
+    if o.to == "epub":
+        image = spark.read.format("binaryFile").load(o.cover).select("content").first()["content"] if o.cover else None
+        cover = (f"cover.{o.cover.rsplit('.', 1)[-1]}", bytes(image)) if image else None
+        rows = corpus.archives(sources, works, include, str(uuid.uuid4()), datetime.date.today().isoformat(), cover)
+    elif o.to in ("itok", "itex"):
+        rows = (corpus.tokens if o.to == "itok" else corpus.atoms)(sources, include)
     else:
-        rows = corpus.pages(sources, {"html-multi": "multi", "idoc": "native"}.get(o.to, o.to), works)
-    if o.output:
+        rows = corpus.pages(sources, {"html-multi": "multi", "idoc": "native"}.get(o.to, o.to), works, include)
+    if o.to in ("itok", "itex") and o.output:
         files.write_native(rows, o.output)
-    else:
-        for r in rows.toLocalIterator():
-            print(r["content"] if "content" in rows.columns and r["content"] is not None else r)
-    return 0
+        return 0
+    single = sources.limit(2).count() == 1
+    for r in rows.toLocalIterator():
+        if r["error"] is not None:
+            print(f"error: {r['path']}: {r['error']}", file=sys.stderr)
+            failed += 1
+        elif not o.output:
+            print(r["content"] if "content" in rows.columns else r)
+        else:
+            content = r["content"] if o.to == "epub" else r["content"].encode()
+            if o.to == "html-multi":
+                target = f"{o.output}/{r['file']}" if single else f"{o.output}/{name(r['path'])}/{r['file']}"
+            else:
+                target = o.output if single else f"{o.output}/{name(r['path'])}.{ENDINGS[o.to]}"
+            files.write_file(spark, target, bytes(content))
+            say(f"{r['path']} -> {target}")
+    return 1 if failed else 0
 
 
 if __name__ == "__main__":

@@ -44,15 +44,14 @@ def wrapped(text: Column, before: str, after: str) -> Column:
 
 def letters(rank: Column) -> Column:
     """0 a, 25 z, 26 aa, 701 zz, 702 aaa, and so on; nothing below 0."""
-    first, second = F.lit(26), F.lit(26 + 26 * 26)
+    start = F.struct((rank.cast("bigint") + 1).alias("n"), F.lit("").alias("s"))
+    # fourteen letters number more than a bigint does
 
-    def letter(n: Column) -> Column:
-        return F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), n.cast("int") + 1, F.lit(1))
+    def step(a: Column, _: Column) -> Column:
+        letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(a["n"] - 1, F.lit(26)).cast("int") + 1, F.lit(1))
+        return F.when(a["n"] > 0, F.struct(F.floor((a["n"] - 1) / 26).cast("bigint").alias("n"), F.concat(letter, a["s"]).alias("s"))).otherwise(a)
 
-    one = letter(rank)
-    two = F.concat(letter(F.floor((rank - first) / 26)), letter((rank - first) % 26))
-    three = F.concat(letter(F.floor((rank - second) / 676)), letter(F.floor((rank - second) / 26) % 26), letter((rank - second) % 26))
-    return F.when(rank < 0, "").when(rank < first, one).when(rank < second, two).otherwise(three)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda a: a["s"])
 
 
 def section_id(region: Column, path: Column) -> Column:

@@ -10,7 +10,7 @@ from typing import NamedTuple
 ESCAPE, BEGIN, END, MATH, ALIGN, EOL, PARAM, SUP, SUB, IGNORED, SPACE, LETTER, OTHER, ACTIVE, COMMENT, INVALID = range(16)
 #: The category codes that plain TeX starts with.
 DEFAULTS = {"\\": ESCAPE, "{": BEGIN, "}": END, "$": MATH, "&": ALIGN, "\n": EOL, "#": PARAM, "^": SUP, "_": SUB, "\0": IGNORED, " ": SPACE, "\t": SPACE, "~": ACTIVE, "%": COMMENT, "\x7f": INVALID}
-#: Expansions after which a text counts as looping.
+#: Expansions without a character of the text or of an included file taken after which a text counts as looping.
 FUEL = 100_000
 
 
@@ -36,6 +36,7 @@ class Macro:
     end: list[Token] | None = None  # of environments
     primitive: str | None = None
     char: Token | None = None
+    undefined: bool = False  # named by \\let when nothing had that name
 
 
 PAR, SPACE_TOKEN = Token("cs", "par"), Token("char", " ", SPACE)
@@ -55,6 +56,7 @@ class Lexer:
         self.cats, self.macros, self.envs = ChainMap({}, dict(DEFAULTS)), ChainMap({}, {}), ChainMap({}, {})
         self.groups: list[str] = []
         self.fuel, self.started, self.now = FUEL, False, now
+        self.files: list[str] = []  # that are being read
         self.resolver = resolver.get if isinstance(resolver, Mapping) else resolver
 
     # ---- characters and raw tokens
@@ -95,8 +97,12 @@ class Lexer:
         while self.input:
             c = self.input.pop()
             if isinstance(c, Token):
+                if c.kind == "file":
+                    self.files.pop()
+                    continue
                 self.started = True
                 return c
+            self.fuel = FUEL
             k = self.cat(c)
             if k in (EOL, SPACE, COMMENT):
                 self.input.append(c)
@@ -353,6 +359,8 @@ class Lexer:
             return f"{names.get(t.cat, 'the character')} {t.text}"
         if m and m.primitive or not m and t.text in PRIMITIVES:
             return f"primitive:{m.primitive if m else t.text}"
+        if m and m.undefined:
+            return "undefined"
         if m and m.char:
             return self.describe(m.char)
         if m:
@@ -389,8 +397,8 @@ class Lexer:
                 self.macros[t.show()] = m
             elif u.text in PRIMITIVES:
                 self.macros[t.show()] = Macro([], [], primitive=u.text)
-            elif u != t:
-                self.macros[t.show()] = Macro([], [u])
+            else:
+                self.macros[t.show()] = Macro([], [], undefined=True)
         elif name in ("newcommand", "renewcommand", "providecommand", "DeclareRobustCommand"):
             self.star()
             t = self.group()[-1]
@@ -472,8 +480,10 @@ class Lexer:
                 found = found if found is not None else self.resolver(file + ".tex")
                 if found is None:
                     raise TeXError(f"file {file} can't be read")
-                self.spend()
-                self.push(list(found))
+                if file in self.files:
+                    raise TeXError(f"file {file} includes itself")
+                self.files.append(file)
+                self.push([*found, Token("file", file)])
         elif name in ("year", "month", "day", "time"):
             value = "" if self.now is None else str(self.now.hour * 60 + self.now.minute) if name == "time" else str(getattr(self.now, name))
             return [Token("char", c, LETTER) for c in value]
@@ -506,6 +516,8 @@ class Lexer:
                 m = self.macros.get(t.show())
                 if m is not None and m.char is not None:
                     t = m.char
+                elif m is not None and m.undefined:
+                    pass
                 elif m is not None and m.primitive is None:
                     self.spend()
                     self.push(self.substitute(m.body, self.capture(m.args)))

@@ -22,46 +22,52 @@ SPECS = {
     **{c: "" for c in "centering em rm it hline frontmatter mainmatter appendix backmatter par ex trans glt maketitle tableofcontents".split()},
 }
 ENVIRONMENTS = {"figure": "o", "table": "o", "tabular": "om", "document": "", "quotation": "", "center": "", "itemize": "", "enumerate": "", "exe": "", "xlist": ""}
-#: Accents by their combining marks' Unicode names.
+#: Accents and their combining marks.
 ACCENTS = {
-    "`": "GRAVE ACCENT", "'": "ACUTE ACCENT", "^": "CIRCUMFLEX ACCENT", "~": "TILDE", '"': "DIAERESIS", "=": "MACRON", ".": "DOT ABOVE", "u": "BREVE", "v": "CARON", "H": "DOUBLE ACUTE ACCENT", "r": "RING ABOVE", "c": "CEDILLA", "k": "OGONEK",
-    "d": "DOT BELOW", "b": "MACRON BELOW", "hat": "CIRCUMFLEX ACCENT", "tilde": "TILDE", "bar": "MACRON", "dot": "DOT ABOVE", "ddot": "DIAERESIS", "vec": "RIGHT ARROW ABOVE", "acute": "ACUTE ACCENT", "grave": "GRAVE ACCENT", "check": "CARON", "breve": "BREVE", "mathring": "RING ABOVE",
+    "`": "\u0300", "'": "\u0301", "^": "\u0302", "~": "\u0303", '"': "\u0308", "=": "\u0304", ".": "\u0307", "u": "\u0306", "v": "\u030c",
+    "H": "\u030b", "r": "\u030a", "c": "\u0327", "k": "\u0328", "d": "\u0323", "b": "\u0331", "hat": "\u0302", "tilde": "\u0303", "bar": "\u0304",
+    "dot": "\u0307", "ddot": "\u0308", "vec": "\u20d7", "acute": "\u0301", "grave": "\u0300", "check": "\u030c", "breve": "\u0306",
+    "mathring": "\u030a",
 }
-#: Symbols of text and mathematics by their Unicode names; Greek letters follow from their names.
+#: The accent that ties two characters.
+TIES = {"t": "\u0361"}
+#: Symbols of text and mathematics and their characters.
 SYMBOLS = {
-    "ss": "LATIN SMALL LETTER SHARP S", "ae": "LATIN SMALL LETTER AE", "AE": "LATIN CAPITAL LETTER AE", "oe": "LATIN SMALL LIGATURE OE", "OE": "LATIN CAPITAL LIGATURE OE", "o": "LATIN SMALL LETTER O WITH STROKE", "O": "LATIN CAPITAL LETTER O WITH STROKE", "aa": "LATIN SMALL LETTER A WITH RING ABOVE", "AA": "LATIN CAPITAL LETTER A WITH RING ABOVE", "l": "LATIN SMALL LETTER L WITH STROKE", "L": "LATIN CAPITAL LETTER L WITH STROKE", "i": "LATIN SMALL LETTER DOTLESS I", "j": "LATIN SMALL LETTER DOTLESS J", "dh": "LATIN SMALL LETTER ETH", "DH": "LATIN CAPITAL LETTER ETH", "th": "LATIN SMALL LETTER THORN", "TH": "LATIN CAPITAL LETTER THORN", "ng": "LATIN SMALL LETTER ENG", "NG": "LATIN CAPITAL LETTER ENG",
-    "dag": "DAGGER", "ddag": "DOUBLE DAGGER", "S": "SECTION SIGN", "P": "PILCROW SIGN", "copyright": "COPYRIGHT SIGN", "pounds": "POUND SIGN", "textbackslash": "REVERSE SOLIDUS", "textbar": "VERTICAL LINE", "textless": "LESS-THAN SIGN", "textgreater": "GREATER-THAN SIGN", "textendash": "EN DASH", "textemdash": "EM DASH", "ldots": "HORIZONTAL ELLIPSIS", "dots": "HORIZONTAL ELLIPSIS", "textquoteleft": "LEFT SINGLE QUOTATION MARK", "textquoteright": "RIGHT SINGLE QUOTATION MARK", "textquotedblleft": "LEFT DOUBLE QUOTATION MARK", "textquotedblright": "RIGHT DOUBLE QUOTATION MARK",
-    "-": "SOFT HYPHEN", "times": "MULTIPLICATION SIGN", "div": "DIVISION SIGN", "pm": "PLUS-MINUS SIGN", "mp": "MINUS-OR-PLUS SIGN", "cdot": "DOT OPERATOR", "ast": "ASTERISK OPERATOR", "star": "STAR OPERATOR", "circ": "RING OPERATOR", "bullet": "BULLET OPERATOR", "cap": "INTERSECTION", "cup": "UNION", "vee": "LOGICAL OR", "wedge": "LOGICAL AND", "setminus": "SET MINUS", "oplus": "CIRCLED PLUS", "otimes": "CIRCLED TIMES", "leq": "LESS-THAN OR EQUAL TO", "le": "LESS-THAN OR EQUAL TO", "geq": "GREATER-THAN OR EQUAL TO", "ge": "GREATER-THAN OR EQUAL TO", "neq": "NOT EQUAL TO", "ne": "NOT EQUAL TO", "equiv": "IDENTICAL TO", "approx": "ALMOST EQUAL TO", "sim": "TILDE OPERATOR", "simeq": "ASYMPTOTICALLY EQUAL TO", "cong": "APPROXIMATELY EQUAL TO", "propto": "PROPORTIONAL TO", "subset": "SUBSET OF", "supset": "SUPERSET OF", "subseteq": "SUBSET OF OR EQUAL TO", "supseteq": "SUPERSET OF OR EQUAL TO", "in": "ELEMENT OF", "ni": "CONTAINS AS MEMBER", "notin": "NOT AN ELEMENT OF", "vdash": "RIGHT TACK", "dashv": "LEFT TACK", "models": "TRUE", "perp": "UP TACK", "parallel": "PARALLEL TO", "mid": "DIVIDES", "ll": "MUCH LESS-THAN", "gg": "MUCH GREATER-THAN",
-    "leftarrow": "LEFTWARDS ARROW", "rightarrow": "RIGHTWARDS ARROW", "to": "RIGHTWARDS ARROW", "gets": "LEFTWARDS ARROW", "leftrightarrow": "LEFT RIGHT ARROW", "Leftarrow": "LEFTWARDS DOUBLE ARROW", "Rightarrow": "RIGHTWARDS DOUBLE ARROW", "Leftrightarrow": "LEFT RIGHT DOUBLE ARROW", "uparrow": "UPWARDS ARROW", "downarrow": "DOWNWARDS ARROW", "mapsto": "RIGHTWARDS ARROW FROM BAR", "infty": "INFINITY", "forall": "FOR ALL", "exists": "THERE EXISTS", "neg": "NOT SIGN", "lnot": "NOT SIGN", "emptyset": "EMPTY SET", "nabla": "NABLA", "partial": "PARTIAL DIFFERENTIAL", "sum": "N-ARY SUMMATION", "prod": "N-ARY PRODUCT", "int": "INTEGRAL", "oint": "CONTOUR INTEGRAL", "surd": "SQUARE ROOT", "top": "DOWN TACK", "bot": "UP TACK", "angle": "ANGLE", "prime": "PRIME", "aleph": "ALEF SYMBOL", "ell": "SCRIPT SMALL L", "wp": "SCRIPT CAPITAL P", "Re": "BLACK-LETTER CAPITAL R", "Im": "BLACK-LETTER CAPITAL I", "langle": "MATHEMATICAL LEFT ANGLE BRACKET", "rangle": "MATHEMATICAL RIGHT ANGLE BRACKET", "lfloor": "LEFT FLOOR", "rfloor": "RIGHT FLOOR", "lceil": "LEFT CEILING", "rceil": "RIGHT CEILING",
+    "ss": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "o": "ø", "O": "Ø", "aa": "å", "AA": "Å", "l": "ł", "L": "Ł", "i": "ı", "j": "ȷ",
+    "dh": "ð", "DH": "Ð", "th": "þ", "TH": "Þ", "ng": "ŋ", "NG": "Ŋ", "dag": "†", "ddag": "‡", "S": "§", "P": "¶", "copyright": "©", "pounds": "£",
+    "textbackslash": "\\", "textbar": "|", "textless": "<", "textgreater": ">", "textendash": "–", "textemdash": "—", "ldots": "…", "dots": "…",
+    "textquoteleft": "‘", "textquoteright": "’", "textquotedblleft": "“", "textquotedblright": "”", "-": "\u00ad", "times": "×", "div": "÷",
+    "pm": "±", "mp": "∓", "cdot": "⋅", "ast": "∗", "star": "⋆", "circ": "∘", "bullet": "∙", "cap": "∩", "cup": "∪", "vee": "∨", "wedge": "∧",
+    "setminus": "∖", "oplus": "⊕", "otimes": "⊗", "leq": "≤", "le": "≤", "geq": "≥", "ge": "≥", "neq": "≠", "ne": "≠", "equiv": "≡", "approx": "≈",
+    "sim": "∼", "simeq": "≃", "cong": "≅", "propto": "∝", "subset": "⊂", "supset": "⊃", "subseteq": "⊆", "supseteq": "⊇", "in": "∈", "ni": "∋",
+    "notin": "∉", "vdash": "⊢", "dashv": "⊣", "models": "⊨", "perp": "⊥", "parallel": "∥", "mid": "∣", "ll": "≪", "gg": "≫", "leftarrow": "←",
+    "rightarrow": "→", "to": "→", "gets": "←", "leftrightarrow": "↔", "Leftarrow": "⇐", "Rightarrow": "⇒", "Leftrightarrow": "⇔", "uparrow": "↑",
+    "downarrow": "↓", "mapsto": "↦", "infty": "∞", "forall": "∀", "exists": "∃", "neg": "¬", "lnot": "¬", "emptyset": "∅", "nabla": "∇",
+    "partial": "∂", "sum": "∑", "prod": "∏", "int": "∫", "oint": "∮", "surd": "√", "top": "⊤", "bot": "⊥", "angle": "∠", "prime": "′", "aleph": "ℵ",
+    "ell": "ℓ", "wp": "℘", "Re": "ℜ", "Im": "ℑ", "langle": "⟨", "rangle": "⟩", "lfloor": "⌊", "rfloor": "⌋", "lceil": "⌈", "rceil": "⌉", "prec": "≺",
+    "succ": "≻", "preceq": "⪯", "succeq": "⪰", "asymp": "≍", "doteq": "≐", "bowtie": "⋈", "smile": "⌣", "frown": "⌢", "amalg": "⨿", "uplus": "⊎",
+    "wr": "≀", "dagger": "†", "ddagger": "‡", "diamond": "⋄", "owns": "∋", "land": "∧", "lor": "∨", "triangleleft": "◃", "triangleright": "▹",
+    "bigtriangleup": "△", "bigtriangledown": "▽", "triangle": "△", "bigcirc": "◯", "hbar": "ℏ", "imath": "ı", "jmath": "ȷ", "flat": "♭",
+    "natural": "♮", "sharp": "♯", "clubsuit": "♣", "diamondsuit": "♢", "heartsuit": "♡", "spadesuit": "♠", "vdots": "⋮", "cdots": "⋯", "ddots": "⋱",
+    "backslash": "\\", "vert": "|", "Vert": "‖", "lbrace": "{", "rbrace": "}", "lbrack": "[", "rbrack": "]", "coprod": "∐", "nearrow": "↗",
+    "searrow": "↘", "swarrow": "↙", "nwarrow": "↖", "hookleftarrow": "↩", "hookrightarrow": "↪", "iff": "⟺", "longmapsto": "⟼",
+    "rightleftharpoons": "⇌", "longleftarrow": "⟵", "Longleftarrow": "⟸", "leftharpoonup": "↼", "leftharpoondown": "↽", "longrightarrow": "⟶",
+    "Longrightarrow": "⟹", "rightharpoonup": "⇀", "rightharpoondown": "⇁", "longleftrightarrow": "⟷", "Longleftrightarrow": "⟺", "Uparrow": "⇑",
+    "Downarrow": "⇓", "updownarrow": "↕", "Updownarrow": "⇕", "bigoplus": "⨁", "ominus": "⊖", "bigotimes": "⨂", "oslash": "⊘", "odot": "⊙",
+    "bigodot": "⨀", "bigcap": "⋂", "bigcup": "⋃", "bigvee": "⋁", "bigwedge": "⋀", "sqcap": "⊓", "sqcup": "⊔", "sqsubset": "⊏", "sqsupset": "⊐",
+    "sqsubseteq": "⊑", "sqsupseteq": "⊒", "varepsilon": "ϵ", "vartheta": "ϑ", "varphi": "ϕ", "varrho": "ϱ", "varpi": "ϖ", "varsigma": "ς",
+    "lambda": "λ", "Lambda": "Λ", "alpha": "α", "Alpha": "Α", "beta": "β", "Beta": "Β", "gamma": "γ", "Gamma": "Γ", "delta": "δ", "Delta": "Δ",
+    "epsilon": "ε", "Epsilon": "Ε", "zeta": "ζ", "Zeta": "Ζ", "eta": "η", "Eta": "Η", "theta": "θ", "Theta": "Θ", "iota": "ι", "Iota": "Ι",
+    "kappa": "κ", "Kappa": "Κ", "mu": "μ", "Mu": "Μ", "nu": "ν", "Nu": "Ν", "xi": "ξ", "Xi": "Ξ", "omicron": "ο", "Omicron": "Ο", "pi": "π",
+    "Pi": "Π", "rho": "ρ", "Rho": "Ρ", "sigma": "σ", "Sigma": "Σ", "tau": "τ", "Tau": "Τ", "upsilon": "υ", "Upsilon": "Υ", "phi": "φ", "Phi": "Φ",
+    "chi": "χ", "Chi": "Χ", "psi": "ψ", "Psi": "Ψ", "omega": "ω", "Omega": "Ω", "Orb": "○", "TeX": "TeX", "biguplus": "⊎", "intop": "∫",
+    "ointop": "∮", "bigsqcup": "⊔", "smallint": "∫", "ldotp": ".", "cdotp": "⋅", "colon": ":", "lgroup": "(", "rgroup": ")", "lmoustache": "⎰",
+    "rmoustache": "⎱", "arrowvert": "|", "Arrowvert": "∥", "bracevert": "|", "sqrt": "√", "not": "\u0338",
 }
-#: Further relations, operators and signs.
-SYMBOLS |= {
-    "prec": "PRECEDES", "succ": "SUCCEEDS", "preceq": "PRECEDES ABOVE SINGLE-LINE EQUALS SIGN", "succeq": "SUCCEEDS ABOVE SINGLE-LINE EQUALS SIGN", "asymp": "EQUIVALENT TO", "doteq": "APPROACHES THE LIMIT", "bowtie": "BOWTIE", "smile": "SMILE", "frown": "FROWN", "amalg": "AMALGAMATION OR COPRODUCT", "uplus": "MULTISET UNION", "wr": "WREATH PRODUCT", "dagger": "DAGGER", "ddagger": "DOUBLE DAGGER", "diamond": "DIAMOND OPERATOR", "owns": "CONTAINS AS MEMBER", "land": "LOGICAL AND", "lor": "LOGICAL OR",
-    "triangleleft": "WHITE LEFT-POINTING SMALL TRIANGLE", "triangleright": "WHITE RIGHT-POINTING SMALL TRIANGLE", "bigtriangleup": "WHITE UP-POINTING TRIANGLE", "bigtriangledown": "WHITE DOWN-POINTING TRIANGLE", "triangle": "WHITE UP-POINTING TRIANGLE", "bigcirc": "LARGE CIRCLE", "hbar": "PLANCK CONSTANT OVER TWO PI", "imath": "LATIN SMALL LETTER DOTLESS I", "jmath": "LATIN SMALL LETTER DOTLESS J", "flat": "MUSIC FLAT SIGN", "natural": "MUSIC NATURAL SIGN", "sharp": "MUSIC SHARP SIGN", "clubsuit": "BLACK CLUB SUIT", "diamondsuit": "WHITE DIAMOND SUIT", "heartsuit": "WHITE HEART SUIT", "spadesuit": "BLACK SPADE SUIT", "vdots": "VERTICAL ELLIPSIS", "cdots": "MIDLINE HORIZONTAL ELLIPSIS", "ddots": "DOWN RIGHT DIAGONAL ELLIPSIS", "backslash": "REVERSE SOLIDUS", "vert": "VERTICAL LINE", "Vert": "DOUBLE VERTICAL LINE", "lbrace": "LEFT CURLY BRACKET", "rbrace": "RIGHT CURLY BRACKET", "lbrack": "LEFT SQUARE BRACKET", "rbrack": "RIGHT SQUARE BRACKET", "coprod": "N-ARY COPRODUCT",
-    "nearrow": "NORTH EAST ARROW", "searrow": "SOUTH EAST ARROW", "swarrow": "SOUTH WEST ARROW", "nwarrow": "NORTH WEST ARROW", "hookleftarrow": "LEFTWARDS ARROW WITH HOOK", "hookrightarrow": "RIGHTWARDS ARROW WITH HOOK", "iff": "LONG LEFT RIGHT DOUBLE ARROW", "longmapsto": "LONG RIGHTWARDS ARROW FROM BAR", "rightleftharpoons": "RIGHTWARDS HARPOON OVER LEFTWARDS HARPOON",
-}
-#: Families whose members' names follow from their parts: bases, and the Unicode names of the parts.
-_WAYS = {"left": "LEFTWARDS", "right": "RIGHTWARDS", "leftright": "LEFT RIGHT", "up": "UPWARDS", "down": "DOWNWARDS", "updown": "UP DOWN"}
-_CIRCLED = {"plus": "PLUS", "minus": "MINUS", "times": "TIMES", "slash": "DIVISION SLASH", "dot": "DOT OPERATOR"}
-for _w, _n in _WAYS.items():
-    SYMBOLS |= {f"{_w}arrow": f"{_n} ARROW", f"{_w.capitalize()}arrow": f"{_n} DOUBLE ARROW"}
-    if _w in ("left", "right", "leftright"):
-        SYMBOLS |= {f"long{_w}arrow": f"LONG {_n} ARROW", f"Long{_w}arrow": f"LONG {_n} DOUBLE ARROW"}
-    if _w in ("left", "right"):
-        SYMBOLS |= {f"{_w}harpoon{_t}": f"{_n} HARPOON WITH BARB {_t.upper()}WARDS" for _t in ("up", "down")}
-for _c, _n in _CIRCLED.items():
-    SYMBOLS[f"o{_c}"] = f"CIRCLED {_n}"
-    if _c in ("plus", "times", "dot"):
-        SYMBOLS[f"bigo{_c}"] = f"N-ARY CIRCLED {_n.removesuffix(' OPERATOR')} OPERATOR"
-for _s, _n in {"cap": "INTERSECTION", "cup": "UNION", "vee": "LOGICAL OR", "wedge": "LOGICAL AND"}.items():
-    SYMBOLS[f"big{_s}"] = f"N-ARY {_n}"
-for _s, _n in {"sqcap": "SQUARE CAP", "sqcup": "SQUARE CUP", "sqsubset": "SQUARE IMAGE OF", "sqsupset": "SQUARE ORIGINAL OF", "sqsubseteq": "SQUARE IMAGE OF OR EQUAL TO", "sqsupseteq": "SQUARE ORIGINAL OF OR EQUAL TO"}.items():
-    SYMBOLS[_s] = _n
 FUNCTIONS = frozenset("arccos arcsin arctan arg cos cosh cot coth csc deg det dim exp gcd hom inf ker lg lim liminf limsup ln log max min Pr sec sin sinh sup tan tanh".split())
 LITERALS = frozenset("{}$&#%_ ")
 LIGATURES = {"?`": "¿", "!`": "¡", "---": "—", "--": "–", "``": "“", "''": "”", "`": "‘", "'": "’"}
 _LIGATURE = re.compile("|".join(map(re.escape, sorted(LIGATURES, key=lambda x: (-len(x), x)))))
-_GREEK = {"varepsilon": "GREEK LUNATE EPSILON SYMBOL", "vartheta": "GREEK THETA SYMBOL", "varphi": "GREEK PHI SYMBOL", "varrho": "GREEK RHO SYMBOL", "varpi": "GREEK PI SYMBOL", "varsigma": "GREEK SMALL LETTER FINAL SIGMA", "lambda": "GREEK SMALL LETTER LAMDA", "Lambda": "GREEK CAPITAL LETTER LAMDA"}
 
 
 @dataclass
@@ -225,7 +231,7 @@ class Parser:
             return Node("group", name, args, body)
         if t.text == "end":
             raise TeXError("end of an environment that isn't open")
-        if t.text in ACCENTS:
+        if t.text in ACCENTS or t.text in TIES:
             return Node("command", t.text, self.arguments("m"))
         if symbol(t.text) is not None:
             return Node("command", t.text)
@@ -233,15 +239,7 @@ class Parser:
 
 
 def symbol(name: str) -> str | None:
-    if name in SYMBOLS:
-        return unicodedata.lookup(SYMBOLS[name])
-    if name in FUNCTIONS:
-        return name
-    if name in _GREEK:
-        return unicodedata.lookup(_GREEK[name])
-    if name.isalpha() and name.lower() in ("alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "mu", "nu", "xi", "omicron", "pi", "rho", "sigma", "tau", "upsilon", "phi", "chi", "psi", "omega") and name[1:].islower():
-        return unicodedata.lookup(f"GREEK {'CAPITAL' if name[0].isupper() else 'SMALL'} LETTER {name.upper()}")
-    return None
+    return SYMBOLS.get(name, name if name in FUNCTIONS else None)
 
 
 def literal(nodes: list[Node]) -> str:
@@ -278,7 +276,9 @@ def rewritten(nodes: list[Node]) -> list[Node]:
             n.text = _LIGATURE.sub(lambda m: LIGATURES[m[0]], n.text)
             new = [n]
         elif n.kind == "command" and n.text in ACCENTS:
-            new = accent(n.arg("m"), unicodedata.lookup("COMBINING " + ACCENTS[n.text]))
+            new = accent(n.arg("m"), ACCENTS[n.text])
+        elif n.kind == "command" and n.text in TIES:
+            new = accent(n.arg("m"), TIES[n.text])  # between the two characters that it ties
         elif n.kind == "command" and n.text == "discretionary":
             new = n.arg("m", 2)
         elif n.kind == "command" and (s := symbol(n.text)) is not None:

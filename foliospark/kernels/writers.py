@@ -89,7 +89,8 @@ class Html:
                 out += el("a", esc(anchor_number(a)) if a else "???", href=self.target(a) if a else "")
             elif k == "note":
                 i = anchor_id(x["anchor"])
-                out += el("a", el("sup", str(x["anchor"]["n"])), id=i, href=f"#notetext-{i.removeprefix('note-')}")
+                text = f"notetext-{i.removeprefix('note-')}"
+                out += el("a", el("sup", str(x["anchor"]["n"])), id=i, href=f"{self.files.get(text, '')}#{text}")
             elif k == "cite":
                 out += esc(cited(x, self.works))
         return out
@@ -135,7 +136,7 @@ class Html:
                 out += el("h3", f"Chapter {n['chapter']}")
                 last = n["chapter"]
             i = f"{n['chapter']}-{n['n']}"
-            out += el("div", self.blocks(n["body"]) + el("a", "↩", href=f"#note-{i}"), id=f"notetext-{i}")
+            out += el("div", self.blocks(n["body"]) + el("a", "↩", href=f"{self.files.get(f'note-{i}', '')}#note-{i}"), id=f"notetext-{i}")
         return self.new("section", el("h2", "Notes") + out) if out else ""
 
     def references(self) -> str:
@@ -194,14 +195,29 @@ def anchors(s: dict, deep: bool) -> list[str]:
     return found
 
 
-def to_pages(doc: dict, works=None, level: int = 2, version: int = 5) -> dict[str, str]:
-    """Multi-file HTML: name to page; the index holds the title and the contents."""
-    parts, files = split(doc, level), {}
-    for name, s, deep in reversed(parts):
+def extra_pages(doc: dict, h: Html) -> list[tuple[str, str, str]]:
+    """File, title and body of the pages after the text: notes, then the bibliography, if there are any."""
+    both = (("notes.xhtml", "Notes", h.notes()), ("bibliography.xhtml", "Bibliography", h.references()))
+    return [x for x in both if x[2]]
+
+
+def page_files(doc: dict, level: int) -> dict[str, str]:
+    """Anchors to the file that holds them, notes' texts included."""
+    files: dict[str, str] = {}
+    for name, s, deep in reversed(split(doc, level)):
         files.update(dict.fromkeys(anchors(s, deep), name))
-    h = Html(doc, works, version, files)
-    out = {"index.xhtml": h.page(h.title() + h.new("nav", h.contents(sections(doc["blocks"])["parts"])))}
-    return out | {name: h.page(h.section(s, deep)) for name, s, deep in parts}
+    return files | {f"notetext-{n['chapter']}-{n['n']}": "notes.xhtml" for n in doc["notes"]}
+
+
+def to_pages(doc: dict, works=None, level: int = 2, version: int = 5) -> dict[str, str]:
+    """Multi-file HTML: name to page; the index holds the title, the contents and what stands before the first header, notes and bibliography come last."""
+    h, root = Html(doc, works, version, page_files(doc, level)), sections(doc["blocks"])
+    extra = extra_pages(doc, h)
+    ends = "".join(el("li", el("a", title, href=name)) for name, title, _ in extra)
+    contents = h.contents(root["parts"])
+    contents = contents.removesuffix("</ul>") + ends + "</ul>" if contents.endswith("</ul>") else el("ul", ends) if ends else contents
+    out = {"index.xhtml": h.page(h.title() + h.new("nav", contents) + h.blocks(root["blocks"]))}
+    return out | {name: h.page(h.section(s, deep)) for name, s, deep in split(doc, level)} | {name: h.page(body) for name, _, body in extra}
 
 
 def to_tei(doc: dict, works=None) -> str:
@@ -266,32 +282,54 @@ def to_tei(doc: dict, works=None) -> str:
     return '<?xml version="1.0" encoding="UTF-8"?>\n' + el("TEI", head + el("text", text), xmlns="http://www.tei-c.org/ns/1.0")
 
 
-def epub_files(doc: dict, works=None, uuid: str = "00000000-0000-4000-8000-000000000000", date: str = "") -> dict[str, str]:
-    """Files of an EPUB in archive order; identifier and date are given, so the result is a function of its input."""
+#: Media types of images by the endings of their names.
+IMAGES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "svg": "image/svg+xml"}
+
+
+def epub_files(doc: dict, works=None, uuid: str = "00000000-0000-4000-8000-000000000000", date: str = "", media: tuple[str, ...] = (), cover: str | None = None) -> dict[str, str]:
+    """Text files of an EPUB in archive order; identifier and date are given, so the result is a function of its input. media: names of image files."""
     pages = to_pages(doc, works, level=3, version=1)
     title = esc(plain(doc["meta"]["title"]))
-    names = list(pages)
-    manifest = "".join(f'<item id="{n.removesuffix(".xhtml")}" href="{n}" media-type="application/xhtml+xml"/>' for n in names)
-    spine = "".join(f'<itemref idref="{n.removesuffix(".xhtml")}"/>' for n in names)
-    opf = f'<?xml version="1.0" encoding="UTF-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="2.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>{title}</dc:title><dc:identifier id="id">urn:uuid:{uuid}</dc:identifier><dc:language>en</dc:language><dc:date>{esc(date)}</dc:date></metadata><manifest><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>{manifest}</manifest><spine toc="ncx">{spine}</spine></package>'
-    files = {a: n for n, s, deep in reversed(split(doc, 3)) for a in anchors(s, deep)}
-    order = iter(range(1, 1 << 30))
 
-    def points(parts):
-        return "".join(f'<navPoint id="nav-{(i := next(order))}" playOrder="{i}"><navLabel><text>{esc(plain(p["header"]["body"]))}</text></navLabel><content src="{files.get(anchor_id(p["header"]["anchor"]), "index.xhtml")}#{anchor_id(p["header"]["anchor"])}"/>{points(p["parts"])}</navPoint>' for p in parts)
+    def item(name: str, file: str, kind: str) -> str:
+        return el("item", "", id=name, href=file, media_type=kind).replace("media_type", "media-type").replace("></item>", "/>")
+
+    manifest = item("ncx", "toc.ncx", "application/x-dtbncx+xml") + "".join(item(n.removesuffix(".xhtml"), n, "application/xhtml+xml") for n in pages)
+    manifest += "".join(item("cover-image" if n == cover else f"image-{i}", n, IMAGES.get(n.rsplit(".", 1)[-1].lower(), "application/octet-stream")) for i, n in enumerate(media))
+    spine = "".join(f'<itemref idref="{n.removesuffix(".xhtml")}"/>' for n in pages)
+    about = el("dc:title", title) + el("dc:identifier", f"urn:uuid:{uuid}", id="id") + el("dc:language", "en") + el("dc:date", esc(date))
+    about += '<meta name="cover" content="cover-image"/>' if cover else ""
+    # fixed values: the package and contents formats' namespaces and attributes
+    opf = f'<?xml version="1.0" encoding="UTF-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="2.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">{about}</metadata><manifest>{manifest}</manifest><spine toc="ncx">{spine}</spine></package>'
+    files, order = page_files(doc, 3), iter(range(1, 1 << 30))
+
+    def point(label: str, target: str, inner: str = "") -> str:
+        i = next(order)
+        return el("navPoint", el("navLabel", el("text", label)) + f'<content src="{target}"/>' + inner, id=f"nav-{i}", playOrder=str(i))
+
+    def points(parts) -> str:
+        out = ""
+        for p in parts:
+            i, name = next(order), anchor_id(p["header"]["anchor"])
+            inner = el("navLabel", el("text", esc(plain(p["header"]["body"])))) + f'<content src="{files.get(name, "index.xhtml")}#{name}"/>' + points(p["parts"])
+            out += el("navPoint", inner, id=f"nav-{i}", playOrder=str(i))
+        return out
 
     def depth(parts):
         return max((1 + depth(p["parts"]) for p in parts), default=0)
 
     tree = sections(doc["blocks"])["parts"]
-    ncx = f'<?xml version="1.0" encoding="UTF-8"?>\n<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="urn:uuid:{uuid}"/><meta name="dtb:depth" content="{depth(tree)}"/></head><docTitle><text>{title}</text></docTitle><navMap>{points(tree)}</navMap></ncx>'
+    points_ = points(tree) + "".join(point(t, n) for n, t in (("notes.xhtml", "Notes"), ("bibliography.xhtml", "Bibliography")) if n in pages)
+    ncx = f'<?xml version="1.0" encoding="UTF-8"?>\n<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="urn:uuid:{uuid}"/><meta name="dtb:depth" content="{max(1, depth(tree))}"/></head><docTitle><text>{title}</text></docTitle><navMap>{points_}</navMap></ncx>'
     return {"mimetype": "application/epub+zip", "META-INF/container.xml": CONTAINER, "OEBPS/content.opf": opf, "OEBPS/toc.ncx": ncx} | {f"OEBPS/{n}": p for n, p in pages.items()}
 
 
-def to_epub(doc: dict, works=None, uuid: str = "00000000-0000-4000-8000-000000000000", date: str = "", media: dict[str, bytes] | None = None) -> bytes:
-    """The archive; the type comes first and uncompressed, and all times are the same."""
+def to_epub(doc: dict, works=None, uuid: str = "00000000-0000-4000-8000-000000000000", date: str = "", media: dict[str, bytes] | None = None, cover: tuple[str, bytes] | None = None) -> bytes:
+    """The archive; the type comes first and uncompressed, and all times are the same. cover: name and content of its image."""
+    images = dict(media or {}) | (dict([cover]) if cover else {})
+    texts = epub_files(doc, works, uuid, date, tuple(images), cover[0] if cover else None)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        for name, body in {**epub_files(doc, works, uuid, date), **{f"OEBPS/{n}": b for n, b in (media or {}).items()}}.items():
+        for name, body in {**texts, **{f"OEBPS/{n}": b for n, b in images.items()}}.items():
             z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), body, zipfile.ZIP_STORED if name == "mimetype" else zipfile.ZIP_DEFLATED)
     return out.getvalue()

@@ -2,16 +2,16 @@
 
 Fields are long: key, name, value. Inheritance carries a priority array along each lineage and takes the value of the smallest: [0] for an own
 value, [1, -i] before it for the i-th of several parents (the last listed wins), [2, rank] for a cross-reference. A path of visited keys cuts
-cycles. Lineages are followed by iterated joins until none grows, MOST steps at the most.
+cycles. Lineages are followed by iterated joins until none grows; each step is checkpointed, so none is computed again.
 """
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Longest lineage that is followed.
-MOST = 32
 #: Fields that a cross-reference never passes on, and those that it renames.
 PRIVATE = ("crossref", "entryset", "entrysubtype", "execute", "label", "options", "presort", "related", "relatedoptions", "relatedstring", "relatedtype", "shorthand", "sortkey", "xdata", "xref", "keywords")
 TO_BOOK = {"author": "bookauthor", "subtitle": "booksubtitle", "title": "booktitle"}
@@ -26,6 +26,17 @@ def renamed(name: Column, names: dict[str, str]) -> Column:
     return out.otherwise(name)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df in the shared folder of spark.checkpoint.dir; where that is unset and Spark runs in one process, in a local folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(root or f"file://{tempfile.mkdtemp(prefix='foliospark-')}")
+    return df.checkpoint()
+
+
 def deduplicated(raw: DataFrame) -> DataFrame:
     """raw: key, seq, pos, name, value. The first entry of a key wins, and in it the last value of a field."""
     first = raw.groupBy("key").agg(F.min("seq").alias("seq"))
@@ -48,8 +59,9 @@ def lineages(keys: DataFrame, edges: DataFrame) -> DataFrame:
     """root, node, prio: every ancestor that a root reaches without a cycle; edges: child, parent, ord."""
     start = keys.select(F.col("key").alias("root"), F.col("key").alias("node"), F.array().cast("array<int>").alias("prio"), F.array("key").alias("path"))
     parts, last = [start], start
-    for _ in range(MOST):
+    while True:
         last = last.join(edges, last["node"] == edges["child"]).filter(~F.array_contains(F.col("path"), F.col("parent"))).select("root", F.col("parent").alias("node"), F.concat("prio", F.array(F.lit(1), -F.col("ord"))).alias("prio"), F.concat("path", F.array("parent")).alias("path"))
+        last = checkpointed(last)
         if not last.head(1):
             break
         parts.append(last)
@@ -70,7 +82,8 @@ def crossref(own: DataFrame, edges: DataFrame) -> DataFrame:
     """key, name, value with what the cross-referenced entry adds, level by level; edges: child, parent."""
     start = own.select(F.col("key").alias("root"), "name", "value", F.array(F.lit(0)).alias("prio"))
     parts, reach = [start], edges.filter("child <> parent").select(F.col("child").alias("root"), F.col("parent").alias("node"), F.array("child", "parent").alias("path"), F.lit(1).alias("depth"))
-    for _ in range(MOST):
+    while True:
+        reach = checkpointed(reach)
         if not reach.head(1):
             break
         fields, depth = reach.join(own.withColumnRenamed("key", "node"), "node"), F.col("depth")
@@ -88,6 +101,22 @@ def crossref(own: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("root").alias("key"), "name").agg(F.min_by("value", "prio").alias("value"))
 
 
+def resolved(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """entries (key, type) and fields (key, name, value) of a parsed file (key, type, name, value), as readers of it want them.
+
+    Data parents come first, then cross-references of what results, then entries of type xdata go and types and names become normal. The keys of
+    data parents are what stands between commas, empty ones left out.
+    """
+    own = fields.select("key", "name", "value")
+    listed = own.filter("name = 'xdata'").select(F.col("key").alias("child"), F.posexplode(F.filter(F.split("value", ","), lambda x: x != "")).alias("ord", "parent"))
+    full = checkpointed(xdata(own, listed))
+    linked = fields.filter("name = 'crossref'").select(F.col("key").alias("child"), F.col("value").alias("parent")).distinct()
+    full = crossref(full, linked).filter("name NOT IN ('crossref', 'xdata')")
+    kept = fields.groupBy("key").agg(F.min("type").alias("type")).filter("type <> 'xdata'")
+    full = checkpointed(full.join(kept.select("key"), "key", "left_semi"))
+    return normalised_types(kept, full), normalised_fields(full)
+
+
 def expanded_macros(stream: DataFrame) -> DataFrame:
     """stream: doc_id, seq, kind (def, use), name, value. Uses with the value of the last definition before them, or nothing."""
     w = Window.partitionBy("doc_id", F.lower("name")).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,7 +140,7 @@ def agents(rows: DataFrame) -> DataFrame:
         return F.array_join(F.slice("words", a, F.greatest(b - a + 1, F.lit(0))), " ")
 
     n = n.withColumn("f", first_low).withColumn("c", F.greatest(cut, F.lit(0)))
-    first = F.when(bare, F.when(F.col("f") == 0, join(F.lit(1), F.col("k") - 1)).otherwise(join(F.lit(1), F.col("f") - 1))).when(F.size("parts") == 2, F.col("parts")[1]).otherwise(F.array_join(F.slice("parts", 3, 99), ", "))
+    first = F.when(bare, F.when(F.col("f") == 0, join(F.lit(1), F.col("k") - 1)).otherwise(join(F.lit(1), F.col("f") - 1))).when(F.size("parts") == 2, F.col("parts")[1]).otherwise(F.array_join(F.slice("parts", 3, F.greatest(F.size("parts") - 2, F.lit(0))), ", "))
     prefix = F.when(bare, F.when((F.col("f") == 0) | (F.col("c") < F.col("f")), "").otherwise(join(F.greatest(F.col("f"), F.lit(1)), F.col("c")))).otherwise(F.when(F.col("c") < 1, "").otherwise(join(F.lit(1), F.col("c"))))
     last = F.when(bare & (F.col("f") == 0), F.element_at("words", -1)).otherwise(join(F.col("c") + 1, F.col("k")))
     suffix = F.when(F.size("parts") > 2, F.col("parts")[1]).otherwise("")

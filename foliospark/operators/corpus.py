@@ -49,7 +49,7 @@ def _each(make, schema: str, files: dict[str, str] | None):
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     out += [(path, *r, None) for r in make(text or "", files)]
-                except (ValueError, RecursionError, IndexError) as e:
+                except Exception as e:  # noqa: BLE001  whatever one document does, the others go on
                     out.append((path, *[None] * (len(columns) - 2), f"{type(e).__name__}: {e}"))
                 if len(out) > 50_000:
                     yield flush(out)
@@ -116,15 +116,84 @@ def pages(sources: DataFrame, form: str = "html", works: dict[str, dict] | None
     return _mapped(sources, make, PAGES, files)
 
 
-def works(fields: DataFrame, most: int = 100_000) -> dict[str, dict]:
-    """Citable works of one bibliography for the writers; refuses more than most."""
-    rows = fields.filter("error IS NULL").groupBy("key").agg(F.first("type").alias("type"), F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("f")).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} works")
+def archives(sources: DataFrame, works: dict[str, dict] | None = None, files: dict[str, str] | None = None, seed: str = "", date: str = "", cover: tuple[str, bytes] | None = None) -> DataFrame:
+    """path, content, error: an EPUB for each document. Its identifier follows from seed and path, so a repeated task makes the same file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from ..kernels import writers
+        from ..kernels.document import read_document
+
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                made, error = None, None
+                try:
+                    name = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{seed}/{path}"))
+                    made = writers.to_epub(read_document(text or "", files), works, name, date, cover=cover)
+                except Exception as e:  # noqa: BLE001
+                    error = f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([made], pa.binary()), pa.array([error], pa.string())], names=["path", "content", "error"])
+
+    return sources.select("path", "text").mapInArrow(run, "path string, content binary, error string")
+
+
+def works(fields: DataFrame) -> dict[str, dict]:
+    """Citable works of one bibliography for the writers, with what they inherit; refuses more than INCLUDE_BYTES of them."""
+    from .bibliography import resolved
+
+    entries, full = resolved(fields.filter("error IS NULL").select("key", "type", "name", "value"))
+    listed = entries.join(full.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("f")), "key").select("key", "type", "f")
+    size = full.agg(F.coalesce(F.sum(F.octet_length("value") + F.octet_length("name") + F.octet_length("key")), F.lit(0)).alias("n")).first()["n"]
+    if size > INCLUDE_BYTES:
+        raise ValueError(f"the works weigh {size} bytes, more than {INCLUDE_BYTES}")
     out = {}
-    for r in rows:
+    for r in listed.collect():
         f = r["f"]
         agents = f.get("author") or f.get("editor") or ""
         year = f.get("year") or (f.get("date") or "")[:4]
-        out[r["key"]] = {"agents": agents, "year": year, "full": ". ".join(x for x in (agents, year, f.get("title", ""), f.get("publisher", "")) if x) + "."}
+        out[r["key"]] = {"agents": agents, "year": year, "title": f.get("title", ""), "full": reference(r["type"], agents, year, f)}
+    ambiguous: dict[tuple, list[str]] = {}
+    for k, w in sorted(out.items(), key=lambda x: (x[1]["agents"], x[1]["year"], x[1]["title"], x[0])):
+        ambiguous.setdefault((w["agents"], w["year"]), []).append(k)
+    for keys in ambiguous.values():
+        if len(keys) > 1:  # suffixes in the order of title and key
+            for i, k in enumerate(keys):
+                suffix, i = "", i + 1
+                while i > 0:
+                    i, d = divmod(i - 1, 26)
+                    suffix = chr(97 + d) + suffix
+                year = out[k]["year"]
+                out[k]["full"] = out[k]["full"].replace(f" {year}.", f" {year}{suffix}.", 1)
+                out[k]["year"] = year + suffix
     return out
+
+
+def reference(kind: str, agents: str, year: str, f: dict[str, str]) -> str:
+    """The full reference of a work by its type."""
+
+    def sentence(*parts: str) -> str:
+        text = ", ".join(p for p in parts if p)
+        return text if not text or text[-1] in ".?!" else text + "."
+
+    def place() -> str:
+        return ": ".join(p for p in (f.get("location", ""), f.get("publisher", "")) if p)
+
+    editors = f.get("editor", "")
+    book = f.get("booktitle", "")
+    if kind == "article":
+        volume = f.get("volume", "") + (f"({f['number']})" if f.get("number") else "")
+        where = sentence(" ".join(p for p in (f.get("journaltitle", ""), volume) if p), f.get("pages", ""))
+    elif kind in ("incollection", "inbook", "inproceedings"):
+        source = "In " + ", ".join(p for p in (f"{editors} (ed.)" if editors else "", book) if p) if editors or book else ""
+        where = " ".join(p for p in (sentence(source, f.get("pages", "")), sentence(place())) if p)
+    elif kind in ("thesis", "phdthesis", "mastersthesis"):
+        where = sentence({"mastersthesis": "MA thesis"}.get(kind, "Dissertation"), f.get("institution", ""))
+    elif kind in ("report", "techreport"):
+        where = sentence(f.get("type", "Report") + (f" {f['number']}" if f.get("number") else ""), f.get("institution", ""))
+    elif kind in ("online", "misc", "unpublished"):
+        where = sentence(f.get("howpublished", ""), f.get("note", ""), f.get("url", ""))
+    else:  # book, collection, proceedings, manual
+        where = sentence(place())
+    head = f"{agents} (ed.)." if kind in ("collection", "proceedings") and not f.get("author") and agents else sentence(agents)
+    return " ".join(p for p in (head, sentence(year), sentence(f.get("title", "")), where) if p)

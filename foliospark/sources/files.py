@@ -20,9 +20,9 @@ def media_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_media(media: DataFrame, files: DataFrame) -> DataFrame:
-    """media (doc_id, media_id, name) with the contents of the files of that name; unreadable ones drop out."""
+    """media (doc_id, media_id, name) with the contents of the files of that name; null where none can be read."""
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return media.join(named, "name").select("doc_id", "media_id", "name", "content")
+    return media.join(named, "name", "left").select("doc_id", "media_id", "name", "content")
 
 
 def resolved_includes(references: DataFrame, listing: DataFrame) -> DataFrame:
@@ -43,3 +43,14 @@ def write_text(pages: DataFrame, path: str) -> None:
 
 def write_native(rows: DataFrame, path: str) -> None:
     rows.write.parquet(path)
+
+
+def write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """One file in any file system that Spark knows; folders above it are made."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
