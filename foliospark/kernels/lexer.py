@@ -57,12 +57,21 @@ class Lexer:
         self.groups: list[str] = []
         self.fuel, self.started, self.now = FUEL, False, now
         self.files: list[str] = []  # that are being read
+        self.known: dict[str, int] = {}  # categories of characters met
+        self.plain: dict[str, Token] = {}  # tokens of those that stand for themselves
         self.resolver = resolver.get if isinstance(resolver, Mapping) else resolver
 
     # ---- characters and raw tokens
 
     def cat(self, c: str) -> int:
-        return self.cats.get(c, LETTER if c.isalpha() else OTHER)
+        k = self.known.get(c)
+        if k is None:
+            k = self.known[c] = self.cats.get(c, LETTER if c.isalpha() else OTHER)
+        return k
+
+    def recategorised(self) -> None:
+        """Forgets what is known of characters; whenever categories change."""
+        self.known.clear(), self.plain.clear()
 
     def push(self, items: list) -> None:
         self.input.extend(reversed(items))
@@ -136,7 +145,10 @@ class Lexer:
                 return Token("cs", c, active=True)
             if k in (IGNORED, INVALID):
                 raise TeXError(f"unexpected character {c!r}")
-            return Token("char", c, k)
+            t = Token("char", c, k)
+            if k in (LETTER, OTHER):
+                self.plain[c] = t
+            return t
         return None
 
     def need(self, what: str) -> Token:
@@ -206,6 +218,8 @@ class Lexer:
         if not self.groups or self.groups[-1] != name:
             raise TeXError(f"end of {name} where {self.groups[-1] if self.groups else 'no group'} is open")
         self.groups.pop()
+        if self.cats.maps[0]:
+            self.recategorised()
         self.cats, self.macros, self.envs = self.cats.parents, self.macros.parents, self.envs.parents
 
     # ---- macros
@@ -433,6 +447,7 @@ class Lexer:
             if (k := self.number()) > 15:
                 raise TeXError(f"no category {k}")
             self.cats[c] = k
+            self.recategorised()
         elif name == "meaning":
             return [Token("char", c, SPACE if c == " " else LETTER if c.isalpha() else OTHER) for c in self.describe(self.need("a token"))]
         elif name in ("begingroup", "bgroup"):
@@ -511,7 +526,14 @@ class Lexer:
     def tokens(self) -> list[Token]:
         """All tokens, with macros expanded and primitives run."""
         out: list[Token] = []
-        while (t := self.raw()) is not None:
+        text, plain = self.input, self.plain
+        while True:
+            while text and (t := plain.get(text[-1])) is not None:  # runs of letters and the like
+                text.pop()
+                out.append(t)
+                self.fuel = FUEL
+            if (t := self.raw()) is None:
+                break
             if t.kind == "cs":
                 m = self.macros.get(t.show())
                 if m is not None and m.char is not None:

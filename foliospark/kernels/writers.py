@@ -292,7 +292,7 @@ def epub_files(doc: dict, works=None, uuid: str = "00000000-0000-4000-8000-00000
     title = esc(plain(doc["meta"]["title"]))
 
     def item(name: str, file: str, kind: str) -> str:
-        return el("item", "", id=name, href=file, media_type=kind).replace("media_type", "media-type").replace("></item>", "/>")
+        return f'<item id="{name}" href="{esc(file)}" media-type="{kind}"/>'
 
     manifest = item("ncx", "toc.ncx", "application/x-dtbncx+xml") + "".join(item(n.removesuffix(".xhtml"), n, "application/xhtml+xml") for n in pages)
     manifest += "".join(item("cover-image" if n == cover else f"image-{i}", n, IMAGES.get(n.rsplit(".", 1)[-1].lower(), "application/octet-stream")) for i, n in enumerate(media))

@@ -1,5 +1,6 @@
 import zipfile
 from io import BytesIO
+from xml.etree import ElementTree
 
 import pytest
 
@@ -39,16 +40,40 @@ def shown(text, **kw):
         (r"\def\a{b}\meaning\a", "macro:->b"),
         (r"\input{f}", "inside"),
         (r"\year", ""),
+        (r"\let\x=\y\def\y{1}\x", "\\x"),
+        (r"\let\x=\y\def\y{1}\let\z=\x\meaning\z", "undefined"),
+        (r"{\catcode`\a=13 a}a", "{a}a"),
+        (r"\input{f}\input{f}", "insideinside"),
     ],
 )
 def test_lexer(text, want):
     assert shown(text, resolver={"f.tex": "inside"}) == want
 
 
-@pytest.mark.parametrize("text", ["{", "}", r"\begin{a}\end{b}", r"\def\a{\a}\a", r"\fi", r"\input{nothing}", "\x7f", r"\catcode65=16 "])
+@pytest.mark.parametrize("text", ["{", "}", r"\begin{a}\end{b}", r"\def\a{\a}\a", r"\fi", r"\input{nothing}", "\x7f", r"\catcode65=16 ", r"\input{g}"])
 def test_lexer_errors(text):
     with pytest.raises(TeXError):
-        lex(text, resolver={})
+        lex(text, resolver={"g.tex": r"x\input{h}", "h.tex": r"y\input{g}"})
+
+
+def test_long_texts_are_no_loops():
+    assert len(lex(r"\(x\) " * 60_000)) == 240_000 and len(lex(r"\def\a{b}" + r"\a " * 150_000)) == 150_000
+
+
+def test_notes_and_works_have_pages():
+    d = read_document("\\documentclass{book}\\begin{document}\\mainmatter\\chapter{One}\\label{a}text\\footnote{A note} \\citet{k}.\\end{document}")
+    works = {"k": {"agents": "Roe", "year": "1999", "full": "Roe. 1999. Book."}}
+    pages = to_pages(d, works)
+    assert list(pages) == ["index.xhtml", "section-001.xhtml", "notes.xhtml", "bibliography.xhtml"]
+    assert 'href="notes.xhtml#notetext-1-1"' in pages["section-001.xhtml"] and 'href="section-001.xhtml#note-1-1"' in pages["notes.xhtml"] and "Roe. 1999. Book." in pages["bibliography.xhtml"]
+    assert 'href="notes.xhtml"' in pages["index.xhtml"]
+    with zipfile.ZipFile(BytesIO(to_epub(d, works, "u-1", cover=("cover.png", b"png")))) as z:
+        names, package = z.namelist(), z.read("OEBPS/content.opf").decode()
+        assert {"OEBPS/notes.xhtml", "OEBPS/bibliography.xhtml", "OEBPS/cover.png"} <= set(names) and names[0] == "mimetype"
+        assert 'content="cover-image"' in package and 'media-type="image/png"' in package and "urn:uuid:u-1" in package and "Notes" in z.read("OEBPS/toc.ncx").decode()
+        for n in names:
+            if n.endswith((".xhtml", ".opf", ".ncx", ".xml")):
+                ElementTree.fromstring(z.read(n))
 
 
 def test_pure_mode_ignores_includes():
@@ -57,7 +82,7 @@ def test_pure_mode_ignores_includes():
 
 @pytest.mark.parametrize(
     "text, want",
-    [(r"\'{e}", "é"), (r"\^{\i}", "ı̂"), (r"\alpha\Omega", "αΩ"), ("--- -- ``a'' ?`b", "— – “a” ¿b"), (r"\discretionary{a}{b}{c}", "c"), ("~", "\xa0"), (r"\o\O", "øØ"), (r"\sin", "sin"), (r"\'{}", " ́"), (r"\%\&", "%&")],
+    [(r"\'{e}", "é"), (r"\^{\i}", "ı̂"), (r"\alpha\Omega", "αΩ"), ("--- -- ``a'' ?`b", "— – “a” ¿b"), (r"\discretionary{a}{b}{c}", "c"), ("~", "\xa0"), (r"\o\O", "øØ"), (r"\sin", "sin"), (r"\t{oo}", "o͡o"), (r"\biguplus\colon\TeX", "⊎:TeX"), (r"\'{}", " ́"), (r"\%\&", "%&")],
 )
 def test_rewriting(text, want):
     import unicodedata

@@ -1,7 +1,10 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from foliospark import __main__ as command
 from foliospark.functions import text as fn
 from foliospark.operators import bibliography, citations, corpus, numbering
 from foliospark.sources import files
@@ -93,3 +96,42 @@ def test_stream(spark, tmp_path):
     done = documents.converted(documents.tex_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("pages").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     done.awaitTermination(60)
     assert "<p>x</p>" in spark.table("pages").first().content
+
+
+def test_letters_never_end(spark):
+    got = [x[0] for x in spark.createDataFrame([(18277,), (18278,), (475253,), (475254,)], "n int").select(fn.letters(F.col("n"))).collect()]
+    assert got == ["zzz", "aaaa", "zzzz", "aaaaa"]
+
+
+def test_long_lineages(spark):
+    n = 40
+    own = spark.createDataFrame([(f"k{i}", "f", str(i)) for i in range(n)] + [("k39", "deep", "yes")], "key string, name string, value string")
+    edges = spark.createDataFrame([(f"k{i}", f"k{i + 1}", 0) for i in range(n - 1)] + [("k39", "k0", 0)], "child string, parent string, ord int")
+    got = {(r["key"], r["name"]): r["value"] for r in bibliography.xdata(own, edges).filter("key = 'k0'").collect()}
+    assert got == {("k0", "f"): "0", ("k0", "deep"): "yes"}
+
+
+def test_media_that_cannot_be_read(spark):
+    media = spark.createDataFrame([("d", 1, "a.png"), ("d", 2, "b.png")], "doc_id string, media_id int, name string")
+    found = spark.createDataFrame([("x/a.png", bytearray(b"1"))], "path string, content binary")
+    assert {r["media_id"]: r["content"] for r in files.with_media(media, found).collect()} == {1: b"1", 2: None}
+
+
+def test_works_inherit_and_are_told_apart(spark):
+    text = "@book{c, editor={Roe, Jane}, title={All}, location={Bern}, publisher={P}}@incollection{a, author={Doe, Al}, title={T}, year=1999, crossref={c}, pages={1--2}}@article{b, author={Doe, Al}, title={S}, year=1999, journal={J}, volume=3}@xdata{x, year=2000}"
+    got = corpus.works(corpus.bib_fields(spark.createDataFrame([("a.bib", text)], "path string, text string")))
+    assert set(got) == {"a", "b", "c"} and got["a"]["year"] == "1999b" and got["b"]["year"] == "1999a"
+    assert got["a"]["full"] == "Doe Al. 1999b. T. In Roe Jane (ed.), All, 1–2. Bern: P." and got["b"]["full"] == "Doe Al. 1999a. S. J 3."
+
+
+@pytest.mark.parametrize("to, files_", [("html", ["out"]), ("html-multi", ["index.xhtml", "notes.xhtml", "section-001.xhtml"]), ("epub", ["out"]), ("xml", ["out"])])
+def test_command_line_writes_files(spark, tmp_path, to, files_, monkeypatch):
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.tex").write_text("\\documentclass{book}\\begin{document}\\mainmatter\\chapter{One}\\input{b}\\footnote{n}\\end{document}")
+    (tmp_path / "in" / "b.tex").write_text("included text")
+    out = tmp_path / "out"
+    assert command.main(["-t", to, "-o", str(out), str(tmp_path / "in" / "a.tex")]) == 0
+    made = [p for p in sorted(out.rglob("*") if out.is_dir() else [out]) if not p.name.endswith(".crc")]
+    assert [p.name for p in made] == files_
+    assert to == "epub" and made[0].read_bytes()[:2] == b"PK" or any("included text" in p.read_text() for p in made)
