@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; it is written as Parquet and read again as the next stage's docs. All but
 the last return the columns of documents.
+
+Defined results: null and empty texts have no lines and are judged by the share of good labels; among each other they are equal, and the largest
+doc_id stays; they are near to nothing, stay null or empty, and become one piece that holds the end id. Texts of any length pass whole. Of rows
+that share doc_id and text one stays; a row without doc_id is judged like any other and is linked with nothing near. Ties fall to the largest
+doc_id among equal texts and to the smallest among near ones. Further columns pass through all stages but the last, whatever their names. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_classifier", quality), ("exact_dedup", exact), ("minhash_near_dedup", near), ("pii_redaction", private), ("best_fit_packing", packed)]
-#: The classifier and the packing are beyond SQL; the stages are tested against brute-force versions.
+#: The classifier and the packing are beyond SQL; run() is tested against a brute-force version of all stages.
 ORACLE_SQL = None
 
 

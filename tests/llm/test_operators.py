@@ -59,6 +59,24 @@ def test_odd_rows(spark, odd, marked, name):
     assert made(odd.limit(0)).collect() == []
 
 
+def test_odd_values(spark, odd, marked):
+    made = operators(marked)
+    rows = {name: made[name](odd).collect() for name in made}
+
+    def of(name, i):
+        return [r for r in rows[name] if r["doc_id"] == i]
+
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in rows["exact"] if r["doc_id"] in (0, 1, 4, 5)} == {(0, 1, 3), (1, 1, 3), (4, 5, 3), (5, 5, 3)}
+    assert [(r["n_shingles"], r["component_id"], r["kept"]) for i in (0, 1, 2, 3) for r in of("near", i)] == [(0, 0, True), (0, 1, True), (0, 2, True), (1, 3, True)]
+    assert {(r["component_id"], r["kept"]) for i in (4, 5) for r in of("near", i)} == {(4, True), (4, False)} and {r["component_id"] for r in of("near", None)} == {None}
+    assert not of("pii", 0)[0]["spans"] and [s["kind"] for s in of("pii", 6)[0]["base"]] == ["email", "phone"] and not of("pii", 9)[0]["base"]  # 9: one match of too many digits
+    assert {len(r["ids"] or b"") for i in (0, 1) for r in of("encode", i)} == {0} if "ids" in rows["encode"][0].__fields__ else True
+    assert {(r["n_words"], r["word_chars"], r["base_failed"], r["kept"]) for i in (0, 1, 2) for r in of("rules", i)} == {(0, 0, True, False)}
+    assert len({r["score"] for i in (0, 1, 2) for r in of("crf", i)}) == 1 and len({r["score"] for r in of("crf", 5)}) == 1
+    assert len({r["score"] for i in (0, 1, 2, 3) for r in of("toxic", i)}) == 1
+    assert {(r["n_tokens"], r["n_bytes"]) for i in (0, 1, 2) for r in of("tree", i)} == {(1, 1)} and of("tree", 4)[0]["score"] == of("tree", 5)[0]["score"]
+
+
 def test_odd_rows_in_filters_and_pieces(spark, odd, marked):
     for made in (exact_dedup.deduplicated, minhash_dedup.deduplicated, pii.redacted, lambda d: line_crf.kept(d, line_crf.fitted(d, marked))):
         got = made(odd)
