@@ -19,6 +19,7 @@ matter; texts of any length are read whole; an empty table gives an empty result
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -206,18 +207,21 @@ def factor(marks: tuple[bool, bool, bool], factors: tuple[float, float, float])
 
 
 def _word_counts(batches):
-    """Per task: in how many toxic and clean documents a word, or a beginning of four to eight letters, occurs."""
+    """Per task: in how many toxic and clean documents a word, or a beginning of four to eight letters, occurs, and in how many toxic ones of one half."""
     both: dict[tuple[str, bool], list[int]] = {}
     for batch in batches:
         for text, toxic in zip(common.texts(batch), batch.column("toxic").to_pylist(), strict=True):
             words = set(_TOKEN.findall(text.lower()))
             marks = {(w, False) for w in words} | {(w[:n], True) for w in words for n in range(4, 9) if len(w) > n}
+            half = toxic and zlib.crc32(text.encode()) % 2
             for m in marks:
-                both.setdefault(m, [0, 0])[toxic] += 1
+                n = both.setdefault(m, [0, 0, 0])
+                n[toxic] += 1
+                n[2] += half
     rows = [(*k, *v) for k, v in both.items()]
     for at in range(0, len(rows), 50_000):
-        a, b, c, d = zip(*rows[at : at + 50_000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c, pa.int64()), pa.array(d, pa.int64())], names=["term", "stem", "clean", "toxic"])
+        a, b, *counts = zip(*rows[at : at + 50_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.array(c, pa.int64()) for c in counts)], names=["term", "stem", "clean", "toxic", "half"])
 
 
 def _measured(lexicon: Lexicon):
@@ -260,8 +264,9 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held: int =
     if not bad or not good:
         p = bad / max(1, bad + good)
         return Lexicon([], [], curve=[float(np.log((p + 1e-6) / (1 - p + 1e-6))), 0.0, 0.0, 0.0, 0.0])
-    counts = rows.mapInArrow(_word_counts, "term string, stem boolean, clean bigint, toxic bigint").groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # support, and an odds ratio that chance would hardly give
+    counts = rows.mapInArrow(_word_counts, "term string, stem boolean, clean bigint, toxic bigint, half bigint").groupBy("term", "stem").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "half")))
+    # support in both halves of the toxic documents, and an odds ratio that chance would hardly give
+    counts = counts.filter(F.least("half", F.col("toxic") - F.col("half")) >= F.when(F.col("stem"), 4).when(F.lit(bad >= 100), 2).otherwise(1))
     strong = counts.filter((F.col("toxic") >= F.when(F.col("stem"), 8).otherwise(3)) & (F.col("toxic") * good >= 40 * (F.col("clean") + F.when(F.col("stem"), 0.2).otherwise(0.1)) * bad))
     picked = strong.orderBy(F.desc("toxic"), "term", "stem").collect()  # words of a bounded sample
     stems = {r["term"] for r in picked if r["stem"]}
