@@ -76,11 +76,10 @@ def table_cells(spark, sf_dir):
 
 
 def gloss_align(spark, sf_dir):
-    """Interlinear lines: the words of two turns side by side, as wide as the longer."""
-    rows = _table(spark, sf_dir, "conversations").filter("turn IN (0, 1)").select("conv_id", "turn", F.posexplode(F.filter(F.split("text", r"[ \n\t]+"), lambda x: x != "")).alias("pos", "word"))
+    """Interlinear lines: the words of all turns of a conversation by their place, as wide as the longest turn."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.filter(F.split("text", r"[ \n\t]+"), lambda x: x != "")).alias("pos", "word"))
     wide = rows.groupBy("conv_id").agg((F.max("pos") + 1).cast("bigint").alias("columns"))
-    pairs = rows.groupBy("conv_id", "pos").agg(F.max(F.when(F.col("turn") == 0, F.col("word"))).alias("upper"), F.max(F.when(F.col("turn") == 1, F.col("word"))).alias("lower"))
-    return pairs.join(wide, "conv_id").select("conv_id", "pos", "upper", "lower", "columns")
+    return rows.join(wide, "conv_id").select("conv_id", "turn", "pos", "word", "columns")
 
 
 def inline_dispatch(spark, sf_dir):
@@ -88,7 +87,7 @@ def inline_dispatch(spark, sf_dir):
     modes = spark.createDataFrame([("cite", "inline"), ("citet", "text"), ("citep", "parentheses")], "command string, mode string")
     rows = _table(spark, sf_dir, "supplier").select("s_suppkey", F.element_at(F.array(F.lit("cite"), F.lit("citet"), F.lit("citep"), F.lit("other")), (F.col("s_suppkey") % 4 + 1).cast("int")).alias("command"), F.concat(F.lit(" k"), F.col("s_suppkey").cast("string"), F.lit(", ,k"), F.col("s_nationkey").cast("string"), F.lit(",")).alias("keys"))
     rows = rows.select("s_suppkey", "command", F.posexplode(F.filter(F.transform(F.split("keys", ","), lambda x: F.trim(x)), lambda x: x != "")).alias("pos", "key"))
-    return rows.join(F.broadcast(modes), "command").select("s_suppkey", "mode", "pos", "key")
+    return rows.join(F.broadcast(modes), "command", "left").select("s_suppkey", F.coalesce("mode", F.lit("unknown")).alias("mode"), "pos", "key")
 
 
 def mime_ncname(spark, sf_dir):
@@ -130,9 +129,9 @@ SQL = {
 CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || ' & ' || p_type ELSE p_brand || ', ' || p_type || ' & ' || p_name END AS agents, CASE WHEN p_partkey % 3 = 0 THEN '(ed.)' ELSE '(eds.)' END AS editors,
 CASE WHEN {_N} < 26 THEN chr(CAST(97 + {_N} AS INT)) WHEN {_N} < 702 THEN chr(CAST(97 + ({_N} - 26) // 26 AS INT)) || chr(CAST(97 + ({_N} - 26) % 26 AS INT)) ELSE chr(CAST(97 + ({_N} - 702) // 676 AS INT)) || chr(CAST(97 + ({_N} - 702) // 26 % 26 AS INT)) || chr(CAST(97 + ({_N} - 702) % 26 AS INT)) END AS letters FROM part""",
     "table_cells": 'SELECT o_orderkey, 0 AS "row", 0 AS cell, trim(o_orderpriority) AS text FROM orders UNION ALL SELECT o_orderkey, 0, 1, trim(o_orderstatus) FROM orders UNION ALL SELECT o_orderkey, 1, 0, trim(o_orderpriority) FROM orders',
-    "gloss_align": r"""WITH s AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \n\t]+'), lambda x: x <> '') AS w FROM conversations WHERE turn IN (0, 1)), u AS (SELECT conv_id, turn, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM s)
-SELECT conv_id, pos, max(CASE WHEN turn = 0 THEN word END) AS upper, max(CASE WHEN turn = 1 THEN word END) AS lower, max(max(pos) + 1) OVER (PARTITION BY conv_id) AS columns FROM u GROUP BY conv_id, pos""",
-    "inline_dispatch": "WITH c AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'inline' WHEN 1 THEN 'text' ELSE 'parentheses' END AS mode, s_nationkey FROM supplier WHERE s_suppkey % 4 < 3) SELECT s_suppkey, mode, 0 AS pos, 'k' || s_suppkey AS key FROM c UNION ALL SELECT s_suppkey, mode, 1, 'k' || s_nationkey FROM c",
+    "gloss_align": r"""WITH s AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \n\t]+'), lambda x: x <> '') AS w FROM conversations), u AS (SELECT conv_id, turn, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM s)
+SELECT conv_id, turn, pos, word, max(pos + 1) OVER (PARTITION BY conv_id) AS columns FROM u""",
+    "inline_dispatch": "WITH c AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'inline' WHEN 1 THEN 'text' WHEN 2 THEN 'parentheses' ELSE 'unknown' END AS mode, s_nationkey FROM supplier) SELECT s_suppkey, mode, 0 AS pos, 'k' || s_suppkey AS key FROM c UNION ALL SELECT s_suppkey, mode, 1, 'k' || s_nationkey FROM c",
     "mime_ncname": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '_1' ELSE '' END || regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') AS id, CASE WHEN page_id % 4 = 0 THEN 'image/png' WHEN page_id % 4 = 1 THEN 'image/jpeg' WHEN page_id % 4 = 2 THEN 'image/svg+xml' ELSE 'application/xhtml+xml' END AS type FROM pages",
     "date_format": f"SELECT o_orderkey, {_D} AS date FROM orders",
     "number_bases": "SELECT p_partkey, printf('%X', p_partkey) AS hexadecimal, p_partkey AS back, CASE WHEN regexp_matches(p_name, '^[0-9]+$') THEN TRY_CAST(p_name AS BIGINT) END AS digits, TRY_CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT) AS number FROM part",
