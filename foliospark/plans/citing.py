@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,13 @@ def cite_groups(spark, sf_dir):
     return ops.written(ops.grouped(rows))
 
 
+def cite_modes(spark, sf_dir):
+    """The same citations in every mode."""
+    rows = ops.grouped(_cited(spark, sf_dir).select("doc_id", (F.col("ord") * 1000 + F.col("key")).alias("seq"), "agents", F.concat("year", "suffix").alias("label")))
+    modes = [ops.written(rows, m).withColumn("mode", F.lit(m)) for m in ("author_in_parentheses", "textual", "year", "author", "bare")]
+    return reduce(lambda a, b: a.unionByName(b), modes).select("doc_id", "mode", "citation")
+
+
 def bibliography(spark, sf_dir):
     """Every document's references in order: rank and text."""
     full = ops.full_reference(F.col("agents"), F.concat("year", "suffix"), F.col("title"), F.col("type"), F.lit("Berlin"))
@@ -103,7 +112,7 @@ def agents_parse(spark, sf_dir):
     return bib.agents(rows)
 
 
-QUERIES = {f.__name__: f for f in (cite_map, resolve_citations, extra_year, cite_groups, bibliography, entry_accessors, bib_dedupe, bib_normalise, xdata_inherit, crossref_inherit, string_macros_asof, agents_parse)}
+QUERIES = {f.__name__: f for f in (cite_map, resolve_citations, extra_year, cite_groups, cite_modes, bibliography, entry_accessors, bib_dedupe, bib_normalise, xdata_inherit, crossref_inherit, string_macros_asof, agents_parse)}
 _C = """WITH k AS (SELECT l_orderkey AS doc_id, (l_linenumber + 1) // 2 AS cmd_seq, (l_linenumber + 1) % 2 AS pos, l_partkey % 500 AS key FROM lineitem),
 o AS (SELECT doc_id, cmd_seq, coalesce(sum(count(*)) OVER (PARTITION BY doc_id ORDER BY cmd_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM k GROUP BY doc_id, cmd_seq),
 f AS (SELECT doc_id, key, min(cmd_seq) AS cmd_seq FROM k GROUP BY doc_id, key),
@@ -121,6 +130,12 @@ SQL = {
 h AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ord, key ROWS UNBOUNDED PRECEDING) AS grp FROM g),
 i AS (SELECT doc_id, grp, agents || ' ' || string_agg(label, ', ' ORDER BY ord, key) AS t FROM h GROUP BY doc_id, grp, agents)
 SELECT doc_id, '(' || string_agg(t, '; ' ORDER BY grp) || ')' AS citation FROM i GROUP BY doc_id""",
+    "cite_modes": _C + """, g AS (SELECT doc_id, ord, key, agents, year || suffix AS label, CASE WHEN lag(agents) OVER w IS DISTINCT FROM agents THEN 1 ELSE 0 END AS new FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY ord, key)),
+h AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ord, key ROWS UNBOUNDED PRECEDING) AS grp FROM g),
+i AS (SELECT doc_id, grp, agents AS a, string_agg(label, ', ' ORDER BY ord, key) AS y FROM h GROUP BY doc_id, grp, agents),
+mo AS (SELECT doc_id, grp, unnest(['author_in_parentheses', 'textual', 'year', 'author', 'bare']) AS mode, unnest([a || ' ' || y, a || ' (' || y || ')', y, a, a || ' ' || y]) AS t FROM i),
+li AS (SELECT doc_id, mode, list(t ORDER BY grp) AS l FROM mo GROUP BY doc_id, mode)
+SELECT doc_id, mode, CASE WHEN mode = 'author_in_parentheses' THEN '(' || array_to_string(l, '; ') || ')' WHEN mode IN ('textual', 'author') THEN CASE WHEN len(l) = 1 THEN l[1] ELSE array_to_string(l[1:len(l) - 1], ', ') || ' and ' || l[len(l)] END ELSE array_to_string(l, '; ') END AS citation FROM li""",
     "bibliography": _C + """, z AS (SELECT doc_id, key, CASE type WHEN 'book' THEN agents || '. ' || year || suffix || '. ' || title || '. Berlin.' WHEN 'article' THEN agents || '. ' || year || suffix || '. ' || title || '. Berlin, in press.' WHEN 'collection' THEN agents || ' (ed.). ' || year || suffix || '. ' || title || '. Berlin.' ELSE agents || '. ' || year || suffix || '. ' || title || '.' END AS reference FROM x)
 SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id ORDER BY reference, key) AS place, reference FROM z""",
     "entry_accessors": _C + "SELECT key, coalesce(author, editor) AS agents, coalesce(editor, '') AS editor_or_empty, coalesce(author, editor, title) AS first_of FROM b",
