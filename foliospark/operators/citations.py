@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import letters, sep_end_by
+from ..functions.text import letters, sep_by, sep_end_by
 
 
 def cite_map(keys: DataFrame) -> DataFrame:
@@ -63,3 +63,18 @@ def full_reference(agents, year, title, kind, place):
         .when(kind == "collection", F.concat(agents, F.lit(" (ed.). "), year, F.lit(". "), title, F.lit(". "), place, F.lit(".")))
         .otherwise(F.concat(head, title, F.lit(".")))
     )
+
+
+def agent_lines(agents: DataFrame) -> DataFrame:
+    """agents: key, place, first, prefix, last, suffix. One row a key: outer, inner, citing and editors.
+
+    outer begins with "Last, First von, Jr" and goes on with "First von Last, Jr", which all of inner are; citing holds last names; editors is what
+    follows names of editors.
+    """
+    part = {c: F.coalesce(c, F.lit("")) for c in ("first", "prefix", "last", "suffix")}
+    last_first = sep_by(part["last"], sep_by(sep_by(part["first"], part["prefix"], " "), part["suffix"], ", "), ", ")
+    first_last = sep_by(sep_by(part["first"], sep_by(part["prefix"], part["last"], " "), " "), part["suffix"], ", ")
+    rows = agents.select("key", F.struct("place", last_first.alias("lf"), first_last.alias("fl"), part["last"].alias("last")).alias("a")).groupBy("key").agg(F.array_sort(F.collect_list("a")).alias("all"))
+    outer = F.transform("all", lambda a, i: F.when(i == 0, a["lf"]).otherwise(a["fl"]))
+    inner, last = F.transform("all", lambda a: a["fl"]), F.transform("all", lambda a: a["last"])
+    return rows.select("key", *(sep_end_by(x, ", ", " & ").alias(n) for n, x in (("outer", outer), ("inner", inner), ("citing", last))), F.when(F.size("all") == 1, "(ed.)").otherwise("(eds.)").alias("editors"))

@@ -112,7 +112,12 @@ def agents_parse(spark, sf_dir):
     return bib.agents(rows)
 
 
-QUERIES = {f.__name__: f for f in (cite_map, resolve_citations, extra_year, cite_groups, cite_modes, bibliography, entry_accessors, bib_dedupe, bib_normalise, xdata_inherit, crossref_inherit, string_macros_asof, agents_parse)}
+def agent_lines(spark, sf_dir):
+    """Names as bibliographies and citations write them."""
+    return ops.agent_lines(agents_parse(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (cite_map, resolve_citations, extra_year, cite_groups, cite_modes, bibliography, entry_accessors, bib_dedupe, bib_normalise, xdata_inherit, crossref_inherit, string_macros_asof, agents_parse, agent_lines)}
 _C = """WITH k AS (SELECT l_orderkey AS doc_id, (l_linenumber + 1) // 2 AS cmd_seq, (l_linenumber + 1) % 2 AS pos, l_partkey % 500 AS key FROM lineitem),
 o AS (SELECT doc_id, cmd_seq, coalesce(sum(count(*)) OVER (PARTITION BY doc_id ORDER BY cmd_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM k GROUP BY doc_id, cmd_seq),
 f AS (SELECT doc_id, key, min(cmd_seq) AS cmd_seq FROM k GROUP BY doc_id, key),
@@ -155,4 +160,8 @@ SELECT u.doc_id, u.seq, u.name, coalesce((SELECT arg_max(d.value, d.seq) FROM e
     "agents_parse": """SELECT c_custkey AS key, 1 AS place, 'First' AS first, 'van' AS prefix, 'Last' || c_custkey AS last, 'Jr' AS suffix FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 2, 'Ann', 'de la', 'Roe', '' FROM customer WHERE c_custkey % 3 = 0
 UNION ALL SELECT c_custkey, 1, 'First' || c_custkey, 'von der', 'Last', '' FROM customer WHERE c_custkey % 3 = 1 UNION ALL SELECT c_custkey, 2, '', '', 'Plain', '' FROM customer WHERE c_custkey % 3 = 1
 UNION ALL SELECT c_custkey, 1, 'First' || c_custkey, '', 'Last', '' FROM customer WHERE c_custkey % 3 = 2 UNION ALL SELECT s_suppkey + 10000000, 1, 'Al B.', 'de', 'Supp' || s_suppkey, '' FROM supplier""",
+    "agent_lines": """SELECT c_custkey AS key, CASE c_custkey % 3 WHEN 0 THEN 'Last' || c_custkey || ', First van, Jr & Ann de la Roe' WHEN 1 THEN 'Last, First' || c_custkey || ' von der & Plain' ELSE 'Last, First' || c_custkey END AS "outer",
+CASE c_custkey % 3 WHEN 0 THEN 'First van Last' || c_custkey || ', Jr & Ann de la Roe' WHEN 1 THEN 'First' || c_custkey || ' von der Last & Plain' ELSE 'First' || c_custkey || ' Last' END AS "inner",
+CASE c_custkey % 3 WHEN 0 THEN 'Last' || c_custkey || ' & Roe' WHEN 1 THEN 'Last & Plain' ELSE 'Last' END AS citing, CASE c_custkey % 3 WHEN 2 THEN '(ed.)' ELSE '(eds.)' END AS editors FROM customer
+UNION ALL SELECT s_suppkey + 10000000, 'Supp' || s_suppkey || ', Al B. de', 'Al B. de Supp' || s_suppkey, 'Supp' || s_suppkey, '(ed.)' FROM supplier""",
 }
