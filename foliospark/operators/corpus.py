@@ -7,6 +7,7 @@ checked against INCLUDE_BYTES before it is sent to the executors.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Most that include files may weigh together.
 INCLUDE_BYTES = 64_000_000
+#: Calls that may be open at once; a text nested more deeply becomes an error row.
+DEEPEST = 100_000
 TOKENS = "path string, pos int, kind string, text string, cat int, active boolean, level int, error string"
 ATOMS = "path string, node_id int, last_id int, parent_id int, depth int, ord int, kind string, name string, text string, arg_kind string, arg_ord int, error string"
 FIELDS = "path string, seq int, key string, type string, name string, kind string, value string, error string"
@@ -35,6 +38,11 @@ def spread(sources: DataFrame) -> DataFrame:
     return sources.repartition(cores, "path") if len(sources.inputFiles()) < cores else sources
 
 
+def deep() -> None:
+    """Lets the kernels follow deep but legal nesting; their frames are Python's own and don't use the stack of the process."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
+
+
 def _each(make, schema: str, files: dict[str, str] | None):
     """make(text, files) gives rows; a failure gives one row with the error."""
     types = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
@@ -44,6 +52,7 @@ def _each(make, schema: str, files: dict[str, str] | None):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(columns)], names=[n for n, _ in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deep()
         for batch in batches:
             out: list[tuple] = []
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -125,6 +134,7 @@ def archives(sources: DataFrame, works: dict[str, dict] | None = None, files: di
         from ..kernels import writers
         from ..kernels.document import read_document
 
+        deep()
         for batch in batches:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 made, error = None, None

@@ -135,3 +135,9 @@ def test_command_line_writes_files(spark, tmp_path, to, files_, monkeypatch):
     made = [p for p in sorted(out.rglob("*") if out.is_dir() else [out]) if not p.name.endswith(".crc")]
     assert [p.name for p in made] == files_
     assert to == "epub" and made[0].read_bytes()[:2] == b"PK" or any("included text" in p.read_text() for p in made)
+
+
+def test_deep_nesting_is_no_error(spark):
+    rows = [("deep.tex", "\\begin{document}" + "{" * 3000 + "x" + "}" * 3000 + "\\end{document}"), ("bad.tex", "{")]
+    got = {r["path"]: (r["error"], r["content"]) for r in corpus.pages(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["deep.tex"][0] is None and "<p>x</p>" in got["deep.tex"][1] and got["bad.tex"][0].startswith("TeXError")
