@@ -535,6 +535,26 @@ def test_recall_at_the_bound(edits, least):
     assert sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(n)) >= least * n
 
 
+def test_every_shared_run_lies_in_a_passage(spark):
+    sf = SF.replace("0.001", "0.01")
+    texts = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in common.documents(spark, sf).collect()}
+    covered, holders, copies = defaultdict(list), defaultdict(set), 0
+    for x in passages.query(spark, sf).collect():
+        one, two = texts[x["doc_id"]][x["start_word"] : x["end_word"]], texts[x["rep_doc_id"]][x["rep_start_word"] : x["rep_end_word"]]
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (one, two))
+        assert min(len(one), len(two)) >= passages.SHORTEST and 5 * len(a & b) >= 4 * len(a | b) and x["doc_id"] > x["rep_doc_id"]
+        covered[x["doc_id"]].append((x["start_word"], x["end_word"])), covered[x["rep_doc_id"]].append((x["rep_start_word"], x["rep_end_word"]))
+    for i, w in texts.items():
+        for k in range(len(w) - 49):
+            holders[tuple(w[k : k + 50])].add(i)
+    for i, w in texts.items():
+        for k in range(len(w) - 49):
+            if len(holders[tuple(w[k : k + 50])]) > 1:
+                copies += 1
+                assert any(x <= k and k + 50 <= y for x, y in covered[i])
+    assert copies > 10_000
+
+
 # ---- personal data
 
 
