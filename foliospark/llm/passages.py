@@ -18,12 +18,13 @@ once: its equal elements (64-bit hashes of five-word runs) are chained, also ove
 SHORTEST words or more are taken in which aligned elements outweigh gaps as the bound demands and whose exact Jaccard similarity over their sets of
 runs reaches it.
 
-Strangers. A window whose element lies in no confirmed passage of its document is a stranger. The windows of elements that have strangers are keyed
-a third time, by their element and the one wide / 2 to the right or to the left, which an exact passage holds as well on one side at least; so groups
-part that only share a line or a passage too short to count. Each stranger meets the first member of its new group, settled ones before strange
-ones, and is confirmed like any other. Those that are strange there too are compared with each other, in parts and slices within tasks and
-over NEAR elements to both sides, which hold an exact passage for certain, until the first is found that each is alike to; that meeting leaves
-the task and is confirmed as well. So strangers lose no partner among strangers, and meet the smallest settled window of each of their groups.
+Strangers. The windows that met are keyed a third time, by their element and the one wide / 2 to the right or to the left, which an exact
+passage holds as well on one side at least; so groups part that only share a line or a passage too short to count. A member's label is the
+smallest document with which a confirmed passage around its element links it (and where there); members of one label are connected. All
+outside a group's largest label, the strangers, are compared with all members, settled or not, in parts and slices within tasks and over NEAR
+elements to both sides, which hold an exact passage for certain. Only pairs that have met there before or that links found so far connect are
+left out. What is alike leaves the task and is confirmed as any other. So around each element all passages that are alike are connected by
+reported ones; those that are connected already aren't expanded into all pairs.
 
 Result: one row for each document and passage: where it lies, and the passage of a smaller document that it repeats.
 
@@ -349,11 +350,11 @@ def matched(a: np.ndarray, b: np.ndarray, meetings, run: int, shortest: int, per
 # ---- joins --------------------------------------------------------------------------------------------------------------------
 
 #: A window as it stands in packed lists.
-_WINDOW = np.dtype([("key", "<i8"), ("at", "<i4"), ("low", "<i4"), ("high", "<i4"), ("b_at", "<i4"), ("b_low", "<i4"), ("b_high", "<i4")])
+_WINDOW = np.dtype([("at", "<i4"), ("low", "<i4"), ("high", "<i4"), ("b_at", "<i4"), ("b_low", "<i4"), ("b_high", "<i4")])
 
 
 def _met(batches):
-    """Rows sorted by key, doc_id and at to meetings with their key's first; of hot keys' groups the first ones as well, with null b.
+    """Rows sorted by key, doc_id and at to meetings with their key's first; of hot keys' groups the first ones as well, with null b, and only they with their key.
 
     Of a document's windows of one key that overlap, the first stands for all.
     """
@@ -376,25 +377,23 @@ def _met(batches):
             first[0] = False
         at = np.flatnonzero(other | first)
         to = pa.array(root[at], mask=first[at])
-        cols = [docs.take(pa.array(at)), docs.take(to), table.column("key").combine_chunks().take(pa.array(at))]
+        cols = [docs.take(pa.array(at)), docs.take(to), pa.array(key[at], mask=~first[at])]
         cols += [table.column(c).combine_chunks().take(i) for i in (pa.array(at), to) for c in ("at", "low", "high")]
         yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "key", "at", "low", "high", "b_at", "b_low", "b_high"])
         carried = table.slice(int(root[-1]), 1).combine_chunks()
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """a, b, key, at, low, high, b_at, b_low, b_high: windows (doc_id, key, at, low, high, strange or not) with the first window of their key, of another document."""
+    """a, b, at, low, high, b_at, b_low, b_high: windows (doc_id, key, at, low, high) with the first window of their key, of another document."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"a {kind}, b {kind}, key bigint, at int, low int, high int, b_at int, b_low int, b_high int"
 
-    first = [c for c in ("strange",) if c in rows.columns]
-
     def once(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key", *first, "doc_id", "at").select("doc_id", "key", "at", "low", "high").mapInArrow(_met, schema)
+        return rows.repartition("key").sortWithinPartitions("key", "doc_id", "at").select("doc_id", "key", "at", "low", "high").mapInArrow(_met, schema)
 
     met = common.written(once(rows), "met")
-    firsts = met.filter("b IS NULL").select(F.col("a").alias("doc_id"), F.col("key").bitwiseAND(F.lit(~127)).alias("key"), "at", "low", "high", *(F.lit(False).alias(c) for c in first))
-    return met.filter("b IS NOT NULL").union(once(firsts))
+    firsts = met.filter("b IS NULL").select(F.col("a").alias("doc_id"), F.col("key").bitwiseAND(F.lit(~127)).alias("key"), "at", "low", "high")
+    return met.filter("b IS NOT NULL").union(once(firsts)).drop("key")
 
 
 def _gathered(batches):
@@ -432,12 +431,14 @@ def _gathered(batches):
 
 
 _FOUND = ("a_from", "a_to", "b_from", "b_to")
+_SIDES = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
 
 def _checked(run: int, shortest: int, percent: int):
-    """Rows a, b, windows, text_a, text_b to the confirmed passages, and to all windows: strange if no passage of the pair holds the element."""
+    """Rows a, b, windows, text_a, text_b to the confirmed passages, and to all windows of both with the third keys of their sides; b is whom a window met."""
 
     half = (shortest - run + 1) // 2
+    names = ("at", "low", "high", "right", "left")
 
     def go(batches):
         known = WordHashes()
@@ -446,34 +447,46 @@ def _checked(run: int, shortest: int, percent: int):
             w = words(text)
             return shingle_hashes(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), run)
 
-        def rows(doc, e, at, low, high, strange):
+        def keyed(e: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
             sides, key = [], window_key(e[at], 0)
             for which, place in enumerate((at + half, at - half)):
                 mark = (e[np.clip(place, 0, len(e) - 1)] >> np.uint64(46)).astype(np.int64) << 6
                 sides.append(np.where((place >= low) & (place <= high), second_key(key, mark, 2 * MARKS + MARKS * which) | 1, 0))
-            return [(doc, None, None, None, None, None, *r) for r in zip(key.tolist(), at.tolist(), low.tolist(), high.tolist(), strange.tolist(), *(x.tolist() for x in sides), strict=True)]
+            return at, low, high, *sides
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             kind = batch.schema.field(0).type
-            last, held, out = None, None, []
+            last, held, out, docs, met, rows, others = None, None, [], [], [], [], []
+
+            def others_too():
+                # each of the second text's windows once
+                if others:
+                    x = np.concatenate(others)
+                    x = x[np.unique(x["b_at"], return_index=True)[1]]
+                    docs.append(last[0]), met.append(None), rows.append(keyed(held, x["b_at"], x["b_low"], x["b_high"]))
+                    others.clear()
+
             one, two = common.texts(batch, "text_a"), common.texts(batch, "text_b")
             a, b, packed = (batch.column(c).to_pylist() for c in ("a", "b", "windows"))
             for i in range(batch.num_rows):
-                if two[i] != last:
-                    last, held = two[i], elements(two[i])
+                if last is None or b[i] != last[0]:
+                    others_too()
+                    last, held = (b[i],), elements(two[i])
                 w = np.frombuffer(packed[i], dtype=_WINDOW)
                 mine = elements(one[i])
                 found = matched(mine, held, np.stack([w["low"], w["high"], w["b_low"], w["b_high"], w["b_at"] - w["at"]], axis=1), run, shortest, percent)
-                out += [(a[i], b[i], *f, *[None] * 7) for f in found]
-                strange = np.ones(len(w), dtype=bool)
-                for f in found:
-                    strange &= (w["at"] < f[0]) | (w["at"] > f[1] - run)
-                out += rows(a[i], mine, w["at"], w["low"], w["high"], strange)
-                if (salted := w[w["key"] & 64 != 0]).size:  # members of a hot key's other groups haven't met this root
-                    out += rows(b[i], held, salted["b_at"], salted["b_low"], salted["b_high"], np.zeros(len(salted), dtype=bool))
-            data = list(zip(*out, strict=True)) if out else [[]] * 13
-            types = (kind, kind, *[pa.int32()] * 4, pa.int64(), *[pa.int32()] * 3, pa.bool_(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, types, strict=True)], names=["a", "b", *_FOUND, "key", "at", "low", "high", "strange", "right", "left"])
+                out += [(a[i], b[i], *f) for f in found]
+                docs.append(a[i]), met.append(b[i]), rows.append(keyed(mine, w["at"], w["low"], w["high"]))
+                others.append(w)
+            others_too()
+            found = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, (kind, kind, *[pa.int32()] * 4), strict=True)]
+            owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+            found = pa.table([*found, *(pa.nulls(len(out), t) for t in _SIDES)], names=["a", "b", *_FOUND, *names])
+            columns = [pa.array(np.concatenate([r[k] for r in rows]), t) for k, t in enumerate(_SIDES)]
+            windows = pa.table([*(pa.array(x, kind).take(pa.array(owner)) for x in (docs, met)), *(pa.nulls(len(owner), pa.int32()) for _ in _FOUND), *columns], names=found.column_names)
+            yield from pa.concat_tables([found, windows]).combine_chunks().to_batches()
 
     return go
 
@@ -483,14 +496,14 @@ def confirmed(met: DataFrame, texts: DataFrame, run: int, shortest: int, percent
     kind = met.schema["a"].dataType.simpleString()
     pairs = common.written(met.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_gathered, f"a {kind}, b {kind}, windows binary"), "pairs")
     rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    schema = f"a {kind}, b {kind}, {', '.join(f'{c} int' for c in _FOUND)}, key bigint, at int, low int, high int, strange boolean, right bigint, left bigint"
+    schema = f"a {kind}, b {kind}, {', '.join(f'{c} int' for c in _FOUND)}, at int, low int, high int, right bigint, left bigint"
     out = common.written(rows.select("a", "b", "windows", "text_a", "text_b").mapInArrow(_checked(run, shortest, percent), schema), "checked")
     common.removed(pairs)
     return out
 
 
 def _surrounded(run: int, near: int):
-    """Rows doc_id, text, members to one row a window with the elements around its own."""
+    """Rows doc_id, text, members to one row a window with the elements around its own, 32 bits of each."""
 
     def go(batches):
         known = WordHashes()
@@ -498,75 +511,139 @@ def _surrounded(run: int, near: int):
             kind, out = batch.schema.field(0).type, []
             for d, text, members in zip(batch.column(0).to_pylist(), common.texts(batch), batch.column(2).to_pylist(), strict=True):
                 w = words(text)
-                e = shingle_hashes(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), run)
+                e = (shingle_hashes(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), run) >> np.uint64(32)).astype(np.uint32)
                 for m in members:
                     low = max(m["low"], m["at"] - near)
-                    out.append((m["key"], d, m["at"], m["low"], m["high"], m["strange"], low, e[low : min(m["high"], m["at"] + near) + 1].tobytes()))
-            types = (pa.int64(), kind, *[pa.int32()] * 3, pa.bool_(), pa.int32(), pa.binary())
-            data = list(zip(*out, strict=True)) if out else [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, types, strict=True)], names=["key", "doc_id", "at", "low", "high", "strange", "first", "elements"])
+                    out.append((m["key"], d, m["at"], m["low"], m["high"], m["strange"], m["label"], m["met"], low, e[low : min(m["high"], m["at"] + near) + 1].tobytes()))
+            types = (pa.int64(), kind, *[pa.int32()] * 3, pa.bool_(), pa.int64(), pa.list_(kind), pa.int32(), pa.binary())
+            data = list(zip(*out, strict=True)) if out else [[]] * 10
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, types, strict=True)], names=["key", "doc_id", "at", "low", "high", "strange", "label", "met", "first", "elements"])
 
     return go
 
 
+def alike(rows: list[tuple], held: list[tuple], near: int, wide: int, percent: int) -> np.ndarray:
+    """Pairs (places in rows and in held) that may share a passage around their elements; rows are doc_id, at, low, high, first, met, label, elements.
+
+    A passage of wide elements or more in the first one begins at or before its element and ends at or after it with elements of the second
+    one, and what they have in common between outweighs the gaps in both, as in stretches. Where elements repeat, enough distinct ones in common will do. All of different labels are looked at at once.
+    """
+    n, width = len(held), 2 * near + 1
+
+    def flat(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+        sizes = np.array([len(r[-1]) for r in rows])
+        places = np.concatenate([np.arange(k) + (r[4] - r[1] + near) for r, k in zip(rows, sizes.tolist(), strict=True)])
+        both = np.concatenate([r[-1] for r in rows]).astype(np.uint64) << np.uint64(32) | np.repeat(np.arange(len(rows), dtype=np.uint64), sizes)
+        both, at = np.unique(both, return_index=True)
+        owner = (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        return both >> np.uint64(32), owner, places[at], np.bincount(owner, minlength=len(rows)) < sizes
+
+    (theirs, owner, q, their_repeats), (mine, row, p, repeats) = flat(held), flat(rows)
+    low = np.searchsorted(theirs, mine, "left")
+    times = np.searchsorted(theirs, mine, "right") - low
+    of = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+    cell = np.repeat(row * n, times) + owner[of]
+    again = (repeats[:, None] | their_repeats[None, :]).reshape(-1)
+    need = [np.array([needed(r[-1], wide, percent).min() if x else -(-percent * wide // 100) for r, x in zip(*of_, strict=True)]) for of_ in ((rows, repeats), (held, their_repeats))]
+    enough = np.bincount(cell, minlength=len(rows) * n) >= np.maximum(need[0][:, None], need[1][None, :]).reshape(-1)
+    enough &= (np.array([r[-2] for r in rows])[:, None] != np.array([h[-2] for h in held])[None, :]).reshape(-1)
+    pairs = np.flatnonzero(enough & ~again)
+    if not len(pairs):
+        return np.flatnonzero(enough)
+    to = np.full((len(pairs), width), -1, dtype=np.int32)
+    in_ = (enough & ~again)[cell]
+    to[np.searchsorted(pairs, cell[in_]), np.repeat(p, times)[in_]] = q[of[in_]]
+    mask = to >= 0
+    # common elements weigh 100 + percent, places in both texts percent
+    sums = (100 + percent) * np.cumsum(mask, axis=1, dtype=np.int32) - percent * (to + np.arange(width, dtype=np.int32))
+    begin = np.where(mask, sums - (100 + percent), 1 << 30)
+    begin[:, near + 1 :] = 1 << 30
+    begin = np.minimum.accumulate(begin, axis=1)
+    ends = np.arange(max(near, wide - 1), width)
+    good = (mask[:, ends] & (sums[:, ends] - begin[:, ends - wide + 1] >= 2 * percent)).any(axis=1)
+    return np.sort(np.concatenate([pairs[good], np.flatnonzero(enough & again)]))
+
+
 def _among(run: int, shortest: int, percent: int):
     """Rows sorted by key, part, slice, member and doc_id to meetings of what is alike: the strangers of a part, then all members of a slice.
 
-    Members come in the order of their ids, so a stranger meets the smallest that it is alike to.
+    Members of one label are connected, and so are those of labels that a meeting of the task has joined; all others are compared that haven't met here before.
     """
     wide = shortest - run + 1
-    names = ("key", "part", "slice", "member", "doc_id", "at", "low", "high", "strange", "first", "elements")
 
     def go(batches):
-        group, held = None, []
+        group, held, joined, out = None, [], {}, []
+
+        def root(label: int) -> int:
+            while (to := joined.get(label, label)) != label:
+                label = to
+            return label
+
+        def compare(rows: list[tuple]) -> None:
+            for pair in alike(rows, held, NEAR, wide, percent).tolist():
+                (d, at, low, high, first, met, label, mine), (other, o_at, o_low, o_high, o_first, o_met, o_label, theirs) = rows[pair // len(held)], held[pair % len(held)]
+                one, two, x, u = root(label), root(o_label), at - first, o_at - o_first
+                if d == other or one == two or other in met or d in o_met:
+                    continue
+                found = matched(mine, theirs, [(0, len(mine) - 1, 0, len(theirs) - 1, u - x)], run, shortest, percent)
+                if any(f[0] <= x <= f[1] - run and f[2] <= u <= f[3] - run for f in found):
+                    joined[one] = two
+                    a, b = (d, at, low, high), (other, o_at, o_low, o_high)
+                    a, b = (a, b) if d > other else (b, a)
+                    out.append((a[0], b[0], *a[1:], *b[1:]))
+
         for batch in batches:
-            kind, out = batch.schema.field(batch.schema.get_field_index("doc_id")).type, []
-            for key, part, slice_, member, d, at, low, high, strange, first, e in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
+            kind = batch.schema.field(batch.schema.get_field_index("doc_id")).type
+            names, waiting = ("key", "part", "slice", "member", "doc_id", "at", "low", "high", "first", "met", "label", "elements"), []
+            for key, part, slice_, member, *row, e in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
                 if (key, part, slice_) != group:
-                    group, held = (key, part, slice_), []
-                mine = np.frombuffer(e, np.uint64)
+                    if waiting:
+                        compare(waiting)
+                    group, held, waiting = (key, part, slice_), [], []
+                    joined.clear()
+                mine = np.frombuffer(e, np.uint32)
                 if len(mine) < wide:
                     continue
                 if not member:
-                    held.append((d, at, low, high, first, mine, np.sort(mine)))
-                    continue
-                if not held:
-                    continue
-                need, still = int(needed(mine, wide, percent).min()), []
-                for h in held:
-                    other, o_at, o_low, o_high, o_first, theirs, sorted_ = h
-                    # a stranger that has found its like is done in this slice
-                    if other == d or (sorted_[np.minimum(np.searchsorted(sorted_, mine), len(sorted_) - 1)] == mine).sum() < need or not matched(mine, theirs, [(0, len(mine) - 1, 0, len(theirs) - 1, (o_at - o_first) - (at - first))], run, shortest, percent):
-                        still.append(h)
-                        continue
-                    one, two = ((d, at, low, high), (other, o_at, o_low, o_high))
-                    one, two = (one, two) if d > other else (two, one)
-                    out.append((one[0], two[0], key, *one[1:], *two[1:]))
-                held = still
-            data = list(zip(*out, strict=True)) if out else [[]] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, (kind, kind, pa.int64(), *[pa.int32()] * 6), strict=True)], names=["a", "b", *_WINDOW.names])
+                    held.append((*row, mine))
+                elif held:
+                    waiting.append((*row, mine))
+                    if len(waiting) == 64:
+                        compare(waiting)
+                        waiting = []
+            if waiting:
+                compare(waiting)
+            data = list(zip(*out, strict=True)) if out else [[]] * 8
+            out.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, (kind, kind, *[pa.int32()] * 6), strict=True)], names=["a", "b", *_WINDOW.names])
 
     return go
 
 
-def among(left: DataFrame, texts: DataFrame, run: int, shortest: int, percent: int) -> DataFrame:
-    """Meetings, in each key's group, of strangers with all others; left: doc_id, key, at, low, high, strange."""
-    kind = left.schema["doc_id"].dataType.simpleString()
-    sizes = left.groupBy("key").agg(F.ceil(F.sum(F.col("strange").cast("int")) / PART).cast("int").alias("parts"), F.ceil(F.count(F.lit(1)) / PASSING).cast("int").alias("slices"), F.min("doc_id").alias("x"), F.max("doc_id").alias("z")).filter("parts > 0 AND x <> z").select("key", "parts", "slices")
+def among(members: DataFrame, texts: DataFrame, run: int, shortest: int, percent: int) -> DataFrame:
+    """Meetings, in each key's group, of those outside its largest label, the strangers, with all others; members: doc_id, key, at, low, high, label, met (documents it has met there)."""
+    kind = members.schema["doc_id"].dataType.simpleString()
+    labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("x"), F.max(F.struct("doc_id", "met")).alias("z"))
+    sizes = labels.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.min("x").alias("x"), F.max("z").alias("z")).filter("n > top.n AND x <> z.doc_id AND NOT (n = 2 AND array_contains(z.met, x))")
+    sizes = sizes.select("key", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / PART).cast("int").alias("parts"), F.ceil(F.col("n") / PASSING).cast("int").alias("slices"))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")
-    spread = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    open_ = common.written(left.withColumn("salt", salt).join(spread, ["key", "salt"]), "open")
-    members = open_.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "low", "high", "strange")).alias("members"))
-    rows = texts.join(members, "doc_id").select("doc_id", "text", "members").mapInArrow(_surrounded(run, NEAR), f"key bigint, doc_id {kind}, at int, low int, high int, strange boolean, first int, elements binary")
+    spread = common.written(sizes, "sizes").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    open_ = common.written(members.withColumn("salt", salt).join(spread, ["key", "salt"]).withColumn("strange", F.col("label") != F.col("top")), "open")
+    own = open_.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "low", "high", "strange", "label", "met")).alias("members"))
+    rows = texts.join(own, "doc_id").select("doc_id", "text", "members").mapInArrow(_surrounded(run, NEAR), f"key bigint, doc_id {kind}, at int, low int, high int, strange boolean, label bigint, met array<{kind}>, first int, elements binary")
     rows = rows.withColumn("salt", salt).join(spread, ["key", "salt"])
     own = F.xxhash64("doc_id", "at")
     part, slice_ = F.pmod(own, F.col("parts").cast("long")).cast("int"), F.pmod(F.shiftright(own, 20), F.col("slices").cast("long")).cast("int")
     one = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda x: F.struct(part.alias("part"), x.alias("slice"), F.lit(False).alias("member")))
     all_ = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(x.alias("part"), slice_.alias("slice"), F.lit(True).alias("member")))
-    names = ("doc_id", "at", "low", "high", "strange", "first", "elements")
+    names = ("doc_id", "at", "low", "high", "first", "met", "label", "elements")
     rows = rows.select("key", *names, F.explode(F.when(F.col("strange"), F.concat(one, all_)).otherwise(all_)).alias("x"))
     dealt = rows.select("key", "x.part", "x.slice", "x.member", *names).repartition("key", "part", "slice").sortWithinPartitions("key", "part", "slice", "member", "doc_id")
-    return dealt.mapInArrow(_among(run, shortest, percent), f"a {kind}, b {kind}, key bigint, at int, low int, high int, b_at int, b_low int, b_high int")
+    met = dealt.mapInArrow(_among(run, shortest, percent), f"a {kind}, b {kind}, at int, low int, high int, b_at int, b_low int, b_high int")
+    # over their whole windows strangers meet one of the largest label too, as alike passages may be longer than what lies near
+    one = open_.groupBy("key").agg(F.min(F.struct("strange", "doc_id", "at", "low", "high")).alias("b"))
+    far = open_.filter("strange").join(one, "key").filter("doc_id <> b.doc_id AND NOT array_contains(met, b.doc_id)")
+    return met.union(far.select(F.col("doc_id").alias("a"), F.col("b.doc_id").alias("b"), "at", "low", "high", *(F.col(f"b.{c}").alias(f"b_{c}") for c in ("at", "low", "high"))))
 
 
 def hot_keys(text: DataFrame, run: int, shortest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -598,32 +675,20 @@ def passages(docs: DataFrame, run: int = RUN, shortest: int = SHORTEST, percent:
     first = confirmed(met, texts, run, shortest, percent)
     common.removed(met)
     common.swept(docs.sparkSession)
-    found = first.filter("b IS NOT NULL").select("a", "b", *_FOUND)
-    sides = ("right", "left")
-
-    def strangers(checked: DataFrame, found: DataFrame) -> DataFrame:
-        """Of the windows of a check, those whose element lies in no confirmed passage of their document."""
-        spans = found.select(F.col("a").alias("doc_id"), F.struct(F.col("a_from").alias("x"), F.col("a_to").alias("y")).alias("s")).union(found.select("b", F.struct("b_from", "b_to")))
-        spans = spans.groupBy("doc_id").agg(F.collect_set("s").alias("spans"))
-        rows = checked.filter("b IS NULL AND strange").select(F.col("a").alias("doc_id"), "key", "at", "low", "high").distinct().join(spans, "doc_id", "left")
-        return common.written(rows.filter(f"spans IS NULL OR NOT exists(spans, s -> s.x <= at AND at + {run} <= s.y)").drop("spans"), "strangers")
-
-    lone = strangers(first, found)
-    if lone.head(1):
-        rows = first.filter("b IS NULL").select(F.col("a").alias("doc_id"), "key", "at", "low", "high", *sides).join(lone.select("key").distinct(), "key", "left_semi")
-        rows = rows.join(lone.select("doc_id", "key", "at", F.lit(True).alias("strange")), ["doc_id", "key", "at"], "left").withColumn("strange", F.coalesce("strange", F.lit(False)))
-        rows = rows.select("doc_id", F.explode(F.filter(F.array(*sides), lambda x: x != 0)).alias("key"), "at", "low", "high", "strange").groupBy("doc_id", "key", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("strange").alias("strange"))
-        rows = common.written(rows, "third")
-        met = meetings(rows).join(rows.filter("strange").select(F.col("doc_id").alias("a"), "key", "at"), ["a", "key", "at"], "left_semi")
-        then = confirmed(met.select("a", "b", *_WINDOW.names), texts, run, shortest, percent)
-        found = found.union(then.filter("b IS NOT NULL").select("a", "b", *_FOUND))
-        common.removed(lone), common.removed(rows)
-        lone = strangers(then, found)
-        again = common.written(among(lone.withColumn("strange", F.lit(True)), texts, run, shortest, percent), "again")
-        if again.head(1):
-            found = found.union(confirmed(again, texts, run, shortest, percent).filter("b IS NOT NULL").select("a", "b", *_FOUND))
-        common.removed(again)
-    common.removed(lone), common.removed(texts)
+    found = first.filter("a_from IS NOT NULL").select("a", "b", *_FOUND)
+    # where a passage that holds a window's element lies in the smallest document it is linked to; windows without one stand alone
+    spans = found.select(F.col("a").alias("doc_id"), F.struct("b", F.col("b_from").alias("to"), F.col("a_from").alias("x"), F.col("a_to").alias("y")).alias("s"))
+    spans = spans.union(found.select("b", F.struct("b", "b_from", "b_from", "b_to"))).groupBy("doc_id").agg(F.collect_set("s").alias("spans"))
+    label = f"array_min(transform(filter(spans, s -> s.x <= at AND at + {run} <= s.y), s -> struct(s.b, (s.to + at - s.x) DIV 64 AS place)))"
+    sides = [F.max(F.when(F.col(c) != 0, F.col(c))).alias(c) for c in ("right", "left")]
+    members = first.filter("a_from IS NULL").groupBy(F.col("a").alias("doc_id"), "at").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_set("b").alias("met"), *sides).join(spans, "doc_id", "left").withColumn("label", F.expr(label))
+    members = members.withColumn("label", F.when(F.col("label").isNotNull(), F.xxhash64("label.b", "label.place")).otherwise(F.xxhash64("doc_id", F.lit(-1))))
+    whole = common.written(members.select("doc_id", "at", "low", "high", "right", "left", "label", "met"), "members")
+    members = whole.select("doc_id", "at", "low", "high", "label", "met", F.explode(F.filter(F.array("right", "left"), lambda x: x.isNotNull())).alias("key"))
+    again = common.written(among(members, texts, run, shortest, percent), "again")
+    if again.head(1):
+        found = found.union(confirmed(again, texts, run, shortest, percent).filter("a_from IS NOT NULL").select("a", "b", *_FOUND))
+    common.removed(whole), common.removed(again), common.removed(texts)
     flip = found.filter("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("b_from").alias("a_from"), F.col("b_to").alias("a_to"), F.col("a_from").alias("b_from"), F.col("a_to").alias("b_to"))
     found = found.filter("a > b").union(flip)
     return found.select(F.col("a").alias("doc_id"), F.col("a_from").alias("start_word"), F.col("a_to").alias("end_word"), F.col("b").alias("rep_doc_id"), F.col("b_from").alias("rep_start_word"), F.col("b_to").alias("rep_end_word")).distinct()

@@ -518,6 +518,16 @@ def test_members_of_hot_groups_meet(spark):
     assert got == {(101, 100)}
 
 
+def test_links_beyond_the_first_are_found(spark):
+    r = random.Random(12)
+    core, both, *sides = ([r.choice(WORDS) for _ in range(n)] for n in (30, 25, 25, 25, 25, 25))
+    # 3 repeats 1 to the right, 4 repeats 2 there, and 3 and 4 are alike to the left
+    texts = {1: sides[0] + core + sides[2], 2: sides[1] + core + sides[3], 3: both + core + sides[2], 4: both + core + sides[3]}
+    members = spark.createDataFrame([(i, 7, 25, 0, 75, True, i, []) for i in texts], "doc_id bigint, key bigint, at int, low int, high int, strange boolean, label bigint, met array<bigint>")
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
+    assert {(x["a"], x["b"]) for x in passages.among(members, docs, 5, 50, 80).collect()} >= {(3, 1), (4, 2), (4, 3)}
+
+
 @pytest.mark.parametrize("edits, least", [(0, 1.0), (1, 0.99)])
 def test_recall_at_the_bound(edits, least):
     r, n, texts = random.Random(10), 3000, []
