@@ -9,9 +9,9 @@ similarity s share their minimum under one function with probability s, so under
 First join. A window is keyed by its function and its smallest element. Keys that stand once in all texts are dropped in one pass over sorted
 rows, which holds one row. A passage that holds an element holds all of the next wide / 2 elements to its right or to its left; so what
 remains is keyed once more, for each side that fits the window and each of MARKS functions, by its key and the smallest hash among the farther of those
-elements: exact copies agree there for certain, near ones mostly, and frequent lines part. In a second sorted pass the windows of a second key meet its first
-one, the root: one comparison a window, however large the group. Keys that a share of the documents shows to be hot are dealt over SALTS groups;
-the roots of a hot key's groups meet in a pass of their own.
+elements: exact copies agree there for certain, near ones mostly, and frequent lines part. In the same pass the windows of a second key meet its first
+one, the root: one comparison a window, however large the group. Keys that a share of the documents shows to be hot are dealt over SALTS groups; their
+windows, and those of keys with more than MOST, meet in a second sorted pass, and the roots of a hot second key's groups in a pass of their own.
 
 Interval join. The windows that two documents meet with are merged where they overlap on one diagonal; each such region is looked at
 once: its equal elements (64-bit hashes of five-word runs) are chained, also over neighbouring diagonals, and of the chain the longest stretches of
@@ -55,6 +55,8 @@ PART, PASSING, NEAR = 128, 2048, 96
 MARKS = 2
 #: Keys that are dealt over SALTS groups: those with one in HOT or more of all windows of one in SEEN documents, so at most HOT of them.
 HOT, SEEN, SALTS = 2000, 64, 64
+#: Windows that a task joins at once, and windows of one key from which on they are dealt once more by their second keys.
+STEP, MOST = 1 << 16, 1 << 18
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, size=FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -173,21 +175,25 @@ def windows(docs: DataFrame, run: int = RUN, shortest: int = SHORTEST, hot: np.n
     return docs.select("doc_id", "text").mapInArrow(_windows(run, shortest - run + 1, hot), f"doc_id {kind}, key bigint, at int, low int, high int, right bigint, left bigint")
 
 
+def seconds(rows: pa.Table, hot: np.ndarray) -> pa.Table:
+    """Windows to rows (doc_id, key, at, low, high) with second keys, side by side in the order of the windows."""
+    parts = []
+    for which, name in enumerate(["right"] * MARKS + ["left"] * MARKS):
+        side, key = rows.column(name).to_numpy(), rows.column("key").to_numpy()
+        at = np.flatnonzero(side)
+        k = second_key(key[at], side[at], which)
+        if len(hot):
+            k = np.where(np.isin(k, hot), k | 64 | (side[at] & 63), k)
+        part = rows.take(pa.array(at)).select(["doc_id", "key", "at", "low", "high"])
+        parts.append(part.set_column(1, "key", pa.array(k, pa.int64())))
+    return pa.concat_tables(parts).combine_chunks()
+
+
 def _refined(hot: np.ndarray, all_: bool = False):
     """Windows sorted by key to rows (doc_id, key, at, low, high) with second keys, of keys that stand twice at least (or of all)."""
 
-    def refined(table: pa.Table, keep: np.ndarray) -> pa.RecordBatch:
-        rows = table.filter(pa.array(keep))
-        parts = []
-        for which, name in enumerate(["right"] * MARKS + ["left"] * MARKS):
-            side, key = rows.column(name).to_numpy(), rows.column("key").to_numpy()
-            at = np.flatnonzero(side)
-            k = second_key(key[at], side[at], which)
-            if len(hot):
-                k = np.where(np.isin(k, hot), k | 64 | (side[at] & 63), k)
-            part = rows.take(pa.array(at)).select(["doc_id", "key", "at", "low", "high"])
-            parts.append(part.set_column(1, "key", pa.array(k, pa.int64())))
-        return pa.concat_tables(parts).combine_chunks()
+    def refined(table: pa.Table, keep: np.ndarray) -> pa.Table:
+        return seconds(table.filter(pa.array(keep)), hot)
 
     def go(batches):
         held = None  # the last row, which may have its like in the next batch, and whether it had it in the one before
@@ -383,6 +389,59 @@ def _met(batches):
         carried = table.slice(int(root[-1]), 1).combine_chunks()
 
 
+def _joined(hot: np.ndarray, step: int = STEP, most: int = MOST):
+    """Windows sorted by key, doc_id and at to the meetings of second keys, and to the rows that are dealt once more, as a and key with null b.
+
+    A key's windows are in one task, so those of its second keys meet there. Only the windows of hot keys, which lie in several tasks, go on, those of
+    keys with more than most windows, and the first ones of hot second keys' groups.
+    """
+    kinds = {"a": "doc_id", "key": "key", "at": "at", "low": "low", "high": "high"}
+
+    def dealt(table: pa.Table):
+        rows = seconds(table, hot)
+        columns = [rows.column(kinds[c]) if c in kinds else pa.nulls(rows.num_rows, rows.schema.field("doc_id" if c == "b" else "at").type) for c in ("a", "b", "key", *_WINDOW.names)]
+        yield from pa.table(columns, names=["a", "b", "key", *_WINDOW.names]).combine_chunks().to_batches()
+
+    def done(table: pa.Table):
+        if not table.num_rows:
+            return
+        key = table.column("key").to_numpy()
+        same, salted = key[1:] == key[:-1], key & 64 != 0
+        if salted.any():
+            yield from dealt(table.filter(pa.array(salted)))
+        rows = seconds(table.filter(pa.array((np.append(False, same) | np.append(same, False)) & ~salted)), hot)
+        rows = rows.take(pa.array(np.argsort(rows.column("key").to_numpy(), kind="stable"))).combine_chunks()
+        yield from _met(rows.to_batches())
+
+    def go(batches):
+        held, n, large = [], 0, None
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < step:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            key = table.column("key").to_numpy()
+            first, last = int((key == large).sum()) if large is not None else 0, int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+            if first:
+                yield from dealt(table.slice(0, first))
+            yield from done(table.slice(first, max(0, last - first)))
+            rest = table.slice(max(first, last)).combine_chunks()
+            if rest.num_rows > most:
+                yield from dealt(rest)
+                large, rest = int(key[-1]), rest.slice(0, 0)
+            held, n = rest.to_batches(), 0
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            ongoing = table.column("key").to_numpy() == (0 if large is None else large)
+            if large is not None and ongoing.any():
+                yield from dealt(table.filter(pa.array(ongoing)))
+                table = table.filter(pa.array(~ongoing))
+            yield from done(table)
+
+    return go
+
+
 def meetings(rows: DataFrame) -> DataFrame:
     """a, b, at, low, high, b_at, b_low, b_high: windows (doc_id, key, at, low, high) with the first window of their key, of another document."""
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -666,14 +725,16 @@ def passages(docs: DataFrame, run: int = RUN, shortest: int = SHORTEST, percent:
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     hot, second = hot_keys(text, run, shortest)
-    rows = windows(text, run, shortest, hot).repartition("key").sortWithinPartitions("key")
-    met = meetings(rows.mapInArrow(_refined(second), f"doc_id {kind}, key bigint, at int, low int, high int"))
+    rows = windows(text, run, shortest, hot).repartition("key").sortWithinPartitions("key", "doc_id", "at")
+    joined = common.written(rows.mapInArrow(_joined(second), f"a {kind}, b {kind}, key bigint, at int, low int, high int, b_at int, b_low int, b_high int"), "joined")
     del rows
     common.swept(docs.sparkSession)
+    met = joined.filter("b IS NOT NULL").drop("key").union(meetings(joined.filter("b IS NULL").select(F.col("a").alias("doc_id"), "key", "at", "low", "high")))
+    common.swept(docs.sparkSession)
     ids = met.select(F.col("a").alias("doc_id")).union(met.select(F.col("b").alias("doc_id"))).distinct()
     texts = common.written(text.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
     first = confirmed(met, texts, run, shortest, percent)
-    common.removed(met)
+    common.removed(met), common.removed(joined)
     common.swept(docs.sparkSession)
     found = first.filter("a_from IS NOT NULL").select("a", "b", *_FOUND)
     # where a passage that holds a window's element lies in the smallest document it is linked to; windows without one stand alone
