@@ -47,6 +47,17 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleanly(df: DataFrame, name: str = "part") -> DataFrame:
+    """written(), and Spark deletes the shuffle files of its plan as soon as the table stands, whether or not the driver collects its garbage."""
+    conf, name_ = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name_, None)
+    conf.set(name_, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.unset(name_) if before is None else conf.set(name_, before)
+
+
 def removed(df: DataFrame) -> None:
     """Deletes a table that written() made, once nothing needs it any more."""
     spark = df.sparkSession

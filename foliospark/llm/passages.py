@@ -450,7 +450,7 @@ def meetings(rows: DataFrame) -> DataFrame:
     def once(rows: DataFrame) -> DataFrame:
         return rows.repartition("key").sortWithinPartitions("key", "doc_id", "at").select("doc_id", "key", "at", "low", "high").mapInArrow(_met, schema)
 
-    met = common.written(once(rows), "met")
+    met = common.cleanly(once(rows), "met")
     firsts = met.filter("b IS NULL").select(F.col("a").alias("doc_id"), F.col("key").bitwiseAND(F.lit(~127)).alias("key"), "at", "low", "high")
     return met.filter("b IS NOT NULL").union(once(firsts)).drop("key")
 
@@ -550,13 +550,18 @@ def _checked(run: int, shortest: int, percent: int):
     return go
 
 
-def confirmed(met: DataFrame, texts: DataFrame, run: int, shortest: int, percent: int) -> DataFrame:
-    """What _checked gives for the meetings of all pairs; written. texts: doc_id, text, one row an id."""
+def gathered(met: DataFrame) -> DataFrame:
+    """a, b, windows: the meetings of each pair; written."""
     kind = met.schema["a"].dataType.simpleString()
-    pairs = common.written(met.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_gathered, f"a {kind}, b {kind}, windows binary"), "pairs")
+    return common.cleanly(met.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_gathered, f"a {kind}, b {kind}, windows binary"), "pairs")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, run: int, shortest: int, percent: int) -> DataFrame:
+    """What _checked gives for all pairs; written. Deletes the pairs. texts: doc_id, text, one row an id."""
+    kind = pairs.schema["a"].dataType.simpleString()
     rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     schema = f"a {kind}, b {kind}, {', '.join(f'{c} int' for c in _FOUND)}, at int, low int, high int, right bigint, left bigint"
-    out = common.written(rows.select("a", "b", "windows", "text_a", "text_b").mapInArrow(_checked(run, shortest, percent), schema), "checked")
+    out = common.cleanly(rows.select("a", "b", "windows", "text_a", "text_b").mapInArrow(_checked(run, shortest, percent), schema), "checked")
     common.removed(pairs)
     return out
 
@@ -573,10 +578,10 @@ def _surrounded(run: int, near: int):
                 e = (shingle_hashes(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), run) >> np.uint64(32)).astype(np.uint32)
                 for m in members:
                     low = max(m["low"], m["at"] - near)
-                    out.append((m["key"], d, m["at"], m["low"], m["high"], m["strange"], m["label"], m["met"], low, e[low : min(m["high"], m["at"] + near) + 1].tobytes()))
-            types = (pa.int64(), kind, *[pa.int32()] * 3, pa.bool_(), pa.int64(), pa.list_(kind), pa.int32(), pa.binary())
-            data = list(zip(*out, strict=True)) if out else [[]] * 10
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, types, strict=True)], names=["key", "doc_id", "at", "low", "high", "strange", "label", "met", "first", "elements"])
+                    out.append((m["key"], d, m["at"], m["low"], m["high"], m["strange"], m["label"], m["met"], m["parts"], m["slices"], low, e[low : min(m["high"], m["at"] + near) + 1].tobytes()))
+            types = (pa.int64(), kind, *[pa.int32()] * 3, pa.bool_(), pa.int64(), pa.list_(kind), *[pa.int32()] * 3, pa.binary())
+            data = list(zip(*out, strict=True)) if out else [[]] * 12
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, types, strict=True)], names=["key", "doc_id", "at", "low", "high", "strange", "label", "met", "parts", "slices", "first", "elements"])
 
     return go
 
@@ -686,11 +691,11 @@ def among(members: DataFrame, texts: DataFrame, run: int, shortest: int, percent
     sizes = labels.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.min("x").alias("x"), F.max("z").alias("z")).filter("n > top.n AND x <> z.doc_id AND NOT (n = 2 AND array_contains(z.met, x))")
     sizes = sizes.select("key", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / PART).cast("int").alias("parts"), F.ceil(F.col("n") / PASSING).cast("int").alias("slices"))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")
-    spread = common.written(sizes, "sizes").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    open_ = common.written(members.withColumn("salt", salt).join(spread, ["key", "salt"]).withColumn("strange", F.col("label") != F.col("top")), "open")
-    own = open_.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "low", "high", "strange", "label", "met")).alias("members"))
-    rows = texts.join(own, "doc_id").select("doc_id", "text", "members").mapInArrow(_surrounded(run, NEAR), f"key bigint, doc_id {kind}, at int, low int, high int, strange boolean, label bigint, met array<{kind}>, first int, elements binary")
-    rows = rows.withColumn("salt", salt).join(spread, ["key", "salt"])
+    spread = common.cleanly(sizes, "sizes").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    open_ = common.cleanly(members.withColumn("salt", salt).join(spread, ["key", "salt"]).withColumn("strange", F.col("label") != F.col("top")), "open")
+    # parts and slices go along, so that the elements cross one shuffle only
+    own = open_.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "low", "high", "strange", "label", "met", "parts", "slices")).alias("members"))
+    rows = texts.join(own, "doc_id").select("doc_id", "text", "members").mapInArrow(_surrounded(run, NEAR), f"key bigint, doc_id {kind}, at int, low int, high int, strange boolean, label bigint, met array<{kind}>, parts int, slices int, first int, elements binary")
     own = F.xxhash64("doc_id", "at")
     part, slice_ = F.pmod(own, F.col("parts").cast("long")).cast("int"), F.pmod(F.shiftright(own, 20), F.col("slices").cast("long")).cast("int")
     one = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda x: F.struct(part.alias("part"), x.alias("slice"), F.lit(False).alias("member")))
@@ -708,11 +713,11 @@ def among(members: DataFrame, texts: DataFrame, run: int, shortest: int, percent
 def hot_keys(text: DataFrame, run: int, shortest: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys and second keys of one in HOT or more of the windows of one in SEEN documents: at most HOT of each. They only decide how groups are dealt out."""
     kind = text.schema["doc_id"].dataType.simpleString()
-    seen = common.written(windows(text.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SEEN)) == 0), run, shortest), "seen")
+    seen = common.cleanly(windows(text.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SEEN)) == 0), run, shortest), "seen")
     second = seen.mapInArrow(_refined(np.zeros(0, dtype=np.int64), True), f"doc_id {kind}, key bigint, at int, low int, high int")
     out = []
     for rows in (seen, second):
-        counts = common.written(rows.select("doc_id", "key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")), "counts")
+        counts = common.cleanly(rows.select("doc_id", "key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")), "counts")
         total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         out.append(np.array(sorted(r["key"] for r in counts.filter(F.col("n") >= max(50, -(-total // HOT))).select("key").collect()), dtype=np.int64))
         common.removed(counts)
@@ -726,17 +731,14 @@ def passages(docs: DataFrame, run: int = RUN, shortest: int = SHORTEST, percent:
     text = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     hot, second = hot_keys(text, run, shortest)
     rows = windows(text, run, shortest, hot).repartition("key").sortWithinPartitions("key", "doc_id", "at")
-    joined = common.written(rows.mapInArrow(_joined(second), f"a {kind}, b {kind}, key bigint, at int, low int, high int, b_at int, b_low int, b_high int"), "joined")
-    del rows
-    common.swept(docs.sparkSession)
+    joined = common.cleanly(rows.mapInArrow(_joined(second), f"a {kind}, b {kind}, key bigint, at int, low int, high int, b_at int, b_low int, b_high int"), "joined")
     met = joined.filter("b IS NOT NULL").drop("key").union(meetings(joined.filter("b IS NULL").select(F.col("a").alias("doc_id"), "key", "at", "low", "high")))
-    common.swept(docs.sparkSession)
-    ids = met.select(F.col("a").alias("doc_id")).union(met.select(F.col("b").alias("doc_id"))).distinct()
-    texts = common.written(text.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
-    first = confirmed(met, texts, run, shortest, percent)
+    pairs = gathered(met)
     common.removed(met), common.removed(joined)
-    common.swept(docs.sparkSession)
-    found = first.filter("a_from IS NOT NULL").select("a", "b", *_FOUND)
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = common.cleanly(text.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
+    first = confirmed(pairs, texts, run, shortest, percent)
+    found = common.cleanly(first.filter("a_from IS NOT NULL").select("a", "b", *_FOUND), "found")
     # where a passage that holds a window's element lies in the smallest document it is linked to; windows without one stand alone
     spans = found.select(F.col("a").alias("doc_id"), F.struct("b", F.col("b_from").alias("to"), F.col("a_from").alias("x"), F.col("a_to").alias("y")).alias("s"))
     spans = spans.union(found.select("b", F.struct("b", "b_from", "b_from", "b_to"))).groupBy("doc_id").agg(F.collect_set("s").alias("spans"))
@@ -744,11 +746,12 @@ def passages(docs: DataFrame, run: int = RUN, shortest: int = SHORTEST, percent:
     sides = [F.max(F.when(F.col(c) != 0, F.col(c))).alias(c) for c in ("right", "left")]
     members = first.filter("a_from IS NULL").groupBy(F.col("a").alias("doc_id"), "at").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_set("b").alias("met"), *sides).join(spans, "doc_id", "left").withColumn("label", F.expr(label))
     members = members.withColumn("label", F.when(F.col("label").isNotNull(), F.xxhash64("label.b", "label.place")).otherwise(F.xxhash64("doc_id", F.lit(-1))))
-    whole = common.written(members.select("doc_id", "at", "low", "high", "right", "left", "label", "met"), "members")
+    whole = common.cleanly(members.select("doc_id", "at", "low", "high", "right", "left", "label", "met"), "members")
+    common.removed(first)
     members = whole.select("doc_id", "at", "low", "high", "label", "met", F.explode(F.filter(F.array("right", "left"), lambda x: x.isNotNull())).alias("key"))
-    again = common.written(among(members, texts, run, shortest, percent), "again")
+    again = common.cleanly(among(members, texts, run, shortest, percent), "again")
     if again.head(1):
-        found = found.union(confirmed(again, texts, run, shortest, percent).filter("a_from IS NOT NULL").select("a", "b", *_FOUND))
+        found = found.union(confirmed(gathered(again), texts, run, shortest, percent).filter("a_from IS NOT NULL").select("a", "b", *_FOUND))
     common.removed(whole), common.removed(again), common.removed(texts)
     flip = found.filter("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("b_from").alias("a_from"), F.col("b_to").alias("a_to"), F.col("a_from").alias("b_from"), F.col("a_to").alias("b_to"))
     found = found.filter("a > b").union(flip)

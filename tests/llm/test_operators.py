@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -528,6 +529,28 @@ def test_links_beyond_the_first_are_found(spark):
     assert {(x["a"], x["b"]) for x in passages.among(members, docs, 5, 50, 80).collect()} >= {(3, 1), (4, 2), (4, 3)}
 
 
+def test_joins_leave_no_shuffle_files(spark, monkeypatch):
+    r = random.Random(13)
+    p = [r.choice(WORDS) for _ in range(3_000)]
+    docs = [(i, " ".join(p[50 * i : 50 * i + 400] + [r.choice(WORDS) for _ in range(300)])) for i in range(50)]
+    disk, plain, left = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), common.written, []
+
+    def held():
+        files = disk.getAllFiles()
+        return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    def written(df, name="part"):
+        before, out, end = held(), plain(df, name), time.time() + 3
+        while (n := sum(n for f, n in held().items() if f not in before)) >= 20_000 and time.time() < end:
+            time.sleep(0.1)  # Spark deletes them beside what follows
+        left.append((name, n))
+        return out
+
+    monkeypatch.setattr(common, "written", written)
+    passages.passages(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert {"joined", "members"} <= {name for name, _ in left} and [x for x in left if x[1] >= 20_000] == []
+
+
 @pytest.mark.parametrize("edits, least", [(0, 1.0), (1, 0.99)])
 def test_recall_at_the_bound(edits, least):
     r, n, texts = random.Random(10), 3000, []
