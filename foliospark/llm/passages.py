@@ -44,11 +44,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .minhash_dedup import WordHashes, shingle_hashes, words
+from .minhash_dedup import shingle_hashes
 
 FUNCTIONS, RUN, SHORTEST, PERCENT = 5, 5, 50, 80
-#: Texts whose hashes are in hand at once, in words.
-SLICE = 400_000
+#: Texts whose hashes are in hand at once, in words; bytes of text that are hashed at once, and rows with elements that are made at once.
+SLICE, PIECE, ROWS = 400_000, 1 << 18, 1 << 14
 #: Strangers whose elements a task holds at once, members that pass them, and how far their elements reach to both sides.
 PART, PASSING, NEAR = 128, 2048, 96
 #: Hashes that mark the farther elements on one side of a window, 18 bits each.
@@ -60,6 +60,50 @@ STEP, MOST = 1 << 16, 1 << 18
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, size=FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
+#: Values of the 256 bytes at 64 places of a word, whose sums are the hashes of words; those of A-Z are those of a-z, blanks have none.
+_BYTES = np.random.Generator(np.random.PCG64(78)).integers(1, (1 << 64) - 1, size=(64, 256), dtype=np.uint64)
+_BYTES[:, ord("A") : ord("Z") + 1] = _BYTES[:, ord("a") : ord("z") + 1]
+_BYTES[:, [32, *range(9, 14)]] = 0
+_BYTES = _BYTES.reshape(-1)
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first place of each word of UTF-8 bytes; bytes of A-Z count as those of a-z."""
+    blank = _BYTES[data] == 0
+    start = np.flatnonzero(~blank & np.append(True, blank[:-1]))
+    if not len(start):
+        return np.empty(0, dtype=np.uint64), start
+    data = data[start[0] :]
+    place = np.arange(start[0], start[0] + len(data)) - np.repeat(start, np.diff(np.append(start, start[0] + len(data))))
+    values = _BYTES[(place & 63) << 8 | data]
+    far = np.flatnonzero(place > 63)
+    if len(far):
+        values[far] *= (place[far] >> 6).astype(np.uint64) * _MIX * np.uint64(2) + np.uint64(1)
+    hashes = np.add.reduceat(values, start - start[0])
+    return hashes ^ (hashes >> np.uint64(32)), start
+
+
+def elements(texts: list[str], run: int):
+    """For each text in turn the hashes of its runs of words; none if it has fewer words. Many short texts are hashed at once."""
+
+    def hashed(pieces: list[bytes]):
+        data = np.frombuffer(b" ".join([*pieces, b""]), dtype=np.uint8)
+        hashes, start = word_hashes(data)
+        ends = np.searchsorted(start, np.cumsum([len(x) + 1 for x in pieces])).tolist()
+        runs = shingle_hashes(hashes, run) if len(hashes) >= run else hashes[:0]
+        for low, high in zip([0, *ends[:-1]], ends, strict=True):
+            yield runs[low : max(low, high - run + 1)]
+
+    held, size = [], 0
+    for text in texts:
+        held.append((text or "").encode())
+        size += len(held[-1])
+        if size >= PIECE:
+            yield from hashed(held)
+            held, size = [], 0
+    if held:
+        yield from hashed(held)
+
 
 def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     """best (minimum or maximum) of each stretch of width values, by doubling."""
@@ -152,14 +196,12 @@ def _windows(run: int, width: int, hot: np.ndarray | None = None):
         return pa.RecordBatch.from_arrays([pa.array(ids, kind).take(pa.array(np.concatenate(doc))), *columns], names=["doc_id", "key", "at", "low", "high", "right", "left"])
 
     def go(batches):
-        known = WordHashes()
         for batch in batches:
             docs, held, kind = [], 0, batch.schema.field(0).type
-            for d, text in zip(batch.column(0).to_pylist(), common.texts(batch), strict=True):
-                w = words(text)
-                if len(w) - run + 1 >= width:
-                    docs.append((d, shingle_hashes(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), run)))
-                    held += len(w)
+            for d, e in zip(batch.column(0).to_pylist(), elements(common.texts(batch), run), strict=True):
+                if len(e) >= width:
+                    docs.append((d, e))
+                    held += len(e)
                 if held > SLICE:
                     yield emit(docs, kind)
                     docs, held = [], 0
@@ -315,17 +357,17 @@ def regions(meetings: np.ndarray) -> np.ndarray:
     return np.stack([m[at, 0], np.maximum.reduceat(m[:, 1], at), np.minimum.reduceat(m[:, 2], at), np.maximum.reduceat(m[:, 3], at), m[at, 4]], axis=1)
 
 
-def matched(a: np.ndarray, b: np.ndarray, meetings, run: int, shortest: int, percent: int) -> list[tuple[int, int, int, int]]:
+def matched(a: np.ndarray, b: np.ndarray, meetings, run: int, shortest: int, percent: int, places: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
     """Passages (from, to, from, to in words) of a and b, arrays of elements, that repeat each other.
 
     meetings: ranges of a's and of b's elements (ends inclusive) and the shift from a's to b's. A region needs enough elements in common in
     some stretch to be looked at; its equal elements are chained over all diagonals, so that words put in or left out are gaps like any other,
-    and the chain's longest similar stretches are taken. What lies inside another passage of both is left out.
+    and the chain's longest similar stretches are taken. places: b, sorted, where it is known. What lies inside another passage of both is left out.
     """
     wide, out = shortest - run + 1, []
     if len(a) < wide or len(b) < wide:
         return out
-    places = np.sort(b)
+    places = np.sort(b) if places is None else places
     has = np.concatenate([[0], np.cumsum(places[np.minimum(np.searchsorted(places, a), len(b) - 1)] == a)])
     enough = has[wide:] - has[:-wide] >= needed(a, wide, percent)
     if not enough.any():
@@ -390,9 +432,9 @@ def _met(batches):
 
 
 def _joined(hot: np.ndarray, step: int = STEP, most: int = MOST):
-    """Windows sorted by key, doc_id and at to the meetings of second keys, and to the rows that are dealt once more, as a and key with null b.
+    """Windows sorted by key to the meetings of second keys, and to the rows that are dealt once more, as a and key with null b.
 
-    A key's windows are in one task, so those of its second keys meet there. Only the windows of hot keys, which lie in several tasks, go on, those of
+    Only what shares its key is sorted by doc_id and at as well. A key's windows are in one task, so those of its second keys meet there. Only the windows of hot keys, which lie in several tasks, go on, those of
     keys with more than most windows, and the first ones of hot second keys' groups.
     """
     kinds = {"a": "doc_id", "key": "key", "at": "at", "low": "low", "high": "high"}
@@ -409,7 +451,8 @@ def _joined(hot: np.ndarray, step: int = STEP, most: int = MOST):
         same, salted = key[1:] == key[:-1], key & 64 != 0
         if salted.any():
             yield from dealt(table.filter(pa.array(salted)))
-        rows = seconds(table.filter(pa.array((np.append(False, same) | np.append(same, False)) & ~salted)), hot)
+        rows = table.filter(pa.array((np.append(False, same) | np.append(same, False)) & ~salted))
+        rows = seconds(rows.sort_by([("doc_id", "ascending"), ("at", "ascending")]), hot)
         rows = rows.take(pa.array(np.argsort(rows.column("key").to_numpy(), kind="stable"))).combine_chunks()
         yield from _met(rows.to_batches())
 
@@ -499,20 +542,19 @@ def _checked(run: int, shortest: int, percent: int):
     half = (shortest - run + 1) // 2
     names = ("at", "low", "high", "right", "left")
 
-    def go(batches):
-        known = WordHashes()
-
-        def elements(text: str) -> np.ndarray:
-            w = words(text)
-            return shingle_hashes(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), run)
+    def keyed(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+        # elements of windows, of the places half a window to the right and to the left, and at, low, high
+        mine, right, left, at, low, high = (np.concatenate(x) for x in zip(*rows, strict=True))
+        sides, key = [], window_key(mine, 0)
+        for which, (place, there) in enumerate(((at + half, right), (at - half, left))):
+            mark = (there >> np.uint64(46)).astype(np.int64) << 6
+            sides.append(np.where((place >= low) & (place <= high), second_key(key, mark, 2 * MARKS + MARKS * which) | 1, 0))
+        return at, low, high, *sides
 
-        def keyed(e: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
-            sides, key = [], window_key(e[at], 0)
-            for which, place in enumerate((at + half, at - half)):
-                mark = (e[np.clip(place, 0, len(e) - 1)] >> np.uint64(46)).astype(np.int64) << 6
-                sides.append(np.where((place >= low) & (place <= high), second_key(key, mark, 2 * MARKS + MARKS * which) | 1, 0))
-            return at, low, high, *sides
+    def row(e: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+        return e[at], e[np.minimum(at + half, len(e) - 1)], e[np.maximum(at - half, 0)], at, low, high
 
+    def go(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -524,26 +566,28 @@ def _checked(run: int, shortest: int, percent: int):
                 if others:
                     x = np.concatenate(others)
                     x = x[np.unique(x["b_at"], return_index=True)[1]]
-                    docs.append(last[0]), met.append(None), rows.append(keyed(held, x["b_at"], x["b_low"], x["b_high"]))
+                    docs.append(last[0]), met.append(None), rows.append(row(held, x["b_at"], x["b_low"], x["b_high"]))
                     others.clear()
 
-            one, two = common.texts(batch, "text_a"), common.texts(batch, "text_b")
             a, b, packed = (batch.column(c).to_pylist() for c in ("a", "b", "windows"))
-            for i in range(batch.num_rows):
-                if last is None or b[i] != last[0]:
+            new = [i for i in range(len(b)) if not i or b[i] != b[i - 1]]
+            firsts, one = set(new), elements(common.texts(batch, "text_a"), run)
+            two = elements((x or "" for x in batch.column(batch.schema.get_field_index("text_b")).take(pa.array(new)).to_pylist()), run)
+            for i, mine in enumerate(one):
+                if i in firsts:
                     others_too()
-                    last, held = (b[i],), elements(two[i])
+                    last, held = (b[i],), next(two)
+                    places = np.sort(held)
                 w = np.frombuffer(packed[i], dtype=_WINDOW)
-                mine = elements(one[i])
-                found = matched(mine, held, np.stack([w["low"], w["high"], w["b_low"], w["b_high"], w["b_at"] - w["at"]], axis=1), run, shortest, percent)
+                found = matched(mine, held, np.stack([w["low"], w["high"], w["b_low"], w["b_high"], w["b_at"] - w["at"]], axis=1), run, shortest, percent, places)
                 out += [(a[i], b[i], *f) for f in found]
-                docs.append(a[i]), met.append(b[i]), rows.append(keyed(mine, w["at"], w["low"], w["high"]))
+                docs.append(a[i]), met.append(b[i]), rows.append(row(mine, w["at"], w["low"], w["high"]))
                 others.append(w)
             others_too()
             found = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, (kind, kind, *[pa.int32()] * 4), strict=True)]
             owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
             found = pa.table([*found, *(pa.nulls(len(out), t) for t in _SIDES)], names=["a", "b", *_FOUND, *names])
-            columns = [pa.array(np.concatenate([r[k] for r in rows]), t) for k, t in enumerate(_SIDES)]
+            columns = [pa.array(x, t) for x, t in zip(keyed(rows), _SIDES, strict=True)]
             windows = pa.table([*(pa.array(x, kind).take(pa.array(owner)) for x in (docs, met)), *(pa.nulls(len(owner), pa.int32()) for _ in _FOUND), *columns], names=found.column_names)
             yield from pa.concat_tables([found, windows]).combine_chunks().to_batches()
 
@@ -569,19 +613,27 @@ def confirmed(pairs: DataFrame, texts: DataFrame, run: int, shortest: int, perce
 def _surrounded(run: int, near: int):
     """Rows doc_id, text, members to one row a window with the elements around its own, 32 bits of each."""
 
+    names = ("key", "at", "low", "high", "strange", "label", "met", "parts", "slices")
+
     def go(batches):
-        known = WordHashes()
         for batch in batches:
-            kind, out = batch.schema.field(0).type, []
-            for d, text, members in zip(batch.column(0).to_pylist(), common.texts(batch), batch.column(2).to_pylist(), strict=True):
-                w = words(text)
-                e = (shingle_hashes(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), run) >> np.uint64(32)).astype(np.uint32)
-                for m in members:
-                    low = max(m["low"], m["at"] - near)
-                    out.append((m["key"], d, m["at"], m["low"], m["high"], m["strange"], m["label"], m["met"], m["parts"], m["slices"], low, e[low : min(m["high"], m["at"] + near) + 1].tobytes()))
-            types = (pa.int64(), kind, *[pa.int32()] * 3, pa.bool_(), pa.int64(), pa.list_(kind), *[pa.int32()] * 3, pa.binary())
-            data = list(zip(*out, strict=True)) if out else [[]] * 12
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, types, strict=True)], names=["key", "doc_id", "at", "low", "high", "strange", "label", "met", "parts", "slices", "first", "elements"])
+            e = [(x >> np.uint64(32)).astype(np.uint32) for x in elements(common.texts(batch), run)]
+            if not sum(map(len, e)):
+                continue
+            start, flat = np.cumsum([0, *map(len, e)]), np.concatenate(e)
+            owners = pc.list_parent_indices(batch.column(2))
+            all_ = pa.Table.from_arrays([owners, batch.column(0).take(owners), *pc.list_flatten(batch.column(2)).flatten()], names=["owner", "doc_id", *(f.name for f in batch.column(2).type.value_type)])
+            for k in range(0, all_.num_rows, ROWS):
+                rows = all_.slice(k, ROWS)
+                owner, at, low, high = (rows.column(c).to_numpy().astype(np.int64) for c in ("owner", "at", "low", "high"))
+                first = np.maximum(low, at - near)
+                sizes = np.maximum(0, np.minimum(np.minimum(high, at + near) + 1, start[owner + 1] - start[owner]) - first)
+                ends = np.cumsum(sizes)
+                around = flat[np.repeat(start[owner] + first - ends + sizes, sizes) + np.arange(ends[-1])]
+                packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.append(0, 4 * ends).astype(np.int32)), pa.py_buffer(around)])
+                columns = {"doc_id": rows.column("doc_id"), **{c: rows.column(c) for c in names}, "first": pa.array(first, pa.int32()), "elements": packed}
+                order = ("key", "doc_id", "at", "low", "high", "strange", "label", "met", "parts", "slices", "first", "elements")
+                yield from pa.table({c: columns[c] for c in order}).combine_chunks().to_batches()
 
     return go
 
@@ -687,12 +739,15 @@ def _among(run: int, shortest: int, percent: int):
 def among(members: DataFrame, texts: DataFrame, run: int, shortest: int, percent: int) -> DataFrame:
     """Meetings, in each key's group, of those outside its largest label, the strangers, with all others; members: doc_id, key, at, low, high, label, met (documents it has met there)."""
     kind = members.schema["doc_id"].dataType.simpleString()
+    salt, salts = F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(15)))
+    # most groups have one label; what they hold needn't be sorted
+    several = members.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.min("doc_id").alias("x"), F.max("doc_id").alias("z")).filter("l <> m AND x <> z").select("key", salts.alias("salt"))
+    members = common.cleanly(members.withColumn("salt", salt).join(several, ["key", "salt"]), "several")
     labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("x"), F.max(F.struct("doc_id", "met")).alias("z"))
     sizes = labels.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.min("x").alias("x"), F.max("z").alias("z")).filter("n > top.n AND x <> z.doc_id AND NOT (n = 2 AND array_contains(z.met, x))")
     sizes = sizes.select("key", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / PART).cast("int").alias("parts"), F.ceil(F.col("n") / PASSING).cast("int").alias("slices"))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")
-    spread = common.cleanly(sizes, "sizes").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    open_ = common.cleanly(members.withColumn("salt", salt).join(spread, ["key", "salt"]).withColumn("strange", F.col("label") != F.col("top")), "open")
+    spread = common.cleanly(sizes, "sizes").withColumn("salt", salts)
+    open_ = common.cleanly(members.join(spread, ["key", "salt"]).withColumn("strange", F.col("label") != F.col("top")), "open")
     # parts and slices go along, so that the elements cross one shuffle only
     own = open_.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "low", "high", "strange", "label", "met", "parts", "slices")).alias("members"))
     rows = texts.join(own, "doc_id").select("doc_id", "text", "members").mapInArrow(_surrounded(run, NEAR), f"key bigint, doc_id {kind}, at int, low int, high int, strange boolean, label bigint, met array<{kind}>, parts int, slices int, first int, elements binary")
@@ -730,7 +785,7 @@ def passages(docs: DataFrame, run: int = RUN, shortest: int = SHORTEST, percent:
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     hot, second = hot_keys(text, run, shortest)
-    rows = windows(text, run, shortest, hot).repartition("key").sortWithinPartitions("key", "doc_id", "at")
+    rows = windows(text, run, shortest, hot).repartition("key").sortWithinPartitions("key")
     joined = common.cleanly(rows.mapInArrow(_joined(second), f"a {kind}, b {kind}, key bigint, at int, low int, high int, b_at int, b_low int, b_high int"), "joined")
     met = joined.filter("b IS NOT NULL").drop("key").union(meetings(joined.filter("b IS NULL").select(F.col("a").alias("doc_id"), "key", "at", "low", "high")))
     pairs = gathered(met)
@@ -744,9 +799,12 @@ def passages(docs: DataFrame, run: int = RUN, shortest: int = SHORTEST, percent:
     spans = spans.union(found.select("b", F.struct("b", "b_from", "b_from", "b_to"))).groupBy("doc_id").agg(F.collect_set("s").alias("spans"))
     label = f"array_min(transform(filter(spans, s -> s.x <= at AND at + {run} <= s.y), s -> struct(s.b, (s.to + at - s.x) DIV 64 AS place)))"
     sides = [F.max(F.when(F.col(c) != 0, F.col(c))).alias(c) for c in ("right", "left")]
-    members = first.filter("a_from IS NULL").groupBy(F.col("a").alias("doc_id"), "at").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_set("b").alias("met"), *sides).join(spans, "doc_id", "left").withColumn("label", F.expr(label))
+    # of the documents that a window has met two are kept, in plain columns that need no sort; the others may be compared once more
+    met = F.array_distinct(F.filter(F.array("one", "two"), lambda x: x.isNotNull())).alias("met")
+    members = first.filter("a_from IS NULL").select(F.col("a").alias("doc_id"), "b", "at", "low", "high", "right", "left").repartition("doc_id")
+    members = members.groupBy("doc_id", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("b").alias("one"), F.max("b").alias("two"), *sides).join(spans, "doc_id", "left").withColumn("label", F.expr(label))
     members = members.withColumn("label", F.when(F.col("label").isNotNull(), F.xxhash64("label.b", "label.place")).otherwise(F.xxhash64("doc_id", F.lit(-1))))
-    whole = common.cleanly(members.select("doc_id", "at", "low", "high", "right", "left", "label", "met"), "members")
+    whole = common.cleanly(members.select("doc_id", "at", "low", "high", "right", "left", "label", met), "members")
     common.removed(first)
     members = whole.select("doc_id", "at", "low", "high", "label", "met", F.explode(F.filter(F.array("right", "left"), lambda x: x.isNotNull())).alias("key"))
     again = common.cleanly(among(members, texts, run, shortest, percent), "again")
