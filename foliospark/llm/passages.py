@@ -696,8 +696,16 @@ def _among(run: int, shortest: int, percent: int):
             return label
 
         def compare(rows: list[tuple]) -> None:
-            for pair in alike(rows, held, NEAR, wide, percent).tolist():
-                (d, at, low, high, first, met, label, mine), (other, o_at, o_low, o_high, o_first, o_met, o_label, theirs) = rows[pair // len(held)], held[pair % len(held)]
+            # what is connected to all others here, or has met them, needs no look at its elements
+            rows, there = ([(*r[:6], root(r[6]), r[7]) for r in x] for x in (rows, held))
+            roots = {h[6] for h in there}
+            rows = [r for r in rows if (len(roots) > 1 or r[6] not in roots) and any(r[6] != h[6] and r[0] != h[0] and h[0] not in r[5] and r[0] not in h[5] for h in there)]
+            roots = {r[6] for r in rows}
+            there = [h for h in there if len(roots) > 1 or h[6] not in roots]
+            if not rows or not there:
+                return
+            for pair in alike(rows, there, NEAR, wide, percent).tolist():
+                (d, at, low, high, first, met, label, mine), (other, o_at, o_low, o_high, o_first, o_met, o_label, theirs) = rows[pair // len(there)], there[pair % len(there)]
                 one, two, x, u = root(label), root(o_label), at - first, o_at - o_first
                 if d == other or one == two or other in met or d in o_met:
                     continue
