@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import uuid
 
@@ -69,12 +68,6 @@ def removed(df: DataFrame) -> None:
             path.getFileSystem(hconf).delete(path, True)
 
 
-def swept(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more, before the next large shuffle."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remainder(col, n: int):
     """crc32 of the id written as text, modulo n; the contracts hold rows out by it."""
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -745,7 +745,7 @@ def _among(run: int, shortest: int, percent: int):
 
 
 def among(members: DataFrame, texts: DataFrame, run: int, shortest: int, percent: int) -> DataFrame:
-    """Meetings, in each key's group, of those outside its largest label, the strangers, with all others; members: doc_id, key, at, low, high, label, met (documents it has met there)."""
+    """Meetings, in each key's group, of those outside its largest label, the strangers, with all others; members: doc_id, key, at, low, high, label, met (of the documents it has met there, two at most)."""
     kind = members.schema["doc_id"].dataType.simpleString()
     salt, salts = F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(15)))
     # most groups have one label; what they hold needn't be sorted
