@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, context_tree, exact_dedup, line_crf, minhash_dedup, packing, passages, pii, quality_rules, toxicity
+from . import alignment, byte_bpe, context_tree, exact_dedup, line_crf, minhash_dedup, packing, passages, piece_bpe, pii, quality_rules, runs, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.query,
         "op9_exact_dedup": exact_dedup.query,
         "op10_quality_rules": quality_rules.query,
+        "op11_alignment": alignment.query,
+        "op12_piece_bpe": piece_bpe.query,
+        "op13_runs": runs.query,
     }
 
 
