@@ -1,7 +1,8 @@
-"""Tables of distinct keys over a corpus, and the way back to the places where the keys stand.
+"""Tables of distinct keys over slices of a corpus, and the way back to the places where the keys stand.
 
-A task turns a slice of its rows into one row: the slice's distinct keys, each once, and for every document the numbers (slots) of its keys in
-order. So what is shuffled is each key once for a slice and never once for a place, and no key has more rows than there are slices.
+A task numbers the distinct keys of a slice of its rows, and every document becomes the numbers of its keys in order. Where keys need the whole corpus, a
+slice becomes one row (its keys, its documents): so what is shuffled is each key once for a slice and never once for a place, and no key has
+more rows than there are slices.
 """
 
 from __future__ import annotations
@@ -18,21 +19,21 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Characters of text after which a slice ends.
-SLICE = 4 << 20
-
-
-def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[tuple[int, pa.Array, list[str]]]:
-    """A number that no other slice of the table has, the ids and the texts of each slice; a text that is longer than a slice is one by itself."""
-    first, n = TaskContext.get().partitionId() << 33, 0
+def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, list[str]]]:
+    """The ids and the texts of each slice, which ends after that many characters; a text that is longer is a slice by itself."""
     for batch in batches:
         ids, texts = batch.column(0), common.texts(batch)
         start = size = 0
         for i, text in enumerate(texts):
             size += len(text)
             if size >= most or i + 1 == len(texts):
-                yield first + n, ids.slice(start, i + 1 - start), texts[start : i + 1]
-                n, start, size = n + 1, i + 1, 0
+                yield ids.slice(start, i + 1 - start), texts[start : i + 1]
+                start, size = i + 1, 0
+
+
+def uids() -> Iterator[int]:
+    """Numbers that no other task of the stage gives, the same ones whenever a task runs again."""
+    return count(TaskContext.get().partitionId() << 33)
 
 
 class Numbers(defaultdict):
@@ -50,6 +51,11 @@ def lists(parts: list[np.ndarray], type_: pa.DataType = pa.int32()) -> pa.ListAr
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.empty(0, np.int32)]), type_))
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, side by side."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 def one(values: pa.Array) -> pa.ListArray:
     """A list column of one row."""
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
