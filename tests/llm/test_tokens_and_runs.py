@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import alignment, common, keyed, piece_bpe, runs
+from foliospark.llm import alignment, common, piece_bpe, runs
 
 SF = "/root/testdata/sf0.001"
 BITS = [" ", "  ", "\n", "\x1c", "\x85", "\xa0", "　 ", " word", "b'll", "'s", " 12", "é", "😀", "\t", "x\n", "!?", " \n ", "<|endoftext|>", "<s>", "</s>", "\r\n", "\x00", "日本", "ab́", "the", " the", "ing "]
@@ -42,11 +42,10 @@ def test_chunks_encode_as_whole_texts_do(library, monkeypatch):
     monkeypatch.setattr(piece_bpe, "AT_ONCE", 7)
     model = piece_bpe.pieces(None)
     for t in [*strings(1), "▁", " ▁ a▁", "a ", " "]:
-        assert [i for part in piece_bpe.chunks(t) for ids in model.segmented(part) for i in ids] == library.encode(t)
+        assert [i for part in piece_bpe.chunks(t) for c in part for i in model.table([c])[0].tolist()] == library.encode(t)
 
 
-def test_pieces_over_tables(spark, library, monkeypatch):
-    monkeypatch.setattr(keyed, "SLICE", 3000)
+def test_pieces_over_tables(spark, library):
     docs = [*ODD, *((100 + i, t) for i, t in enumerate(strings(2, 300)))]
     rows = piece_bpe.decoded(piece_bpe.encoded(frame(spark, docs))).collect()
     want = Counter((i, tuple(library.encode(t or "", add_eos=True)), library.decode(library.encode(t or "", add_eos=True))) for i, t in docs)
@@ -54,11 +53,18 @@ def test_pieces_over_tables(spark, library, monkeypatch):
     assert piece_bpe.encoded(frame(spark, docs).limit(0)).collect() == []
 
 
-def test_chunk_table_has_each_chunk_once(spark, library):
-    cut = piece_bpe.coded(common.documents(spark, SF))
-    rows = piece_bpe.chunk_table(cut).collect()
-    assert len({r["key"] for r in rows}) == len(rows) > 1000
-    assert all(r["ids"] == library.encode(r["key"]) for r in rows if r["key"])
+def test_each_distinct_chunk_of_a_slice_is_segmented_once(library, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(piece_bpe, "SLICE", 200)
+    monkeypatch.setattr(piece_bpe, "REMEMBERED", 20)
+    texts, seen = strings(5, 300), []
+    model = piece_bpe.Pieces(public_tokenizers.path(piece_bpe.MODEL))
+    table = model.table
+    monkeypatch.setattr(model, "table", lambda chunks: seen.append(chunks) or table(chunks))
+    monkeypatch.setitem(piece_bpe._read, "own", model)
+    rows = [r for b in piece_bpe._encode("own", False)(iter([pa.record_batch([pa.array(range(300)), pa.array(texts)], names=["doc_id", "text"])])) for r in b.column(1).to_pylist()]
+    assert rows == [library.encode(t) for t in texts] and len(seen) > 20 and all(len(set(c)) == len(c) for c in seen) and len(model.known) < 200
 
 
 def test_piece_query(spark, library):
@@ -69,6 +75,15 @@ def test_piece_query(spark, library):
     assert not texts
 
 
+def test_any_ids_decode_as_the_library_does(library):
+    model, r = piece_bpe.pieces(None), random.Random(8)
+    space, tab = library.piece_to_id("▁"), library.piece_to_id("▁▁")
+    common_ids = [0, 1, 2, 3, 35, 198, 199, 230, space, tab, *library.encode("é the 日本 ing")]
+    rows = [[r.choice(common_ids) if r.random() < 0.7 else r.randrange(32000) for _ in range(r.randint(0, 12))] for _ in range(3000)] + [[1] * 20 + [space, space], [2], [35], []]
+    got = model.decoded(np.array([i for x in rows for i in x], np.int64), np.array(list(map(len, rows))))
+    assert got == [library.decode(x) for x in rows]
+
+
 def test_crossing_pieces_are_refused(tmp_path):
     from foliospark.llm.byte_bpe import _field
 
@@ -135,22 +150,32 @@ def test_alignment_query(spark, library):
 
 def test_stretches_and_small_stores(monkeypatch):
     texts = strings(4, 200)
-    whole = alignment.Aligner()
-    want = [whole.all([s for part in alignment.stretched(t) for s in part]) for t in texts]
-    for name, n in (("AT_ONCE", 5), ("STRETCHES", 3), ("MOVES", 2)):
+
+    def made(both):
+        out = []
+        for t in texts:
+            parts = [s for part in alignment.stretched(t) for s in part]
+            assert "".join(" " + s for s in parts) == " " + t
+            n, links, many, shown, failed = both.all(parts)
+            out.append((n.tolist(), [sorted(x.tolist()) for x in np.split(links, np.cumsum(many)[:-1])], shown, failed.tolist()))
+        return out
+
+    want = [(tuple(map(sum, zip(*n))), ";".join(shown)) for n, _, shown, _ in made(alignment.Aligner())]
+    for name, n in (("AT_ONCE", 5), ("MOVES", 2), ("TOGETHER", 3)):
         monkeypatch.setattr(alignment, name, n)
-    small = alignment.Aligner()
-    for t, w in zip(texts, want, strict=True):
-        parts = [s for part in alignment.stretched(t) for s in part]
-        assert "".join(" " + s for s in parts) == " " + t
-        assert [x and x[:4] for x in small.all(parts)] == [x and x[:4] for x in w]
+        assert [(tuple(map(sum, zip(*n))), ";".join(shown)) for n, _, shown, _ in made(alignment.Aligner())] == want
 
 
 def test_transducer_follows_the_leading_side():
     t = alignment.Transducer([b"ab", b"c", b"cd"], [b"a", b"bc", b"d", b"bcd"])
-    assert t.aligned([0, 1], [0, 1]) == ([(2, 2)], [0 << 32, 0 << 32 | 1, 1 << 32 | 1])
-    assert t.aligned([0, 2], [0, 1, 2])[0] == [(2, 3)] and t.aligned([0, 1], [0, 3]) is None and t.aligned([0], [2]) is None
-    assert len(t.moves) < 12 and t.residuals[0] == b""
+    cases = [([0, 1], [0, 1]), ([0, 2], [0, 1, 2]), ([0, 1], [0, 3]), ([0], [2]), ([], []), ([0], [])]
+    want = [([(2, 2)], [(0, 0), (0, 1), (1, 1)]), ([(2, 3)], [(0, 0), (0, 1), (1, 1), (1, 2)]), None, None, ([], []), None]
+    assert [t.aligned(*c) for c in cases] == want
+    assert len(t.moves) < 12 and t.states[0] == (False, b"")
+    a, b = (np.array([i for c in cases for i in c[k]], np.int64) for k in (0, 1))
+    ends, links, failed = t.aligned_all(a, b, *(np.array([len(c[k]) for c in cases]) for k in (0, 1)))
+    assert failed.tolist() == [w is None for w in want]
+    assert ends.tolist() == [[0, 2, 2], [1, 4, 5], [2, 6, 7], [3, 7, 8], [5, 8, 8]] and sorted(links.tolist()) == [[0, 0, 0], [0, 0, 1], [0, 1, 1], [1, 2, 2], [1, 2, 3], [1, 3, 3], [1, 3, 4]]
 
 
 # ---- runs
