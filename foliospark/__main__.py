@@ -30,10 +30,12 @@ def main(args: list[str] | None = None) -> int:
         print(f"an output path is needed for {o.to}", file=sys.stderr)
         return 1
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
     from .operators import corpus
+    from .operators.bibliography import checkpointed
     from .shipping import ship
-    from .sources import files
+    from .sources import files, sink
 
     def say(text: str) -> None:
         if o.verbose:
@@ -41,25 +43,23 @@ def main(args: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("foliospark").getOrCreate()
     ship(spark)
+    sink.register(spark)
     works = None
     if o.bib:
         try:
-            works = corpus.works(corpus.bib_fields(files.bib_files(spark, o.bib)))
-            say(f"{len(works)} works in {o.bib}")
+            works = checkpointed(corpus.works(spark.read.format("foliospark_bib").load(o.bib)))
+            say(f"{works.count()} works in {o.bib}")
         except Exception as e:  # an unreadable bibliography is no reason to stop
             print(f"warning: bibliography can't be read: {e}\nwarning: going on without it", file=sys.stderr)
+            works = None
     sources = files.tex_files(spark, o.path)
     beside = o.path.rsplit("/", 1)[0] if "/" in o.path else "."
     include = corpus.includes(files.tex_files(spark, f"{beside}/*.tex")) if o.path.endswith(".tex") else None
-    failed = 0
-
-    def name(path: str) -> str:
-        return path.rsplit("/", 1)[-1].removesuffix(".tex")
-
     if o.to == "epub":
         image = spark.read.format("binaryFile").load(o.cover).select("content").first()["content"] if o.cover else None
         cover = (f"cover.{o.cover.rsplit('.', 1)[-1]}", bytes(image)) if image else None
-        rows = corpus.archives(sources, works, include, str(uuid.uuid4()), datetime.date.today().isoformat(), cover)
+        media = files.media_files(spark, beside) if o.path.endswith(".tex") else None
+        rows = corpus.archives(sources, works, include, str(uuid.uuid4()), datetime.date.today().isoformat(), cover, media)
     elif o.to in ("itok", "itex"):
         rows = (corpus.tokens if o.to == "itok" else corpus.atoms)(sources, include)
     else:
@@ -67,21 +67,27 @@ def main(args: list[str] | None = None) -> int:
     if o.to in ("itok", "itex") and o.output:
         files.write_native(rows, o.output)
         return 0
-    single = sources.limit(2).count() == 1
-    for r in rows.toLocalIterator():
-        if r["error"] is not None:
-            print(f"error: {r['path']}: {r['error']}", file=sys.stderr)
-            failed += 1
-        elif not o.output:
+    rows = checkpointed(rows)
+    failed = 0
+    for r in rows.filter("error IS NOT NULL").select("path", "error").toLocalIterator():
+        print(f"error: {r['path']}: {r['error']}", file=sys.stderr)
+        failed += 1
+    rows = rows.filter("error IS NULL")
+    if not o.output:
+        for r in rows.toLocalIterator():
             print(r["content"] if "content" in rows.columns else r)
-        else:
-            content = r["content"] if o.to == "epub" else r["content"].encode()
-            if o.to == "html-multi":
-                target = f"{o.output}/{r['file']}" if single else f"{o.output}/{name(r['path'])}/{r['file']}"
-            else:
-                target = o.output if single else f"{o.output}/{name(r['path'])}.{ENDINGS[o.to]}"
-            files.write_file(spark, target, bytes(content))
-            say(f"{r['path']} -> {target}")
+        return 1 if failed else 0
+    single = sources.limit(2).count() == 1
+    folder, _, own = o.output.rstrip("/").rpartition("/")
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.tex$", "")
+    if o.to == "html-multi":
+        folder, target = o.output, F.col("file") if single else F.concat_ws("/", name, "file")
+    elif single:
+        folder, target = folder or ("/" if o.output.startswith("/") else "."), F.lit(own)
+    else:
+        folder, target = o.output, F.concat(name, F.lit(f".{ENDINGS[o.to]}"))
+    rows.select(target.alias("target"), F.col("content").cast("binary").alias("content")).write.format("foliospark_files").mode("append").save(folder)
+    say(f"written to {o.output}")
     return 1 if failed else 0
 
 

@@ -304,13 +304,13 @@ def parse(tokens: list[Token]) -> list[Node]:
 
 
 def rows(nodes: list[Node]) -> list[tuple]:
-    """Preorder rows: node_id, last_id, parent_id, depth, ord, kind, name, text, arg_kind, arg_ord."""
+    """Preorder rows: node_id, last_id, parent_id, depth, ord, kind, name, text (* of starred commands), arg_kind, arg_ord."""
     out: list[list] = []
 
     def walk(ns: list[Node], parent: int, depth: int, arg: str | None, place: int) -> None:
         for i, n in enumerate(ns):
             me = len(out)
-            out.append([me, me, parent, depth, i, n.kind, n.text if n.kind in ("command", "group", "math") else "", n.text if n.kind == "plain" else "", arg, place])
+            out.append([me, me, parent, depth, i, n.kind, n.text if n.kind in ("command", "group", "math") else "", n.text if n.kind == "plain" else "*" if n.starred else "", arg, place])
             n.start = me
             for k, (kind, a) in enumerate(n.args):
                 walk(a, me, depth + 1, kind, k)

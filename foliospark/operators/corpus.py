@@ -102,108 +102,125 @@ def bib_fields(sources: DataFrame) -> DataFrame:
     return _mapped(sources, make, FIELDS, None)
 
 
-def pages(sources: DataFrame, form: str = "html", works: dict[str, dict] | None = None, files: dict[str, str] | None = None) -> DataFrame:
-    """Documents written in a format: html, xml, multi (one row a page), epub (one row a file of the archive), native (JSON)."""
+def _made(doc: dict, form: str, works: dict[str, dict] | None) -> list[tuple[str, str]]:
+    from ..kernels import writers
+
+    if form == "html":
+        return [("index.html", writers.to_html(doc, works))]
+    if form == "xml":
+        return [("document.xml", writers.to_tei(doc, works))]
+    if form == "multi":
+        return list(writers.to_pages(doc, works).items())
+    if form == "epub":
+        return list(writers.epub_files(doc, works).items())
+    if form == "native":
+        return [("document.json", json.dumps(doc, ensure_ascii=False, sort_keys=True))]
+    raise ValueError(f"unknown format {form}")
+
+
+def parsed(sources: DataFrame, files: dict[str, str] | None = None) -> DataFrame:
+    """path, document (JSON), cites (its keys), media (names of its images), error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..kernels.document import read_document
+
+        deep()
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    doc = read_document(text or "", files)
+                    rows.append((path, json.dumps(doc, ensure_ascii=False), list(doc["cites"]), sorted({m for m in doc["media"] if m}), None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((path, None, None, None, f"{type(e).__name__}: {e}"))
+            types = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["path", "document", "cites", "media", "error"])
+
+    return sources.select("path", "text").mapInArrow(run, "path string, document string, cites array<string>, media array<string>, error string")
+
+
+def with_works(documents: DataFrame, works: DataFrame) -> DataFrame:
+    """parsed() with works: those that a document cites, out of a table of any size (works.described()); the rest of it goes nowhere."""
+    from .works import by_document
+
+    cited = documents.select(F.col("path").alias("doc_id"), F.explode(F.array_distinct("cites")).alias("key"))
+    found = by_document(cited, works).groupBy(F.col("doc_id").alias("path")).agg(F.collect_list(F.struct("key", "agents", "year", "title", "full")).alias("works"))
+    return documents.join(found, "path", "left")
+
+
+def with_media(documents: DataFrame, media: DataFrame) -> DataFrame:
+    """parsed() with images: names and contents of the files (path, content) that a document's images name by their last part; what isn't there is left out."""
+    from ..sources.files import with_media as met
+
+    named = documents.select(F.col("path").alias("doc_id"), F.posexplode("media").alias("media_id", "_name")).withColumn("name", F.element_at(F.split("_name", "/"), -1))
+    found = met(named, media).filter("content IS NOT NULL").groupBy("doc_id", "name").agg(F.first("content").alias("content"))
+    return documents.join(found.groupBy(F.col("doc_id").alias("path")).agg(F.collect_list(F.struct("name", "content")).alias("images")), "path", "left")
+
+
+def _listed(row: dict) -> dict[str, dict]:
+    return {w["key"]: w for w in row.get("works") or []}
+
+
+def pages(sources: DataFrame, form: str = "html", works: DataFrame | dict[str, dict] | None = None, files: dict[str, str] | None = None) -> DataFrame:
+    """Documents written in a format: html, xml, multi (one row a page), epub (one row a file of the archive), native (JSON).
+
+    works: a table as of works.described(), joined with what each document cites; or a few works as a dictionary.
+    """
+    if isinstance(works, DataFrame):
+
+        def make_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            deep()
+            for batch in batches:
+                out: list[tuple] = []
+                for row in batch.to_pylist():
+                    try:
+                        out += [(row["path"], *made, None) for made in _made(json.loads(row["document"]), form, _listed(row))] if row["error"] is None else [(row["path"], None, None, row["error"])]
+                    except Exception as e:  # noqa: BLE001
+                        out.append((row["path"], None, None, f"{type(e).__name__}: {e}"))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(4)], names=["path", "file", "content", "error"])
+
+        return with_works(parsed(sources, files), works).select("path", "document", "works", "error").mapInArrow(make_all, PAGES)
 
     def make(text, inc):
-        from ..kernels import writers
         from ..kernels.document import read_document
 
-        doc = read_document(text, inc)
-        if form == "html":
-            return [("index.html", writers.to_html(doc, works))]
-        if form == "xml":
-            return [("document.xml", writers.to_tei(doc, works))]
-        if form == "multi":
-            return list(writers.to_pages(doc, works).items())
-        if form == "epub":
-            return list(writers.epub_files(doc, works).items())
-        if form == "native":
-            return [("document.json", json.dumps(doc, ensure_ascii=False, sort_keys=True))]
-        raise ValueError(f"unknown format {form}")
+        return _made(read_document(text, inc), form, works)
 
     return _mapped(sources, make, PAGES, files)
 
 
-def archives(sources: DataFrame, works: dict[str, dict] | None = None, files: dict[str, str] | None = None, seed: str = "", date: str = "", cover: tuple[str, bytes] | None = None) -> DataFrame:
-    """path, content, error: an EPUB for each document. Its identifier follows from seed and path, so a repeated task makes the same file."""
+def archives(sources: DataFrame, works: DataFrame | None = None, files: dict[str, str] | None = None, seed: str = "", date: str = "", cover: tuple[str, bytes] | None = None, media: DataFrame | None = None) -> DataFrame:
+    """path, content, error: an EPUB for each document. Its identifier follows from seed and path, so a repeated task makes the same file.
+
+    media (path, content) are the files of images; each archive holds those that its document shows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         from ..kernels import writers
-        from ..kernels.document import read_document
 
         deep()
         for batch in batches:
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                made, error = None, None
+            for row in batch.to_pylist():
+                made, error = None, row["error"]
                 try:
-                    name = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{seed}/{path}"))
-                    made = writers.to_epub(read_document(text or "", files), works, name, date, cover=cover)
+                    name = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{seed}/{row['path']}"))
+                    images = {x["name"]: x["content"] for x in row.get("images") or []}
+                    made = writers.to_epub(json.loads(row["document"]), _listed(row), name, date, images, cover) if error is None else None
                 except Exception as e:  # noqa: BLE001
                     error = f"{type(e).__name__}: {e}"
-                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([made], pa.binary()), pa.array([error], pa.string())], names=["path", "content", "error"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["path"]], pa.string()), pa.array([made], pa.binary()), pa.array([error], pa.string())], names=["path", "content", "error"])
 
-    return sources.select("path", "text").mapInArrow(run, "path string, content binary, error string")
+    rows = parsed(sources, files)
+    rows = rows if works is None else with_works(rows, works)
+    rows = rows if media is None else with_media(rows, media)
+    return rows.drop("cites", "media").mapInArrow(run, "path string, content binary, error string")
 
 
-def works(fields: DataFrame) -> dict[str, dict]:
-    """Citable works of one bibliography for the writers, with what they inherit; refuses more than INCLUDE_BYTES of them."""
+def works(fields: DataFrame) -> DataFrame:
+    """The works of parsed bibliographies (rows of bib_fields()) with what they inherit, as works.described() has them."""
     from .bibliography import resolved
+    from .works import described
 
-    entries, full = resolved(fields.filter("error IS NULL").select("key", "type", "name", "value"))
-    listed = entries.join(full.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("f")), "key").select("key", "type", "f")
-    size = full.agg(F.coalesce(F.sum(F.octet_length("value") + F.octet_length("name") + F.octet_length("key")), F.lit(0)).alias("n")).first()["n"]
-    if size > INCLUDE_BYTES:
-        raise ValueError(f"the works weigh {size} bytes, more than {INCLUDE_BYTES}")
-    out = {}
-    for r in listed.collect():
-        f = r["f"]
-        agents = f.get("author") or f.get("editor") or ""
-        year = f.get("year") or (f.get("date") or "")[:4]
-        out[r["key"]] = {"agents": agents, "year": year, "title": f.get("title", ""), "full": reference(r["type"], agents, year, f)}
-    ambiguous: dict[tuple, list[str]] = {}
-    for k, w in sorted(out.items(), key=lambda x: (x[1]["agents"], x[1]["year"], x[1]["title"], x[0])):
-        ambiguous.setdefault((w["agents"], w["year"]), []).append(k)
-    for keys in ambiguous.values():
-        if len(keys) > 1:  # suffixes in the order of title and key
-            for i, k in enumerate(keys):
-                suffix, i = "", i + 1
-                while i > 0:
-                    i, d = divmod(i - 1, 26)
-                    suffix = chr(97 + d) + suffix
-                year = out[k]["year"]
-                out[k]["full"] = out[k]["full"].replace(f" {year}.", f" {year}{suffix}.", 1)
-                out[k]["year"] = year + suffix
-    return out
-
-
-def reference(kind: str, agents: str, year: str, f: dict[str, str]) -> str:
-    """The full reference of a work by its type."""
-
-    def sentence(*parts: str) -> str:
-        text = ", ".join(p for p in parts if p)
-        return text if not text or text[-1] in ".?!" else text + "."
-
-    def place() -> str:
-        return ": ".join(p for p in (f.get("location", ""), f.get("publisher", "")) if p)
-
-    editors = f.get("editor", "")
-    book = f.get("booktitle", "")
-    if kind == "article":
-        volume = f.get("volume", "") + (f"({f['number']})" if f.get("number") else "")
-        where = sentence(" ".join(p for p in (f.get("journaltitle", ""), volume) if p), f.get("pages", ""))
-    elif kind in ("incollection", "inbook", "inproceedings"):
-        source = "In " + ", ".join(p for p in (f"{editors} (ed.)" if editors else "", book) if p) if editors or book else ""
-        where = " ".join(p for p in (sentence(source, f.get("pages", "")), sentence(place())) if p)
-    elif kind in ("thesis", "phdthesis", "mastersthesis"):
-        where = sentence({"mastersthesis": "MA thesis"}.get(kind, "Dissertation"), f.get("institution", ""))
-    elif kind in ("report", "techreport"):
-        where = sentence(f.get("type", "Report") + (f" {f['number']}" if f.get("number") else ""), f.get("institution", ""))
-    elif kind in ("online", "misc", "unpublished"):
-        where = sentence(f.get("howpublished", ""), f.get("note", ""), f.get("url", ""))
-    else:  # book, collection, proceedings, manual
-        where = sentence(place())
-    head = f"{agents} (ed.)." if kind in ("collection", "proceedings") and not f.get("author") and agents else sentence(agents)
-    return " ".join(p for p in (head, sentence(year), sentence(f.get("title", "")), where) if p)
+    return described(*resolved(fields.filter("error IS NULL").select("key", "type", "name", "value")))

@@ -71,17 +71,29 @@ def chapter_counters(events: DataFrame) -> DataFrame:
     return rows.select("doc_id", "seq", "kind", "chapter", n.alias("n"))
 
 
-def with_anchors(events: DataFrame) -> DataFrame:
-    """Adds anchor, the id of what was last numbered (the document's start at first)."""
+def with_items(rows: DataFrame) -> DataFrame:
+    """Adds item: the number of the last example of an outer list in the chapter, and those in the inner lists around; rows as with_numbers() with in_list."""
+    outer = running((F.col("kind") == "item") & (F.size("in_list") == 0))
+    rows = rows.withColumn("_outer", outer).withColumn("_outer", since(F.col("_outer"), numbered(2)))
+    return rows.withColumn("item", F.concat_ws("-", F.col("_outer").cast("string"), F.col("in_list").cast("array<string>"))).drop("_outer")
+
+
+def own_anchor(rows: DataFrame) -> Column:
+    """The id of what labels bind to; null for other rows. Examples count where rows have item."""
     from ..functions.text import section_id
 
+    chapter = F.col("chapter").cast("string")
+    own = F.when(numbered(), section_id(F.col("in_region"), F.array(*(F.col(f"n{k}") for k in range(2, LEVELS + 1)))))
+    for kind in ("figure", "table"):
+        own = own.when(F.col("kind") == kind, F.concat_ws("-", F.lit(kind), chapter, F.col(f"{kind}_n").cast("string")))
+    return own.when(F.col("kind") == "item", F.concat_ws("-", F.lit("item"), chapter, F.col("item"))) if "item" in rows.columns else own
+
+
+def with_anchors(events: DataFrame) -> DataFrame:
+    """Adds anchor, the id of what was last numbered (the document's start at first)."""
     rows = with_numbers(events)
-    own = (
-        F.when(numbered(), section_id(F.col("in_region"), F.array(*(F.col(f"n{k}") for k in range(2, LEVELS + 1)))))
-        .when(F.col("kind") == "figure", F.concat(F.lit("figure-"), F.col("chapter").cast("string"), F.lit("-"), F.col("figure_n").cast("string")))
-        .when(F.col("kind") == "table", F.concat(F.lit("table-"), F.col("chapter").cast("string"), F.lit("-"), F.col("table_n").cast("string")))
-    )
-    return rows.withColumn("anchor", F.coalesce(F.last(own, ignorenulls=True).over(so_far()), F.lit("start")))
+    rows = with_items(rows) if "in_list" in rows.columns else rows
+    return rows.withColumn("anchor", F.coalesce(F.last(own_anchor(rows), ignorenulls=True).over(so_far()), F.lit("start")))
 
 
 def labels(events: DataFrame) -> DataFrame:

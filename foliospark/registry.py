@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import citing, kernels, lookups, numbering, sections, texts, trees
+from .plans import citing, documents, kernels, lookups, numbering, sections, texts, trees
 
-PLANS = (numbering, citing, sections, texts, kernels, trees, lookups)
+PLANS = (numbering, citing, sections, texts, kernels, trees, lookups, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

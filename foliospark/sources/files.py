@@ -16,7 +16,7 @@ bib_files = tex_files
 
 def media_files(spark: SparkSession, path: str) -> DataFrame:
     """path, content of images; what can't be read is absent."""
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,gif,svg,tif,tiff}").load(path).select("path", "content")
 
 
 def with_media(media: DataFrame, files: DataFrame) -> DataFrame:
@@ -25,32 +25,5 @@ def with_media(media: DataFrame, files: DataFrame) -> DataFrame:
     return media.join(named, "name", "left").select("doc_id", "media_id", "name", "content")
 
 
-def resolved_includes(references: DataFrame, listing: DataFrame) -> DataFrame:
-    """references (path, name): the file of exactly that name, else with .tex; null where neither is there."""
-    exact = listing.select(F.col("file").alias("name"), F.col("file").alias("exact"))
-    other = listing.select(F.regexp_replace("file", r"\.tex$", "").alias("name"), F.col("file").alias("with_ending")).filter("with_ending LIKE '%.tex'")
-    return references.join(exact, "name", "left").join(other, "name", "left").select("path", "name", F.coalesce("exact", "with_ending").alias("file"))
-
-
-def write_pages(pages: DataFrame, path: str) -> None:
-    """One folder for each document; rows with errors are left out."""
-    pages.filter("error IS NULL").select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.tex$", "").alias("document"), "file", "content").write.partitionBy("document").parquet(path)
-
-
-def write_text(pages: DataFrame, path: str) -> None:
-    pages.filter("error IS NULL").select("content").write.text(path)
-
-
 def write_native(rows: DataFrame, path: str) -> None:
     rows.write.parquet(path)
-
-
-def write_file(spark: SparkSession, path: str, content: bytes) -> None:
-    """One file in any file system that Spark knows; folders above it are made."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
-    try:
-        out.write(bytearray(content))
-    finally:
-        out.close()
