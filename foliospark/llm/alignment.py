@@ -39,7 +39,7 @@ AT_ONCE = 1 << 20
 _BORDER = re.compile(r"(?<=\S) ")
 _DOUBLE = re.compile(r"\s ")
 #: Characters of text in a slice.
-SLICE = 2 << 20
+SLICE = 1 << 21
 #: A pair of ids is one number: the first id that many bits higher than the second. So is a move: its state and its token.
 BITS = 32
 
@@ -275,11 +275,10 @@ def _cut(a_path: str | None, b_path: str | None, digest: bool):
             ends = np.cumsum([0, *map(len, words)])
             sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(n[np.concatenate([np.empty(0, np.int32), *words])], axis=0)])
             a, b, g = np.diff(sums[ends], axis=0).T
-            names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "slots"]
-            docs = pa.StructArray.from_arrays([ids, *map(pa.array, (a, b, g, a + b - g)), pa.array(rows, pa.string()), keyed.lists(words)], names=names)
-            links = pa.ListArray.from_arrays(pa.array(np.append(starts, len(flat)), pa.int32()), pa.array(slots, pa.int32()))
-            columns = [pa.array([uid], pa.int64()), keyed.one(pa.array(pairs)), keyed.one(pa.array(documents.astype(np.int64))), keyed.one(links), keyed.one(docs)]
-            yield pa.RecordBatch.from_arrays(columns, names=["uid", "keys", "documents", "links", "docs"])
+            docs = pa.StructArray.from_arrays([ids, *map(pa.array, (a, b, g, a + b - g)), pa.array(rows, pa.string())], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"])
+            blob = keyed.packed(sizes, slots, np.diff(ends), np.concatenate([np.empty(0, np.int32), *words]))
+            columns = [pa.array([uid], pa.int64()), keyed.one(pa.array(pairs)), keyed.one(pa.array(documents.astype(np.int64))), pa.array([blob], pa.binary()), keyed.one(docs)]
+            yield pa.RecordBatch.from_arrays(columns, names=["uid", "keys", "documents", "places", "docs"])
 
     return run
 
@@ -287,26 +286,27 @@ def _cut(a_path: str | None, b_path: str | None, digest: bool):
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            *own, slots = keyed.unfolded(batch, "docs", i)
-            links = batch.column(batch.schema.get_field_index("links")).slice(i, 1).flatten()
+            own = keyed.unfolded(batch, "docs", i)
+            n_links, links, n_words, words = keyed.unpacked(batch.column(batch.schema.get_field_index("places"))[i].as_py())
             at, count, best = keyed.unfolded(batch, "found", i) if batch.column(batch.schema.get_field_index("found"))[i].is_valid else [np.empty(0, np.int64)] * 3
             counts = np.zeros((len(at), 2), np.int64)
             counts[np.asarray(at), 0], counts[np.asarray(at), 1] = np.asarray(best), np.asarray(count)
 
-            def summed(values, of):
-                sums = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(values[np.asarray(of.flatten())], axis=0)])
-                return np.diff(sums[np.cumsum(np.concatenate([[0], np.asarray(of.value_lengths())]))], axis=0)
+            def summed(values, places, many):
+                sums = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(values[places], axis=0)])
+                return np.diff(sums[np.cumsum(np.concatenate([[0], many]))], axis=0)
 
-            best, total = summed(summed(counts, links), slots).T
+            best, total = summed(summed(counts, links, n_links), words, n_words).T
             names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum"]
             yield pa.RecordBatch.from_arrays([*own, pa.array(best), pa.array(total)], names=names)
 
 
 def coded(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, digest: bool = False) -> DataFrame:
-    """One row a slice: uid, keys (its linked pairs), documents (in how many of it each is linked), links (slots of each stretch), docs."""
+    """One row a slice: uid, keys (its linked pairs), documents (in how many of it each is linked), docs, and places: how many links each stretch has, their
+    slots among keys, how many stretches each document has, and which."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = f"struct<doc_id: {kind}, n_a: bigint, n_b: bigint, n_groups: bigint, n_links: bigint, groups: string, slots: array<int>>"
-    rows = docs.select("doc_id", "text").mapInArrow(_cut(a_path, b_path, digest), f"uid bigint, keys array<bigint>, documents array<bigint>, links array<array<int>>, docs array<{own}>")
+    own = f"struct<doc_id: {kind}, n_a: bigint, n_b: bigint, n_groups: bigint, n_links: bigint, groups: string>"
+    rows = docs.select("doc_id", "text").mapInArrow(_cut(a_path, b_path, digest), f"uid bigint, keys array<bigint>, documents array<bigint>, places binary, docs array<{own}>")
     return common.cleanly(rows, "aligned")
 
 

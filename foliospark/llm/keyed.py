@@ -56,6 +56,21 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
+def packed(*parts: np.ndarray) -> bytes:
+    """Arrays of numbers below 2**31 as few bytes: the four bytes of the numbers apart, compressed."""
+    planes = b"".join(np.ascontiguousarray(p, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for p in parts)
+    head = np.array([len(parts), *map(len, parts)], "<i8").tobytes()
+    return head + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    many = int(np.frombuffer(blob, "<i8", 1)[0])
+    sizes = np.frombuffer(blob, "<i8", many, 8)
+    planes = np.frombuffer(pa.decompress(blob[8 * (many + 1) :], int(4 * sizes.sum()), codec="zstd", asbytes=True), np.uint8)
+    cuts = np.concatenate([[0], np.cumsum(4 * sizes)])
+    return [np.ascontiguousarray(planes[i:j].reshape(4, -1).T).view("<i4").ravel() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def one(values: pa.Array) -> pa.ListArray:
     """A list column of one row."""
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
