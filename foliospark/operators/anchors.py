@@ -81,3 +81,25 @@ def link_targets(rows: DataFrame, level: int = 3) -> DataFrame:
     found = pointers.join(numbering.labels(rows), ["doc_id", "label"], "left").join(files, ["doc_id", "anchor"], "left")
     target = F.concat(F.when(F.col("file").isNotNull(), file_name(F.col("file").cast("int"))).otherwise(""), F.lit("#"), F.col("anchor"))
     return found.select("doc_id", "seq", "label", F.coalesce(target, F.lit("")).alias("target"))
+
+
+def counts(nodes: DataFrame) -> DataFrame:
+    """doc_id, n_works (that citations name), n_media (images), n_notes, n_unnumbered (headers) of every document."""
+    command, name = F.col("kind") == "command", F.col("name")
+    naming = command & (name.isin("nocite", "parencite", "textcite", "autocite") | name.startswith("cite") | (name == "includegraphics"))
+    inner = nodes.withColumn("_until", F.max(F.when(naming, F.col("last_id"))).over(Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)))
+    # what is said before or after a citation stands in its optional arguments
+    own = F.when(F.coalesce(F.col("arg_kind"), F.lit("m")) == "m", literal())
+    named = trees.subtree_texts(inner.filter("node_id <= _until"), own).join(nodes.filter(naming).select("doc_id", "node_id", "name"), ["doc_id", "node_id"])
+    parts = F.when(name == "includegraphics", F.array("text")).otherwise(F.filter(F.transform(F.split("text", ","), lambda k: F.trim(k)), lambda k: k != ""))
+    sets = named.select("doc_id", (name == "includegraphics").alias("_image"), F.explode(parts).alias("_part")).groupBy("doc_id")
+    sets = sets.agg(F.count_distinct(F.when(~F.col("_image"), F.col("_part"))).alias("n_works"), F.count_distinct(F.when(F.col("_image"), F.col("_part"))).alias("n_media"))
+    unnumbered = command & name.isin(*LEVELS) & ((F.col("text") == "*") | name.startswith("add"))
+    rows = nodes.groupBy("doc_id").agg(F.count(F.when(command & (name == "footnote"), 1)).alias("n_notes"), F.count(F.when(unnumbered, 1)).alias("n_unnumbered"))
+    return rows.join(sets, "doc_id", "left").select("doc_id", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_works", "n_media", "n_notes", "n_unnumbered")))
+
+
+def derived(rows: DataFrame) -> DataFrame:
+    """counts() to the sections that follow from them (doc_id, place, title): one of notes and one of works, none for what there isn't."""
+    both = F.array(F.when(F.col("n_notes") > 0, F.struct(F.lit(1).alias("place"), F.lit("Notes").alias("title"))), F.when(F.col("n_works") > 0, F.struct(F.lit(2).alias("place"), F.lit("Bibliography").alias("title"))))
+    return rows.select("doc_id", F.explode(F.array_compact(both)).alias("x")).select("doc_id", "x.*")

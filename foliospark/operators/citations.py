@@ -39,6 +39,13 @@ def grouped(cites: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "grp", "agents").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "label"))), lambda x: x["label"]), ", ").alias("years"))
 
 
+def grouped_by_names(cites: DataFrame, agents: DataFrame) -> DataFrame:
+    """As grouped(), by lists of last names: cites (doc_id, seq, key, label); agents (key, place, last) as of bibliography.agents(). agents shows the list as text."""
+    names = agents.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "last"))), lambda x: x["last"]).alias("agents"))
+    rows = cites.join(names, "key", "left").select("doc_id", "seq", F.coalesce("agents", F.array().cast("array<string>")).alias("agents"), "label")
+    return grouped(rows).withColumn("agents", sep_end_by(F.col("agents"), ", ", " & "))
+
+
 def written(groups: DataFrame, mode: str = "author_in_parentheses") -> DataFrame:
     """One line for each document: the groups in order, in one of the citation modes."""
     inner = {

@@ -8,47 +8,45 @@ from pyspark.sql import functions as F
 from .citations import disambiguated
 
 
-def _field(name: str) -> Column:
-    return F.coalesce(F.element_at("f", name), F.lit(""))
+#: Fields that references show.
+FIELDS = ("author", "editor", "year", "date", "title", "location", "publisher", "journaltitle", "volume", "number", "pages", "booktitle", "institution", "howpublished", "note", "url")
 
 
-def _joined(separator: str, *parts: Column) -> Column:
-    """The parts that aren't empty."""
-    return F.concat_ws(separator, *(F.nullif(p, F.lit("")) for p in parts))
+def _joined(separator: str, *parts: Column | str) -> Column:
+    """The parts (columns or their names) that aren't empty."""
+    return F.concat_ws(separator, *(F.nullif(F.col(p) if isinstance(p, str) else p, F.lit("")) for p in parts))
 
 
-def _sentence(*parts: Column) -> Column:
-    text = _joined(", ", *parts)
-    return F.when(F.rlike(text, F.lit(r"(^|[.?!])$")), text).otherwise(F.concat(text, F.lit(".")))
+def _sentence(*parts: Column | str) -> Column:
+    """The parts with commas, and a full stop unless there is an end; nothing of nothing."""
+    return F.regexp_replace(_joined(", ", *parts), r"(?s)([^.?!])\z", "$1.")
 
 
-def _around(before: str, text: Column, after: str) -> Column:
-    return F.when(text == "", "").otherwise(F.concat(F.lit(before), text, F.lit(after)))
+def _around(before: str, name: str, after: str) -> Column:
+    return F.when(F.col(name) == "", "").otherwise(F.concat(F.lit(before), name, F.lit(after)))
 
 
 def described(entries: DataFrame, fields: DataFrame) -> DataFrame:
     """entries (key, type) and fields (key, name, value) to key, agents, year, title, head and tail: what a reference begins with and what follows its title."""
-    listed = fields.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("f"))
-    rows = entries.join(listed, "key")
-    author, editor = _field("author"), _field("editor")
-    agents = F.when(author != "", author).otherwise(editor)
-    year = F.when(_field("year") != "", _field("year")).otherwise(F.substring(_field("date"), 1, 4))
-    place = _sentence(_joined(": ", _field("location"), _field("publisher")))
-    number = _around("(", _field("number"), ")")
-    source = _joined(", ", _around("", editor, " (ed.)"), _field("booktitle"))
+    listed = fields.filter(F.col("name").isin(*FIELDS, "type")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("f"))
+    own = [F.coalesce(F.element_at("f", n), F.lit("")).alias(n) for n in FIELDS]
+    rows = entries.join(listed, "key", "left").select("key", "type", *own, F.coalesce(F.element_at("f", "type"), F.lit("Report")).alias("series"))
+    rows = rows.withColumns({
+        "agents": F.coalesce(F.nullif("author", F.lit("")), "editor"), "year": F.coalesce(F.nullif("year", F.lit("")), F.substring("date", 1, 4)), "place": _sentence(_joined(": ", "location", "publisher")),
+        "issue": F.concat("volume", _around("(", "number", ")")), "source": _joined(", ", _around("", "editor", " (ed.)"), "booktitle"),
+    })
     kind = F.col("type")
     tail = (
-        F.when(kind == "article", _sentence(_joined(" ", _field("journaltitle"), F.concat(_field("volume"), number)), _field("pages")))
-        .when(kind.isin("incollection", "inbook", "inproceedings"), _joined(" ", _sentence(_around("In ", source, ""), _field("pages")), place))
-        .when(kind == "mastersthesis", _sentence(F.lit("MA thesis"), _field("institution")))
-        .when(kind.isin("thesis", "phdthesis"), _sentence(F.lit("Dissertation"), _field("institution")))
-        .when(kind.isin("report", "techreport"), _sentence(_joined(" ", F.coalesce(F.element_at("f", "type"), F.lit("Report")), _field("number")), _field("institution")))
-        .when(kind.isin("online", "misc", "unpublished"), _sentence(_field("howpublished"), _field("note"), _field("url")))
-        .otherwise(place)
+        F.when(kind == "article", _sentence(_joined(" ", "journaltitle", "issue"), "pages"))
+        .when(kind.isin("incollection", "inbook", "inproceedings"), _joined(" ", _sentence(_around("In ", "source", ""), "pages"), "place"))
+        .when(kind == "mastersthesis", _sentence(F.lit("MA thesis"), "institution"))
+        .when(kind.isin("thesis", "phdthesis"), _sentence(F.lit("Dissertation"), "institution"))
+        .when(kind.isin("report", "techreport"), _sentence(_joined(" ", "series", "number"), "institution"))
+        .when(kind.isin("online", "misc", "unpublished"), _sentence("howpublished", "note", "url"))
+        .otherwise(F.col("place"))
     )
-    edited = kind.isin("collection", "proceedings") & (author == "") & (agents != "")
-    head = F.when(edited, F.concat(agents, F.lit(" (ed.)."))).otherwise(_sentence(agents))
-    return rows.select("key", "type", agents.alias("agents"), year.alias("year"), _field("title").alias("title"), head.alias("head"), tail.alias("tail"))
+    edited = kind.isin("collection", "proceedings") & (F.col("author") == "") & (F.col("agents") != "")
+    return rows.select("key", "type", "agents", "year", "title", F.when(edited, _around("", "agents", " (ed.).")).otherwise(_sentence("agents")).alias("head"), tail.alias("tail"))
 
 
 def by_document(cited: DataFrame, works: DataFrame) -> DataFrame:
@@ -58,4 +56,4 @@ def by_document(cited: DataFrame, works: DataFrame) -> DataFrame:
     """
     rows = disambiguated(cited.select("doc_id", "key").distinct().join(works, "key"))
     year = F.concat("year", "suffix")
-    return rows.select("doc_id", "key", "agents", year.alias("year"), "title", _joined(" ", F.col("head"), _sentence(year), _sentence(F.col("title")), F.col("tail")).alias("full"))
+    return rows.select("doc_id", "key", "agents", year.alias("year"), "title", _joined(" ", "head", _sentence(year), _sentence("title"), "tail").alias("full"))

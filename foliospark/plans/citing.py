@@ -44,6 +44,16 @@ def cite_groups(spark, sf_dir):
     return ops.written(ops.grouped(rows))
 
 
+def cite_last_names(spark, sf_dir):
+    """Citations in groups of equal last names, whatever the first names; some works have three names."""
+    brand = F.regexp_replace("p_brand", "#", "N")
+    first = F.when(F.col("p_partkey") % 2 == 0, "Al ").otherwise("Bo ")
+    names = F.concat(first, brand, F.lit(" and Jo von Roe"), F.when(F.col("p_partkey") % 3 == 0, F.lit(" and Li, X.")).otherwise(""))
+    works = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("key"), names.alias("names"))
+    cites = _cited(spark, sf_dir).select("doc_id", (F.col("ord") * 1000 + F.col("key")).alias("seq"), "key", F.concat("year", "suffix").alias("label"))
+    return ops.written(ops.grouped_by_names(cites, bib.agents(works)))
+
+
 def cite_modes(spark, sf_dir):
     """The same citations in every mode."""
     rows = ops.grouped(_cited(spark, sf_dir).select("doc_id", (F.col("ord") * 1000 + F.col("key")).alias("seq"), "agents", F.concat("year", "suffix").alias("label")))
@@ -117,7 +127,7 @@ def agent_lines(spark, sf_dir):
     return ops.agent_lines(agents_parse(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (cite_map, resolve_citations, extra_year, cite_groups, cite_modes, bibliography, entry_accessors, bib_dedupe, bib_normalise, xdata_inherit, crossref_inherit, string_macros_asof, agents_parse, agent_lines)}
+QUERIES = {f.__name__: f for f in (cite_map, resolve_citations, extra_year, cite_groups, cite_last_names, cite_modes, bibliography, entry_accessors, bib_dedupe, bib_normalise, xdata_inherit, crossref_inherit, string_macros_asof, agents_parse, agent_lines)}
 _C = """WITH k AS (SELECT l_orderkey AS doc_id, (l_linenumber + 1) // 2 AS cmd_seq, (l_linenumber + 1) % 2 AS pos, l_partkey % 500 AS key FROM lineitem),
 o AS (SELECT doc_id, cmd_seq, coalesce(sum(count(*)) OVER (PARTITION BY doc_id ORDER BY cmd_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM k GROUP BY doc_id, cmd_seq),
 f AS (SELECT doc_id, key, min(cmd_seq) AS cmd_seq FROM k GROUP BY doc_id, key),
@@ -134,6 +144,11 @@ SQL = {
     "cite_groups": _C + """, g AS (SELECT doc_id, ord, key, agents, year || suffix AS label, CASE WHEN lag(agents) OVER w IS DISTINCT FROM agents THEN 1 ELSE 0 END AS new FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY ord, key)),
 h AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ord, key ROWS UNBOUNDED PRECEDING) AS grp FROM g),
 i AS (SELECT doc_id, grp, agents || ' ' || string_agg(label, ', ' ORDER BY ord, key) AS t FROM h GROUP BY doc_id, grp, agents)
+SELECT doc_id, '(' || string_agg(t, '; ' ORDER BY grp) || ')' AS citation FROM i GROUP BY doc_id""",
+    "cite_last_names": _C + """, last_names AS (SELECT p_partkey AS key, replace(p_brand, '#', 'N') || CASE WHEN p_partkey % 3 = 0 THEN ', Roe & Li' ELSE ' & Roe' END AS names FROM part),
+g AS (SELECT x.doc_id, x.ord, x.key, m.names, x.year || x.suffix AS label, CASE WHEN lag(m.names) OVER w IS DISTINCT FROM m.names THEN 1 ELSE 0 END AS new FROM x JOIN last_names m ON m.key = x.key WINDOW w AS (PARTITION BY x.doc_id ORDER BY x.ord, x.key)),
+h AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ord, key ROWS UNBOUNDED PRECEDING) AS grp FROM g),
+i AS (SELECT doc_id, grp, names || ' ' || string_agg(label, ', ' ORDER BY ord, key) AS t FROM h GROUP BY doc_id, grp, names)
 SELECT doc_id, '(' || string_agg(t, '; ' ORDER BY grp) || ')' AS citation FROM i GROUP BY doc_id""",
     "cite_modes": _C + """, g AS (SELECT doc_id, ord, key, agents, year || suffix AS label, CASE WHEN lag(agents) OVER w IS DISTINCT FROM agents THEN 1 ELSE 0 END AS new FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY ord, key)),
 h AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ord, key ROWS UNBOUNDED PRECEDING) AS grp FROM g),

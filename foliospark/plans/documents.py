@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import anchors as ops
-from ..operators import corpus, works
+from ..operators import corpus, sections, works
+from ..sources import files
 from .numbering import events
 from .sections import _H
 
@@ -22,9 +23,9 @@ def _sources(spark, sf_dir):
     made = (
         F.when((F.col("kind") == "header") & F.col("starred"), F.concat(F.lit("\\"), header, F.lit("*{Aside}"), label))
         .when(F.col("kind") == "header", F.concat(F.lit("\\"), header, F.lit("[short]{One \\emph{more}}"), label))
-        .when(F.col("kind") == "figure", F.concat(F.lit("\\begin{figure}\\caption{Shown}"), label, F.lit("\\end{figure}")))
+        .when(F.col("kind") == "figure", F.concat(F.lit("\\begin{figure}\\includegraphics{x/f"), (F.col("seq") % 5).cast("string"), F.lit(".png}\\caption{Shown}"), label, F.lit("\\end{figure}")))
         .when(F.col("kind") == "note", F.concat(F.lit("Text\\footnote{A note}"), label))
-        .otherwise(F.concat(F.lit("\\"), "region", F.lit("matter"), label))
+        .otherwise(F.concat(F.lit("\\"), "region", F.lit("matter"), label, F.lit(" By \\citet{k"), F.col("seq").cast("string"), F.lit(",k0}.")))
     )
     texts = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat(made, F.lit("\n"), ref).alias("t")))), lambda x: x["t"])
     docs = rows.groupBy("doc_id").agg(F.concat(F.lit("\\documentclass{book}\\begin{document}\n"), F.array_join(texts, "\n\n"), F.lit("\n\\end{document}\n")).alias("text"))
@@ -50,6 +51,26 @@ def link_targets(spark, sf_dir):
     return ops.link_targets(_read(spark, sf_dir)).select(F.col("doc_id").cast("bigint").alias("doc_id"), place.alias("place"), "label", "target")
 
 
+def document_counts(spark, sf_dir):
+    """How many works, images, notes and unnumbered headers a document has."""
+    return ops.counts(ops.tree(corpus.atoms(_sources(spark, sf_dir)))).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+def derived_sections(spark, sf_dir):
+    """Sections of notes and of works after the last header, where there is something for them to hold."""
+    nodes = ops.tree(corpus.atoms(_sources(spark, sf_dir)))
+    headers = ops.events(nodes).filter("kind = 'header'").select("doc_id", "seq", "starred")
+    made = sections.appended(headers, ops.derived(ops.counts(nodes)))
+    return made.select(F.col("doc_id").cast("bigint").alias("doc_id"), "title", "anchor")
+
+
+def figure_media(spark, sf_dir):
+    """Where the image of each figure is; nothing for those that aren't anywhere."""
+    media = corpus.parsed(_sources(spark, sf_dir)).select(F.col("path").cast("bigint").alias("doc_id"), F.posexplode("media").alias("media_id", "name"))
+    listing = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("media/f"), (F.col("p_partkey") % 4).cast("string"), F.lit(".png")).alias("path")).distinct()
+    return files.located(media, listing)
+
+
 #: One text for both engines: a work for each part, of twelve types, some fields empty or absent.
 WORKS = """
 SELECT concat('k', CAST(p_partkey AS VARCHAR(19))) AS key, CASE p_partkey % 12 WHEN 0 THEN 'book' WHEN 1 THEN 'article' WHEN 2 THEN 'collection' WHEN 3 THEN 'proceedings' WHEN 4 THEN 'incollection' WHEN 5 THEN 'inproceedings'
@@ -75,17 +96,25 @@ def _sentence(text):
     return f"CASE WHEN regexp_matches({text}, '(^|[.?!])$') THEN {text} ELSE ({text}) || '.' END"
 
 
-QUERIES = {f.__name__: f for f in (parsed_anchors, link_targets, works_cited)}
+QUERIES = {f.__name__: f for f in (parsed_anchors, link_targets, document_counts, derived_sections, figure_media, works_cited)}
 _A = _H + """, o AS (SELECT x.doc_id, x.seq, last_value(fl.file IGNORE NULLS) OVER (PARTITION BY x.doc_id ORDER BY x.seq ROWS UNBOUNDED PRECEDING) AS file,
   CASE WHEN x.num THEN x.sec WHEN x.kind = 'header' THEN 'sec-' || CASE x.in_region WHEN 'front' THEN 'front-' WHEN 'back' THEN 'back-' ELSE '' END || 'unnumbered-' || x.phantom WHEN x.kind IN ('figure', 'note') THEN x.kind || '-' || x.chapter || '-' || CASE x.kind WHEN 'figure' THEN x.figure_n ELSE x.note_n END END AS anchor
  FROM x LEFT JOIN fl ON fl.doc_id = x.doc_id AND fl.seq = x.seq),
 af AS (SELECT doc_id, anchor, min(file) AS file FROM o WHERE anchor IS NOT NULL GROUP BY doc_id, anchor)
 """
+_D = _A + """, q AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'region') + CAST(count(*) FILTER (WHERE kind = 'region') > 0 AS BIGINT) AS n_works, count(DISTINCT CASE WHEN kind = 'figure' THEN seq % 5 END) AS n_media, count(*) FILTER (WHERE kind = 'note') AS n_notes,
+ count(*) FILTER (WHERE kind = 'header' AND starred) AS n_unnumbered FROM e GROUP BY doc_id)
+"""
 _PLACE = "concat_ws(': ', nullif(location, ''), publisher)"
 SQL = {
     "parsed_anchors": _A + "SELECT doc_id, anchor, file FROM af",
     "link_targets": _A + """SELECT e.doc_id, CAST(row_number() OVER (PARTITION BY e.doc_id ORDER BY e.seq) AS INTEGER) AS place, e.pointer AS label, coalesce(coalesce(format('section-{:03d}.xhtml', CAST(af.file AS BIGINT)), '') || '#' || l.anchor, '') AS target
 FROM e LEFT JOIN l ON l.doc_id = e.doc_id AND l.label = e.pointer LEFT JOIN af ON af.doc_id = l.doc_id AND af.anchor = l.anchor WHERE e.pointer IS NOT NULL""",
+    "document_counts": _D + "SELECT doc_id, n_works, n_media, n_notes, n_unnumbered FROM q",
+    "derived_sections": _D + """SELECT doc_id, 'Notes' AS title, 'sec-back-unnumbered-' || (n_unnumbered + 1) AS anchor FROM q WHERE n_notes > 0
+UNION ALL SELECT doc_id, 'Bibliography', 'sec-back-unnumbered-' || (n_unnumbered + CASE WHEN n_notes > 0 THEN 2 ELSE 1 END) FROM q WHERE n_works > 0""",
+    "figure_media": _D + """, i AS (SELECT DISTINCT doc_id, 'x/f' || seq % 5 || '.png' AS name FROM e WHERE kind = 'figure')
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY name) - 1 AS INTEGER) AS media_id, name, CASE WHEN name IN (SELECT 'x/f' || p_partkey % 4 || '.png' FROM part) THEN 'media/' || split_part(name, '/', 2) ELSE '' END AS location FROM i""",
     "works_cited": f"""WITH w AS ({WORKS}),
 c AS (SELECT DISTINCT l_orderkey AS doc_id, 'k' || l_partkey AS key FROM lineitem),
 a AS (SELECT *, CASE WHEN author <> '' THEN author ELSE editor END AS agents, CASE WHEN year <> '' THEN year ELSE day END AS y, {_sentence(_PLACE)} AS place,

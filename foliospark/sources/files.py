@@ -25,5 +25,12 @@ def with_media(media: DataFrame, files: DataFrame) -> DataFrame:
     return media.join(named, "name", "left").select("doc_id", "media_id", "name", "content")
 
 
+def located(media: DataFrame, files: DataFrame) -> DataFrame:
+    """media (doc_id, media_id, name) with location: the path of the file of that name (its last part); empty where there is none."""
+    last = F.element_at(F.split("name", "/"), -1)
+    named = files.groupBy(F.element_at(F.split("path", "/"), -1).alias("_last")).agg(F.min("path").alias("path"))
+    return media.withColumn("_last", last).join(named, "_last", "left").select("doc_id", "media_id", "name", F.coalesce("path", F.lit("")).alias("location"))
+
+
 def write_native(rows: DataFrame, path: str) -> None:
     rows.write.parquet(path)
