@@ -4,10 +4,10 @@ A document's ids end with an end id; one longer than the capacity is cut into fu
 its free room. Each piece goes where, after placing it, the sum over gaps of the squared number of open sequences with that gap is
 smallest (a sequence that is filled has no gap and leaves the sum), so that no residual gap piles up.
 
-Scale. Pieces are dealt by a hash into groups of about GROUP pieces, and each group is packed by one task, in shuffled order with the
-shortest quarter last. What a group leaves in sequences filled below FULL is returned and packed once more in groups that are as much larger;
-this repeats until one group holds the rest or a round needs as many sequences for it as the one before, so the waste doesn't grow with the number of
-groups. The pieces' ids are not moved, only their lengths.
+Scale. Pieces are dealt by a hash into groups of about GROUP pieces, and each group is packed by one task. What a group leaves in sequences filled
+below FULL is returned and packed once more, in one group just as in many; rounds take turns between falling lengths and a shuffle with the shortest
+quarter last. A round that needs no fewer sequences for the rest than the one before is put aside, and after three of them in a row the best
+placing so far stays. The pieces' ids are not moved, only their lengths.
 
 Defined results: null text counts as empty and is one piece holding the end id; a text of any length is encoded whole and cut into as many pieces
 as it takes; repeated rows and repeated doc_ids are packed separately, each row on its own; equal lengths keep the order of a shuffle with a fixed
@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, keyed
 from .word_bpe import WordBpe
 
 CAPACITY, END = 4096, 1
 GROUP, FULL = 40_000, 0.995
+#: Characters of text whose stretches are encoded together.
+SLICE = 4 << 20
 
 _encoders: dict[str, WordBpe] = {}
 
@@ -53,18 +55,17 @@ def _cut(path: str | None, capacity: int, end: int):
     def run(batches):
         bpe = encoder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for ids, texts in keyed.slices([whole], SLICE):
                 owner, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(bpe.encode(common.texts(batch))):
-                    ids += tail
-                    n = len(ids) // 4
+                for i, own in enumerate(bpe.encode(texts)):
+                    own += tail
+                    n = len(own) // 4
                     for k, a in enumerate(range(0, n, capacity)):
                         z = min(n, a + capacity)
                         owner.append(i), piece.append(k), start.append(a), length.append(z - a)
-                        crc.append(zlib.crc32(ids if z - a == n else ids[4 * a : 4 * z]))
+                        crc.append(zlib.crc32(own if z - a == n else own[4 * a : 4 * z]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    [ids.take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
@@ -104,18 +105,20 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def placing_order(lengths: np.ndarray) -> np.ndarray:
-    """Shuffled, as the rule expects of its input, but the shortest quarter last, longest first: it fills what gaps remain."""
-    shuffled = np.random.Generator(np.random.PCG64(len(lengths))).permutation(len(lengths))
+def placing_order(lengths: np.ndarray, turn: int = 1) -> np.ndarray:
+    """In even turns the longest first; in odd ones shuffled, as the rule expects of its input, but the shortest quarter last: it fills what gaps remain."""
+    if turn % 2 == 0:
+        return np.argsort(-lengths, kind="stable")
+    shuffled = np.random.Generator(np.random.PCG64(len(lengths) + turn - 1)).permutation(len(lengths))
     short = lengths[shuffled] <= (np.quantile(lengths, 0.25) if len(lengths) else 0)
     last = shuffled[short]
     return np.concatenate([shuffled[~short], last[np.argsort(-lengths[last], kind="stable")]])
 
 
-def _packed(capacity: int):
+def _packed(capacity: int, turn: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_row", kind="stable")
-        frame = frame.iloc[placing_order(frame["length"].to_numpy())]
+        frame = frame.iloc[placing_order(frame["length"].to_numpy(), turn)]
         lengths = frame["length"].to_numpy()
         bins, offsets = sum_of_squares(lengths, capacity)
         used = np.bincount(bins, weights=lengths).astype(np.int64)
@@ -130,20 +133,26 @@ def _packed(capacity: int):
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """rows (with length) plus sequence_id and offset; the lengths alone decide."""
     rows = common.written(rows.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    todo, settled, seen = rows.select("_row", "length"), [], None
+    todo, settled, best, open_count, turn, idle = rows.select("_row", "length"), [], None, None, 0, 0
     while True:
         count = max(1, -(-todo.count() // GROUP))
-        dealt = todo.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(len(settled))), F.lit(count)))
-        done = common.written(dealt.groupBy("_group").applyInPandas(_packed(capacity), "_row bigint, length bigint, _group bigint, sequence_id bigint, offset bigint, filled bigint"), "packed")
-        open_ = done.filter(F.col("filled") < FULL * capacity)
-        used = done.filter("offset = 0").agg(F.count(F.lit(1)), F.count(F.when(F.col("filled") < FULL * capacity, 1))).first()
-        if count == 1 or (seen is not None and used[0] >= seen):
-            settled.append(done)
+        dealt = todo.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(count)))
+        done = common.written(dealt.groupBy("_group").applyInPandas(_packed(capacity, turn), "_row bigint, length bigint, _group bigint, sequence_id bigint, offset bigint, filled bigint"), "packed")
+        full = F.col("filled") >= FULL * capacity
+        used, left = done.filter("offset = 0").agg(F.count(F.lit(1)), F.count(F.when(~full, 1))).first()
+        turn += 1
+        if best is not None and used >= open_count:
+            idle += 1
+            if idle == 3:
+                break
+            continue
+        # what is full stays; best places what is left
+        settled.append(done.filter(full))
+        best, open_count, idle, todo = done.filter(~full), left, 0, done.filter(~full).select("_row", "length")
+        if not left:
             break
-        settled.append(done.filter(F.col("filled") >= FULL * capacity))
-        todo, seen = open_.select("_row", "length"), used[1]
-    places = settled[0]
-    for more in settled[1:]:
+    places = best
+    for more in settled:
         places = places.union(more)
     return rows.join(places.select("_row", "sequence_id", "offset"), "_row").drop("_row")
 

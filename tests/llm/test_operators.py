@@ -244,6 +244,40 @@ def test_sum_of_squares_places_where_the_sum_is_least():
         gaps[b] = gaps.get(b, capacity) - s
 
 
+def test_words_through_bytes_equal_the_merge_list():
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(12)
+    bpe = word_bpe.WordBpe(path)
+    assert bpe.quick is not None
+    words = ["".join(r.choice("aeioulnrstéü'.,0") for _ in range(r.randint(1, 14))) for _ in range(4000)] + ["a" * n for n in range(1, 48)] + ["abab" * n for n in range(1, 12)]
+    ids, starts, sizes = bpe.table(words)
+    raw = [[p.encode() for p in word_bpe._PIECES.findall(w.lower())] for w in words]
+    want, many = bpe.words(np.frombuffer(b"".join(p for x in raw for p in x), np.uint8), np.array([len(p) for x in raw for p in x]))
+    at = np.concatenate([[0], np.cumsum(many)])[np.cumsum([0, *map(len, raw)])]
+    assert [ids[a : a + n].tolist() for a, n in zip(starts, sizes, strict=True)] == [want[i:j].tolist() for i, j in zip(at, at[1:], strict=False)]
+    # without the encoder of bytes everything goes through the library
+    bpe.quick = None
+    slow, starts_, sizes_ = bpe.table(words[:300])
+    assert [slow[a : a + n].tolist() for a, n in zip(starts_, sizes_, strict=True)] == [ids[a : a + n].tolist() for a, n in zip(starts[:300], sizes[:300], strict=True)]
+
+
+@pytest.mark.parametrize("low, high", [(700, 1400), (1, 4096), (1400, 2100)])
+def test_one_group_needs_no_more_sequences_than_many(spark, monkeypatch, low, high):
+    lengths = np.random.default_rng(low).integers(low, high + 1, 2000)
+    rows = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "doc_id int, length long")
+
+    def used(group):
+        monkeypatch.setattr(packing, "GROUP", group)
+        placed = packing.pack(rows).collect()
+        assert len(placed) == 2000 and sorted(x["doc_id"] for x in placed) == list(range(2000))
+        for _, xs in itertools.groupby(sorted(placed, key=lambda x: (x["sequence_id"], x["offset"])), key=lambda x: x["sequence_id"]):
+            assert list(itertools.accumulate((x["length"] for x in xs), initial=0))[-1] <= 4096
+        return len({x["sequence_id"] for x in placed})
+
+    once = packing.sum_of_squares(lengths[packing.placing_order(lengths)], 4096)[0].max() + 1
+    one, many = used(40_000), used(500)
+    assert one <= min(once, 1.01 * many) and one >= lengths.sum() / 4096
+
+
 def test_packing_is_gapless_and_tight(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 400)
     r = random.Random(6)
