@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import anchors as ops
 from ..operators import corpus, sections, works
+from ..operators.bibliography import checkpointed
 from ..sources import files
 from .numbering import events
 from .sections import _H
@@ -32,8 +33,13 @@ def _sources(spark, sf_dir):
     return docs.select(F.col("doc_id").cast("string").alias("path"), "text")
 
 
+def _nodes(spark, sf_dir):
+    """The syntax trees of the documents, parsed once."""
+    return checkpointed(ops.tree(corpus.atoms(_sources(spark, sf_dir))))
+
+
 def _read(spark, sf_dir):
-    return ops.events(ops.tree(corpus.atoms(_sources(spark, sf_dir))))
+    return checkpointed(ops.events(_nodes(spark, sf_dir)))
 
 
 def parsed_anchors(spark, sf_dir):
@@ -53,12 +59,12 @@ def link_targets(spark, sf_dir):
 
 def document_counts(spark, sf_dir):
     """How many works, images, notes and unnumbered headers a document has."""
-    return ops.counts(ops.tree(corpus.atoms(_sources(spark, sf_dir)))).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return ops.counts(_nodes(spark, sf_dir)).withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def derived_sections(spark, sf_dir):
     """Sections of notes and of works after the last header, where there is something for them to hold."""
-    nodes = ops.tree(corpus.atoms(_sources(spark, sf_dir)))
+    nodes = _nodes(spark, sf_dir)
     headers = ops.events(nodes).filter("kind = 'header'").select("doc_id", "seq", "starred")
     made = sections.appended(headers, ops.derived(ops.counts(nodes)))
     return made.select(F.col("doc_id").cast("bigint").alias("doc_id"), "title", "anchor")

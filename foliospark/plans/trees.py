@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import trees as ops
+from ..operators.bibliography import checkpointed
 from ..sources import markup
 
 #: Elements that lay out text only.
@@ -12,7 +13,8 @@ INLINE = ("a", "b", "div", "nav", "p", "ul")
 
 
 def _tree(spark, sf_dir):
-    return ops.nodes(markup.tokens(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    """The nodes of all pages; written once, as most queries read them several times."""
+    return checkpointed(ops.nodes(markup.tokens(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
 
 
 def _paged(rows):
