@@ -119,6 +119,8 @@ def groups(docs: DataFrame, verify: bool = True) -> DataFrame:
         key = F.struct("recipe", F.coalesce("whole", F.lit("")).alias("whole"))
     rows = rows.withColumn("_key", key)
     best = rows.groupBy("_key").agg(F.max(F.struct("doc_id", "_row")).alias("_best"), F.count(F.lit(1)).alias("group_size"))
+    # from a table, so that both sides of the join are dealt anew and adaptive execution may split a group that holds many rows
+    best = common.cleanly(best, "best")
     return rows.join(best, "_key").select("doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best._row")).alias("kept"), "text_sha256")
 
 
