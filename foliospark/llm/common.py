@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,3 +91,27 @@ def small_batches(spark: SparkSession) -> None:
 def texts(batch, name: str = "text") -> list[str]:
     """A string column of an Arrow batch as Python strings; null counts as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+
+
+_FAR = np.uint64(0xD6E8FEB86659FD93)
+#: Values of the 256 bytes at 64 places of a word, whose sums are the hashes of words; those of A-Z are those of a-z, blanks have none.
+_BYTES = np.random.Generator(np.random.PCG64(78)).integers(1, (1 << 64) - 1, size=(64, 256), dtype=np.uint64)
+_BYTES[:, ord("A") : ord("Z") + 1] = _BYTES[:, ord("a") : ord("z") + 1]
+_BYTES[:, [32, *range(9, 14)]] = 0
+_BYTES = _BYTES.reshape(-1)
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first place of each word of UTF-8 bytes; bytes of A-Z count as those of a-z."""
+    blank = _BYTES[data] == 0
+    start = np.flatnonzero(~blank & np.append(True, blank[:-1]))
+    if not len(start):
+        return np.empty(0, dtype=np.uint64), start
+    data = data[start[0] :]
+    place = np.arange(start[0], start[0] + len(data)) - np.repeat(start, np.diff(np.append(start, start[0] + len(data))))
+    values = _BYTES[(place & 63) << 8 | data]
+    far = np.flatnonzero(place > 63)
+    if len(far):
+        values[far] *= (place[far] >> 6).astype(np.uint64) * _FAR * np.uint64(2) + np.uint64(1)
+    hashes = np.add.reduceat(values, start - start[0])
+    return hashes ^ (hashes >> np.uint64(32)), start

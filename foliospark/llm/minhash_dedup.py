@@ -46,19 +46,8 @@ AGREE, STARS = 169, 4
 PART, SLICE, SALTS = 256, 2048, 16
 _SHIFTS = np.arange(K, dtype=np.uint32)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
-#: Words whose hashes a task remembers.
-REMEMBERED = 500_000
-
-
-class WordHashes(dict):
-    """64-bit hash of a word, remembered; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self[word] = value
-        return value
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 18
 
 
 def words(text: str | None) -> list[bytes]:
@@ -66,6 +55,18 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def hashed(texts: list[str]):
+    """For each text in turn the 64-bit hashes of its words, by a table over bytes; many short texts are hashed at once."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        held.append((text or "").encode())
+        size += len(held[-1])
+        if size >= PIECE or i + 1 == len(texts):
+            hashes, start = common.word_hashes(np.frombuffer(b" ".join([*held, b""]), dtype=np.uint8))
+            yield from np.split(hashes, np.searchsorted(start, np.cumsum([len(x) + 1 for x in held]))[:-1])
+            held, size = [], 0
+
+
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the runs of width words; of the whole sequence if it is shorter; order matters."""
     n = len(hashes)
@@ -111,15 +112,13 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 def _signed(width: int):
     def run(batches):
-        known = WordHashes()
         for batch in batches:
             counts, marks, keys, sketches = [], [], [], []
-            for text in common.texts(batch):
-                w = words(text)
-                if not w:
+            for w in hashed(common.texts(batch)):
+                if not len(w):
                     counts.append(0), marks.append(None), keys.append([]), sketches.append(None)
                     continue
-                sets = np.unique(shingle_hashes(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), width))
+                sets = np.unique(shingle_hashes(w, width))
                 counts.append(len(sets))
                 marks.append(hashlib.blake2b(sets.tobytes(), digest_size=16).digest())
                 sig = signature(((sets * _M2) >> np.uint64(32)).astype(np.uint32))
@@ -196,9 +195,12 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(state.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
         step = state.select("node", "component").join(near, state["node"] == near["a"]).select("node", F.least("component", "near").alias("next"), "component")
+        # from a table, so that both sides of the join are dealt anew and adaptive execution may split a root that many nodes point to
+        step = common.written(step, "steps")
         jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
         after = common.written(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("component"), F.col("component").alias("before")), "labels")
         common.removed(state)
+        common.removed(step)
         state = after
         if not after.filter(F.col("component") != F.col("before")).head(1):
             common.removed(both)
@@ -209,11 +211,8 @@ def _met(width: int, percent: int):
     """Rows sorted by root, part, slice and role to links: the strangers of a part, then all members of a slice."""
 
     def run(batches):
-        known = WordHashes()
-
         def numbers(text: str) -> np.ndarray:
-            w = words(text)
-            return np.unique(shingle_hashes(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), width))
+            return np.unique(shingle_hashes(next(hashed([text])), width))
 
         at, held, table, sizes, done = None, [], None, None, set()
         for batch in batches:
