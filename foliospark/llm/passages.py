@@ -26,6 +26,9 @@ elements to both sides, which hold an exact passage for certain. Only pairs that
 left out. What is alike leaves the task and is confirmed as any other. So around each element all passages that are alike are connected by
 reported ones; those that are connected already aren't expanded into all pairs.
 
+Copies. Texts that are equal but for A-Z form classes first (by a digest of 256 bits); only the smallest document of a class goes through all this,
+and each other one repeats the whole of its text.
+
 Result: one row for each document and passage: where it lies, and the passage of a smaller document that it repeats.
 
 Defined results: null, empty and short texts have no passages; texts of any length are read whole; repeated rows that share a doc_id are one
@@ -44,6 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .common import word_hashes
 from .minhash_dedup import shingle_hashes
 
 FUNCTIONS, RUN, SHORTEST, PERCENT = 5, 5, 50, 80
@@ -60,28 +64,6 @@ STEP, MOST = 1 << 16, 1 << 18
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, size=FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
-#: Values of the 256 bytes at 64 places of a word, whose sums are the hashes of words; those of A-Z are those of a-z, blanks have none.
-_BYTES = np.random.Generator(np.random.PCG64(78)).integers(1, (1 << 64) - 1, size=(64, 256), dtype=np.uint64)
-_BYTES[:, ord("A") : ord("Z") + 1] = _BYTES[:, ord("a") : ord("z") + 1]
-_BYTES[:, [32, *range(9, 14)]] = 0
-_BYTES = _BYTES.reshape(-1)
-
-
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first place of each word of UTF-8 bytes; bytes of A-Z count as those of a-z."""
-    blank = _BYTES[data] == 0
-    start = np.flatnonzero(~blank & np.append(True, blank[:-1]))
-    if not len(start):
-        return np.empty(0, dtype=np.uint64), start
-    data = data[start[0] :]
-    place = np.arange(start[0], start[0] + len(data)) - np.repeat(start, np.diff(np.append(start, start[0] + len(data))))
-    values = _BYTES[(place & 63) << 8 | data]
-    far = np.flatnonzero(place > 63)
-    if len(far):
-        values[far] *= (place[far] >> 6).astype(np.uint64) * _MIX * np.uint64(2) + np.uint64(1)
-    hashes = np.add.reduceat(values, start - start[0])
-    return hashes ^ (hashes >> np.uint64(32)), start
-
 
 def elements(texts: list[str], run: int):
     """For each text in turn the hashes of its runs of words; none if it has fewer words. Many short texts are hashed at once."""
@@ -788,10 +770,28 @@ def hot_keys(text: DataFrame, run: int, shortest: int) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
+def copies(text: DataFrame) -> DataFrame:
+    """doc_id, rep: documents whose texts are equal but for A-Z, and the smallest of each class; documents of one row only."""
+    marks = text.select("doc_id", F.sha2(common.lower_ascii(F.col("text")).cast("binary"), 256).alias("mark"))
+    marks = marks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("mark").alias("mark")).filter("n = 1").drop("n")
+    marks = common.cleanly(marks, "marks")
+    classes = marks.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark", "rep")
+    # from a table, so that a class of many may be dealt over several tasks
+    out = common.cleanly(marks.join(common.cleanly(classes, "classes"), "mark").filter("doc_id <> rep").select("doc_id", "rep"), "copies")
+    common.removed(marks)
+    return out
+
+
 def passages(docs: DataFrame, run: int = RUN, shortest: int = SHORTEST, percent: int = PERCENT) -> DataFrame:
     """doc_id, start_word, end_word, rep_doc_id, rep_start_word, rep_end_word: passages and what they repeat (ends exclusive)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    # equal texts are one text: the others repeat all of it
+    same = copies(text)
+    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    whole_ = text.join(same, "doc_id").select("doc_id", F.lit(0).alias("start_word"), words.alias("end_word"), F.col("rep").alias("rep_doc_id"), F.lit(0).alias("rep_start_word"), words.alias("rep_end_word"))
+    whole_ = common.cleanly(whole_.filter(F.col("end_word") >= shortest), "whole")
+    text = text.join(same, "doc_id", "left_anti")
     hot, second = hot_keys(text, run, shortest)
     rows = windows(text, run, shortest, hot).repartition("key").sortWithinPartitions("key")
     joined = common.cleanly(rows.mapInArrow(_joined(second), f"a {kind}, b {kind}, key bigint, at int, low int, high int, b_at int, b_low int, b_high int"), "joined")
@@ -821,7 +821,8 @@ def passages(docs: DataFrame, run: int = RUN, shortest: int = SHORTEST, percent:
     common.removed(whole), common.removed(again), common.removed(texts)
     flip = found.filter("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("b_from").alias("a_from"), F.col("b_to").alias("a_to"), F.col("a_from").alias("b_from"), F.col("a_to").alias("b_to"))
     found = found.filter("a > b").union(flip)
-    return found.select(F.col("a").alias("doc_id"), F.col("a_from").alias("start_word"), F.col("a_to").alias("end_word"), F.col("b").alias("rep_doc_id"), F.col("b_from").alias("rep_start_word"), F.col("b_to").alias("rep_end_word")).distinct()
+    found = found.select(F.col("a").alias("doc_id"), F.col("a_from").alias("start_word"), F.col("a_to").alias("end_word"), F.col("b").alias("rep_doc_id"), F.col("b_from").alias("rep_start_word"), F.col("b_to").alias("rep_end_word")).distinct()
+    return found.union(whole_)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
