@@ -400,6 +400,41 @@ def test_context_factors_are_learned(spark):
     assert got[0] >= 0.7 and got[2] >= 0.5 and got[1] < got[0] - 0.2 and got[3] < 0.2
 
 
+def test_toxicity_query_equals_brute_force(spark):
+    """Every score of the query from the learned lexicon by plain distances of all words to all terms."""
+    docs = common.documents(spark, SF)
+    lexicon, seen = toxicity.fitted(docs, common.labels(spark, SF)), {}
+    assert lexicon.terms and any(toxicity.allowed(t) for t, _ in lexicon.terms)
+
+    def hit(w):
+        if w not in seen:
+            tries = [(distance(t, w[:n]), k) for k, (t, stem) in enumerate(lexicon.terms) for n in (range(max(0, len(t) - 2), min(len(w), len(t) + 2) + 1) if stem else [len(w)] if abs(len(w) - len(t)) <= 2 else []) if set(t) & set(w)]
+            near = min(((e, k) for e, k in tries if e <= toxicity.allowed(lexicon.terms[k][0])), default=None)
+            seen[w] = None if near is None or (near[0] and w in lexicon.own) else near
+        return seen[w]
+
+    def score(text):
+        words, weights = text.split(), []
+        for i, word in enumerate(words):
+            for w in re.findall(r"[\w@$]+", word.lower()):
+                if hit(w):
+                    e, k = hit(w)
+                    window = words[max(0, i - 8) : i + 9]
+                    opened = any(x[0] in "\"'“”„‚‘«»‹›" for x in words[max(0, i - 8) : i + 1])
+                    closed = any((y := x.rstrip(".,;:!?")) and y[-1] in "\"'“”’‘«»‹›" for x in words[i : i + 9])
+                    near = {t for x in window for t in re.findall(r"[\w@$]+", x.lower())}
+                    marks = (opened and closed, opened and bool(near & toxicity.REPORTING), bool(near & toxicity.ADDRESS))
+                    weights.append(lexicon.weights[k] * 0.8**e * math.prod(f for m, f in zip(marks, lexicon.factors, strict=True) if m))
+        x = [1.0, 1.0, min(1.0, max(weights) / 6), min(1.0, sum(weights) / 30), min(1.0, 20 * len(weights) / (len(words) + 20))] if weights else [1.0, 0.0, 0.0, 0.0, 0.0]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, lexicon.curve, strict=True))))
+
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    rows = toxicity.query(spark, SF).collect()
+    assert len(rows) == len(texts) == 200 and sum(r["predicted"] for r in rows) > 3
+    for r in rows:
+        assert abs(r["score"] - score(texts[r["doc_id"]])) < 1e-9 and r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
 def test_toxic_on_held_out_rows(spark):
     sf = SF.replace("0.001", "0.1")
     rows = toxicity.query(spark, sf).join(common.labels(spark, sf), "doc_id").filter("held_out AND toxic IS NOT NULL").collect()
@@ -684,6 +719,20 @@ def test_secrets_of_any_form_are_candidates(spark):
     assert sum(i in found for i, (_, y) in enumerate(lines) if y) >= 0.8 * 80 and sum(i in found for i, (_, y) in enumerate(lines) if not y) <= 3
 
 
+def test_candidates_have_no_bounds(spark):
+    texts = {
+        "acct 12345678901234567890 ok": {"12345678901234567890"}, "no 12345678901234567890123 ok": {"12345678901234567890123"}, "tel 01 23 45 67 89 01 23 45 ok": {"01 23 45 67 89 01 23 45"},
+        "tel 1 23 45 67 89 ok": {"1 23 45 67 89"}, "card no 4539 1488 0343 6467 9 ok": {"4539 1488 0343 6467 9"}, "a [at] b [dot] com": {"a [at] b [dot] com"}, "password: abc12 ok": {"abc12"},
+        "ip fe80::1ff:fe23:4567:890a ok": {"fe80::1ff:fe23:4567:890a"}, "ping ::1 ok": {"::1"}, "net 2001:db8:: ok": {"2001:db8::"}, "std::vector and 3 of 4.5": set(), "(030) 12 34 56 7 8 9": {"(030) 12 34 56 7 8 9"}, "9 " * 5000 + "x": {("9 " * 5000)[:-1]},
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, t string")
+    got = {x["doc_id"]: {c["text"] for c in x["raw"]} for x in docs.withColumn("raw", F.expr(pii._generated())).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    redacted = [x["text"] for x in pii.redacted(docs.withColumnRenamed("t", "text")).orderBy("doc_id").collect()]
+    assert redacted[0] == "acct [ACCOUNT] ok" and redacted[2] == redacted[3] == "tel [PHONE] ok" and redacted[4] == "card no [CARD] ok" and redacted[5] == "[EMAIL]" and redacted[6] == "password: [SECRET] ok" and redacted[7] == "ip [IP] ok"
+    assert redacted[10] == "std::vector and 3 of 4.5" and redacted[12] == list(texts)[12]
+
+
 def test_trees_in_sql_give_the_same_values(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(400, 3))
