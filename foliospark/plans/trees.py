@@ -14,7 +14,7 @@ INLINE = ("a", "b", "div", "nav", "p", "ul")
 
 def _tree(spark, sf_dir):
     """The nodes of all pages; written once, as most queries read them several times."""
-    return checkpointed(ops.nodes(markup.tokens(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
+    return checkpointed(ops.nodes(markup.tokens(markup.dealt(spark.read.parquet(f"{sf_dir}/pages.parquet")))))
 
 
 def _paged(rows):

@@ -12,6 +12,16 @@ RAW = ("script", "style")
 TOKEN = r"""(?si)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[!?][^>]*>|</?[a-z][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*+>|[^<]+|<"""
 
 
+#: Bytes of pages that a task takes; their tags weigh many times as much.
+TASK_BYTES = 8 << 20
+
+
+def dealt(pages: DataFrame, doc_id: str = "page_id", text: str = "html") -> DataFrame:
+    """Pages by id over as many tasks as their bytes call for, however few row groups hold them; what follows by page needs no other shuffle."""
+    size = pages.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
+    return pages.select(doc_id, text).repartition(max(pages.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), doc_id)
+
+
 def tokens(pages: DataFrame, doc_id: str = "page_id", text: str = "html") -> DataFrame:
     """doc_id, seq, role (open, close, leaf), kind (element, raw, text, other), name, text; a null page has none."""
     rows = pages.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("seq", "text"))
