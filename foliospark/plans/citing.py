@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,8 +55,7 @@ def cite_last_names(spark, sf_dir):
 def cite_modes(spark, sf_dir):
     """The same citations in every mode."""
     rows = ops.grouped(_cited(spark, sf_dir).select("doc_id", (F.col("ord") * 1000 + F.col("key")).alias("seq"), "agents", F.concat("year", "suffix").alias("label")))
-    modes = [ops.written(rows, m).withColumn("mode", F.lit(m)) for m in ("author_in_parentheses", "textual", "year", "author", "bare")]
-    return reduce(lambda a, b: a.unionByName(b), modes).select("doc_id", "mode", "citation")
+    return ops.written_in(rows, ("author_in_parentheses", "textual", "year", "author", "bare"))
 
 
 def bibliography(spark, sf_dir):

@@ -56,3 +56,19 @@ def test_results_of_large_batches_come_in_parts():
     made = corpus._each(lambda t, inc: [("f", t)], corpus.PAGES, None)(iter([batch]))
     sizes = [b.num_rows for b in made]
     assert sum(sizes) == 100 and max(sizes) <= 1 + corpus.HELD // len(text)
+
+
+def test_modes_are_made_in_one_pass(spark):
+    from foliospark.plans import citing
+
+    plan = citing.cite_modes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 0 and plan.count("l_orderkey") == citing.cite_groups(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("l_orderkey")
+
+
+def test_pages_are_dealt_by_their_bytes(spark, monkeypatch):
+    from foliospark.plans import trees
+    from foliospark.sources import markup
+
+    monkeypatch.setattr(markup, "TASK_BYTES", 10_000)
+    size = sum(len(r.html.encode()) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect())
+    assert trees._tree(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-size // 10_000) > 4
