@@ -1,13 +1,15 @@
 """Files spliced into others: an ordered walk of a graph that may have cycles.
 
-lines: file, pos, text, include; a line with include stands for the named file. Each round joins what is still to be read with its lines and carries the
-places on the way as an array, whose order is the order of the text. A file that is being read already is cut; its line and those of files that
+lines: file, pos, text, include; a line with include stands for the named file. Each round joins the files that are reached with those that they include and
+carries the places on the way as a text, whose order is the order of the lines. A file that is being read already is cut; its line and those of files that
 aren't there stay as rows with an error. There is one round for each level of nesting.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bibliography import checkpointed
@@ -22,21 +24,38 @@ def resolved(lines: DataFrame, listing: DataFrame) -> DataFrame:
     return lines.join(best, "include", "left")
 
 
+def _step(pos: Column) -> Column:
+    """A place as text whose order is that of the places, so that ways are compared as texts: the number of digits comes first."""
+    digits = pos.cast("string")
+    return F.concat(F.chr(F.length(digits) + 96), digits)
+
+
 def spliced(lines: DataFrame, roots: DataFrame) -> DataFrame:
-    """root, line (from 1), file, text, depth, error (missing, cycle or null) of each root (file) with all that it includes. lines: see resolved()."""
-    lines = checkpointed(lines.select(F.col("file").alias("_file"), "pos", "text", "include", "target"))
-    level = roots.select(F.col("file").alias("root"), F.col("file").alias("_at"), F.array().cast("array<int>").alias("_way"), F.array("file").alias("_open"))
-    parts = []
+    """root, line (from 1), file, text, depth, error (missing, cycle or null) of each root (file) with all that it includes. lines: see resolved(); pos from 0 on.
+
+    The rounds walk from file to file only, by numbers of files; texts meet the files that were reached once, at the end. Files that lead nowhere don't
+    carry what is open.
+    """
+    ids = checkpointed(lines.select("file").union(roots.select("file")).distinct().select("file", F.monotonically_increasing_id().alias("_id")))
+    links = lines.filter("target IS NOT NULL").select("file", "pos", "target").join(ids, "file").select(F.col("_id").alias("_file"), "pos", F.col("target").alias("file"))
+    links = links.join(ids, "file", "left").select("_file", "pos", F.col("_id").alias("_target"), "file")
+    leads = links.select(F.col("_file").alias("_target")).distinct().withColumn("_leads", F.lit(True))
+    links = checkpointed(links.join(leads, "_target", "left").select("_file", "pos", "_target", F.coalesce("_leads", F.lit(False)).alias("_leads")))
+    level = roots.join(ids, "file").select(F.col("file").alias("root"), F.col("_id").alias("_at"), F.lit("").alias("_way"), F.array("_id").alias("_open"), F.lit(1).alias("depth"))
+    reached, cut = [], []
     while True:
-        rows = level.join(lines, F.col("_at") == F.col("_file")).withColumn("_way", F.concat("_way", F.array(F.col("pos").cast("int")))).drop("_file", "pos")
-        rows = rows.withColumn("error", F.when(F.col("include").isNotNull() & F.col("target").isNull(), "missing").when(F.array_contains("_open", F.col("target")), "cycle"))
-        rows = checkpointed(rows)
-        parts.append(rows.filter("include IS NULL OR error IS NOT NULL"))
-        level = rows.filter("include IS NOT NULL AND error IS NULL").select("root", F.col("target").alias("_at"), "_way", F.concat("_open", F.array("target")).alias("_open"))
+        level = checkpointed(level)
         if not level.head(1):
             break
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+        reached.append(level.drop("_open"))
+        rows = level.filter("_open IS NOT NULL").join(links, F.col("_at") == F.col("_file")).withColumn("_cycle", F.array_contains("_open", F.col("_target")))
+        cut.append(rows.filter("_cycle").select("root", "_at", F.concat("_way", _step(F.col("pos"))).alias("_way"), "depth"))
+        opened = F.when(F.col("_leads"), F.concat("_open", F.array("_target")))
+        level = rows.filter("NOT _cycle").select("root", F.col("_target").alias("_at"), F.concat("_way", _step(F.col("pos"))).alias("_way"), opened.alias("_open"), (F.col("depth") + 1).alias("depth"))
+    if not reached:
+        reached, cut = [level.drop("_open")], [level.drop("_open")]
+    own = lines.filter("target IS NULL").join(ids, "file").select(F.col("_id").alias("_at"), "file", "pos", F.when(F.col("include").isNull(), F.col("text")).alias("text"), F.when(F.col("include").isNotNull(), "missing").alias("error"))
+    found = reduce(DataFrame.union, reached).join(own, "_at").select("root", F.concat("_way", _step(F.col("pos"))).alias("_way"), "file", "text", "depth", "error")
+    cycles = reduce(DataFrame.union, cut).join(ids.withColumnRenamed("_id", "_at"), "_at").select("root", "_way", "file", F.lit(None).cast("string").alias("text"), "depth", F.lit("cycle").alias("error"))
     line = F.row_number().over(Window.partitionBy("root").orderBy("_way"))
-    return out.select("root", line.alias("line"), F.col("_at").alias("file"), F.when(F.col("include").isNull(), F.col("text")).alias("text"), F.size("_open").alias("depth"), "error")
+    return found.union(cycles).select("root", line.alias("line"), "file", "text", "depth", "error")

@@ -72,3 +72,17 @@ def test_pages_are_dealt_by_their_bytes(spark, monkeypatch):
     monkeypatch.setattr(markup, "TASK_BYTES", 10_000)
     size = sum(len(r.html.encode()) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect())
     assert trees._tree(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-size // 10_000) > 4
+
+
+def test_walks_of_files_carry_no_texts(spark, monkeypatch):
+    from foliospark.operators import includes
+
+    kept, checkpointed = [], includes.checkpointed
+    monkeypatch.setattr(includes, "checkpointed", lambda df: kept.append(df.columns) or checkpointed(df))
+    lines = [("a", i, f"t{i}", None) for i in range(12) if i != 10] + [("a", 10, None, "b"), ("b", 1, "x", None), ("b", 2, None, "a"), ("b", 3, None, "none")]
+    frame = spark.createDataFrame(lines, "file string, pos int, text string, include string")
+    roots = spark.createDataFrame([("a",)], "file string")
+    got = sorted(map(tuple, includes.spliced(includes.resolved(frame, frame.select("file").distinct()), roots).collect()), key=lambda r: r[1])
+    want = [("a", f"t{i}", 1, None) for i in range(10)] + [("b", "x", 2, None), ("b", None, 2, "cycle"), ("b", None, 2, "missing"), ("a", "t11", 1, None)]
+    assert [r[2:] for r in got] == want and [r[1] for r in got] == list(range(1, 15))
+    assert not any("text" in columns for columns in kept)
