@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.kernels.document import read_document
 from foliospark.kernels.lexer import lex, lex_runs
@@ -86,3 +87,66 @@ def test_walks_of_files_carry_no_texts(spark, monkeypatch):
     want = [("a", f"t{i}", 1, None) for i in range(10)] + [("b", "x", 2, None), ("b", None, 2, "cycle"), ("b", None, 2, "missing"), ("a", "t11", 1, None)]
     assert [r[2:] for r in got] == want and [r[1] for r in got] == list(range(1, 15))
     assert not any("text" in columns for columns in kept)
+
+
+def test_marks_braces_and_names_are_read_at_once(monkeypatch):
+    from foliospark.kernels.lexer import Lexer
+
+    calls, raw = [], Lexer.raw
+    monkeypatch.setattr(Lexer, "raw", lambda self: calls.append(1) or raw(self))
+    lex_runs("\\begin{itemize}" + "50\\% of {it} \\& that\nline " * 1000 + "\\end{itemize}")
+    assert len(calls) < 10
+
+
+MARKED = [r"a \% b\%c \{d\} \% {e}", "\\&\n\\& %x\n\\$ ", r"\def\%{Q}a \% b{\let\&=a\&}\&", r"{\catcode`\%=12 \% %}\%", r"\begin{a b}x\end{a b}", r"\begin{figure*}\%\end{figure*}", "{a} {b}\n{c}\n\n{d}", r"\\% gone", r"a\emph{b}\% c"]
+
+
+@pytest.mark.parametrize("text", MARKED)
+def test_marks_give_the_same_trees(text):
+    assert rows(parse(lex_runs(text))) == rows(parse(lex(text)))
+
+
+@pytest.mark.parametrize("text", [*ODD, *MARKED])
+def test_rows_of_runs_stand_for_the_same_nodes(text):
+    made = rows(parse(lex_runs(text, {"f": "in side"})), runs=True)
+    apart = []
+    for me, last, parent, depth, order, kind, name, shown, arg, place in made:
+        words = [x for w in shown.split(" ") for x in (("plain", w), ("white", ""))][:-1] if kind == "words" else [(kind, shown)]
+        apart += [(me + i, me + i if kind == "words" else last, parent, depth, order + i, k, name, t, arg, place) for i, (k, t) in enumerate(words)]
+    assert apart == rows(parse(lex_runs(text, {"f": "in side"})))
+    assert len(rows(parse(lex_runs("one two three " * 100)), runs=True)) < 5
+
+
+def test_tokens_and_nodes_are_counted_by_runs(spark):
+    from foliospark.operators import corpus
+    from foliospark.plans import kernels
+
+    small = "/root/testdata/sf0.001"
+    sources = kernels._sources(spark, small)
+    assert corpus.tokens(sources, runs=True).count() * 10 < corpus.tokens(sources).count()
+    for query in (kernels.lex_tex, kernels.parse_tex):
+        plan = query(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert "words" in plan
+    want = {(r.path, r.kind): (r.n, r.deepest) for r in corpus.atoms(sources).groupBy("path", "kind").agg(F.count("*").alias("n"), F.max("depth").alias("deepest")).collect()}
+    assert {(r.path, r.kind): (r.n, r.deepest) for r in kernels.parse_tex(spark, small).collect()} == want
+    tokens = {r.path: r["count"] for r in corpus.tokens(sources).groupBy("path").count().collect()}
+    assert {r.path: r.n_tokens for r in kernels.lex_tex(spark, small).collect()} == tokens
+
+
+def test_plain_fields_take_no_lexer(monkeypatch):
+    from foliospark.kernels import bibtex
+
+    text = "@book{k, title = b # { Some title}, note = {x}, author = {von B, Al and Roe, Jane}, location = {A and B}}"
+    want = [(0, "k", "book", "title", "literal", "Some title"), (0, "k", "book", "note", "literal", "x"), (0, "k", "book", "author", "agents", "von B Al; Roe Jane"), (0, "k", "book", "location", "list", "A|B")]
+    calls, read = [], bibtex.read_inlines
+    monkeypatch.setattr(bibtex, "read_inlines", lambda t: calls.append(t) or read(t))
+    assert bibtex.parse_bib(text) == want and not calls
+    for odd in ("a  b", "a\nb", "``a''", "a--b", "{A} b", r"\'e", "a\tb", "~", "", " a "):
+        assert bibtex.read(odd) == bibtex.plain(read(odd))
+
+
+def test_bibliographies_are_parsed_once(spark):
+    from foliospark.plans import kernels
+
+    plan = kernels.bib_resolved(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
