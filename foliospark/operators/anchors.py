@@ -17,6 +17,11 @@ LEVELS = {"part": 1, "chapter": 2, "addchap": 2, "section": 3, "addsec": 3, "sub
 REGIONS = {"frontmatter": "front", "mainmatter": "main", "appendix": "back", "backmatter": "back"}
 
 
+#: Patterns of the names whose text is read, and of all that events() and counts() read.
+TEXTS = "label|ref|nocite|parencite|textcite|autocite|cite.*|includegraphics"
+NAMED = "|".join((TEXTS, *LEVELS, *REGIONS, "figure|table|footnote|ex|xlist"))
+
+
 def _mapped(name: Column, values: dict) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for p in values.items() for x in p)), name)
 

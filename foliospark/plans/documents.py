@@ -34,8 +34,8 @@ def _sources(spark, sf_dir):
 
 
 def _nodes(spark, sf_dir):
-    """The syntax trees of the documents, parsed once."""
-    return checkpointed(ops.tree(corpus.atoms(_sources(spark, sf_dir))))
+    """What anchors and counts need of the syntax trees of the documents, parsed once."""
+    return checkpointed(ops.tree(corpus.atoms(_sources(spark, sf_dir), named=ops.NAMED, whole=ops.TEXTS)))
 
 
 def _read(spark, sf_dir):

@@ -150,3 +150,39 @@ def test_bibliographies_are_parsed_once(spark):
 
     plan = kernels.bib_resolved(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+TREE = r"\documentclass{book}\begin{document}one two \chapter[s \label{in}]{A \emph{b \label{x_{y} z}}} words \begin{figure}\includegraphics[w \emph{x}]{x/f}\caption{c \ref{x y}}\end{figure}\citet[see \emph{p}][q]{k, l}{loose \label{m}}\begin{exe}\ex a\begin{xlist}\ex b\end{xlist}\end{exe}\end{document}"
+
+
+def test_rows_of_named_nodes():
+    import re
+
+    from foliospark.operators import anchors
+
+    tree = parse(lex_runs(TREE))
+    every, some = rows(tree), rows(tree, named=re.compile(anchors.NAMED), whole=re.compile(anchors.TEXTS))
+    spans = [r for r in every if r[5] in ("command", "group") and re.fullmatch(anchors.TEXTS, r[6])]
+    assert some == [r for r in every if r[3] == 0 or r[5] in ("command", "group") and re.fullmatch(anchors.NAMED, r[6]) or any(s[0] < r[0] <= s[1] for s in spans)]
+    assert len(some) < len(every)
+
+
+def test_events_and_counts_of_named_nodes(spark):
+    from foliospark.operators import anchors, corpus
+
+    sources = spark.createDataFrame([("1", TREE), ("2", "\\begin{document}plain text\\end{document}"), ("3", "\\emph{bad")], "path string, text string")
+    every = anchors.tree(corpus.atoms(sources))
+    some = anchors.tree(corpus.atoms(sources, named=anchors.NAMED, whole=anchors.TEXTS))
+    for f in (anchors.events, anchors.counts):
+        got = sorted(map(str, f(some).collect()))
+        assert got and got == sorted(map(str, f(every).collect()))
+
+
+def test_trees_are_kept_without_running_text(spark, monkeypatch):
+    from foliospark.plans import documents
+
+    kept = []
+    monkeypatch.setattr(documents, "checkpointed", lambda df: kept.append(df) or df)
+    documents._nodes(spark, "/root/testdata/sf0.001")
+    assert kept[0].filter("depth > 2 AND kind = 'white'").count() == 0
+    assert kept[0].filter("kind = 'command' AND name = 'emph'").count() == 0
