@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import anchors as ops
 from ..operators import corpus, sections, works
-from ..operators.bibliography import checkpointed
+from ..operators.bibliography import written
 from ..sources import files
 from .numbering import events
 from .sections import _H
@@ -35,11 +35,11 @@ def _sources(spark, sf_dir):
 
 def _nodes(spark, sf_dir):
     """What anchors and counts need of the syntax trees of the documents, parsed once."""
-    return checkpointed(ops.tree(corpus.atoms(_sources(spark, sf_dir), named=ops.NAMED, whole=ops.TEXTS)))
+    return written(ops.tree(corpus.atoms(_sources(spark, sf_dir), named=ops.NAMED, whole=ops.TEXTS)))
 
 
 def _read(spark, sf_dir):
-    return checkpointed(ops.events(_nodes(spark, sf_dir)))
+    return written(ops.events(_nodes(spark, sf_dir)))
 
 
 def parsed_anchors(spark, sf_dir):

@@ -182,7 +182,27 @@ def test_trees_are_kept_without_running_text(spark, monkeypatch):
     from foliospark.plans import documents
 
     kept = []
-    monkeypatch.setattr(documents, "checkpointed", lambda df: kept.append(df) or df)
+    monkeypatch.setattr(documents, "written", lambda df: kept.append(df) or df)
     documents._nodes(spark, "/root/testdata/sf0.001")
     assert kept[0].filter("depth > 2 AND kind = 'white'").count() == 0
     assert kept[0].filter("kind = 'command' AND name = 'emph'").count() == 0
+
+
+def test_shared_trees_are_columns(spark):
+    from foliospark.plans import documents
+
+    assert documents._nodes(spark, "/root/testdata/sf0.001").inputFiles()
+
+
+def test_words_in_braces_and_brackets_are_taken_at_once(monkeypatch):
+    from foliospark.kernels.parser import Parser
+
+    calls, node = [], Parser.node
+    monkeypatch.setattr(Parser, "node", lambda self: calls.append(1) or node(self))
+    made = parse(lex_runs(r"\section[short]{One more}\label{a}"))
+    assert len(calls) == 2 and rows(made) == rows(parse(lex(r"\section[short]{One more}\label{a}")))
+
+
+@pytest.mark.parametrize("text", ["a\n\n\nb", "a\n\n b", "a\n\n%x\nb", "a\n\n", "\n\na", r"\def\par{P}a" + "\n\nb", "\\emph{a}\n\n\\emph{b}", r"\section[a]b{c}", r"\section[a]]{c}", r"\section[[a]]{c}", r"\section[]{c}"])
+def test_blank_lines_and_brackets_as_before(text):
+    assert rows(parse(lex_runs(text))) == rows(parse(lex(text)))
