@@ -191,3 +191,17 @@ def test_snippets():
     import unicodedata
 
     assert unicodedata.normalize("NFC", plain(read_inlines(r"B{\"a}r \& \emph{co}"))) == unicodedata.normalize("NFC", "B\u00e4r & co")
+
+
+def test_pages_are_whole():
+    text = r"\documentclass{book}\title{Much}\subtitle{More}\author{Roe}\begin{document}\mainmatter\chapter{One}\section{Two}\citet{a}\footnote{n}\begin{quotation}\subsection{In}\end{quotation}\chapter*{Star}\begin{figure}\includegraphics{f.png}\caption{Cap}\end{figure}\chapter{Last}x\footnote{\begin{itemize}\item i\end{itemize}}\end{document}"
+    pages = to_pages(read_document(text), {"a": {"agents": "Doe", "year": "2000", "full": "Doe. 2000."}})
+    for page in pages.values():
+        ElementTree.fromstring(page)
+        assert "<header><h1>Much</h1><h2>More</h2><p>Roe</p></header>" in page and page.count("<main>") == 1
+    one, notes = pages["section-001.xhtml"], pages["notes.xhtml"]
+    assert '<span class="citation-group"><a href="bibliography.xhtml#bib-0" class="citation">Doe</a> (<a href="bibliography.xhtml#bib-0" class="citation">2000</a>)</span>' in one and 'id="bib-0"' in pages["bibliography.xhtml"]
+    assert '<h5 id="sec-1-1-1">1.1.1 In</h5>' in one and "<figcaption>Figure 1.1: Cap</figcaption>" in pages["section-002.xhtml"]
+    assert '<section id="sec-back-unnumbered-2">' in notes and '<section id="sec-back-unnumbered-3"><h3>Chapter 1</h3><ol class="notes"><li id="notetext-1-1"><p>n <a href="section-001.xhtml#note-1-1" class="note-backref">↩</a></p></li>' in notes
+    assert '</ul><p><a href="section-003.xhtml#note-2-1" class="note-backref">↩</a></p></li>' in notes and '<section id="sec-back-unnumbered-5"><h2>Bibliography</h2>' in pages["bibliography.xhtml"]
+    assert '>1.1 Two</a>' in pages["index.xhtml"] and '<li><a href="notes.xhtml#sec-back-unnumbered-4">Chapter 2</a></li>' in pages["index.xhtml"]
