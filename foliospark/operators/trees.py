@@ -77,7 +77,7 @@ def nodes(tags: DataFrame) -> DataFrame:
     own = [c for c in tags.columns if c not in ("doc_id", "seq", "role")]
     rows = matched(tags)
     # as many tasks as made the tags, however many shuffles have by default
-    rows = rows.repartition(rows.rdd.getNumPartitions(), "doc_id")
+    rows = rows.repartition(max(1, rows.rdd.getNumPartitions()), "doc_id")
     total = F.max("n").over(Window.partitionBy("doc_id"))
     opens, whole = F.col("role") == "open", F.col("partner").isNotNull()
     rows = rows.withColumn("_total", total).withColumn("_free", opens & ~whole)
