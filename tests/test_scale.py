@@ -89,6 +89,25 @@ def test_walks_of_files_carry_no_texts(spark, monkeypatch):
     assert not any("text" in columns for columns in kept)
 
 
+def test_spliced_texts_cross_no_sort_and_rounds_are_deleted(spark):
+    from pathlib import Path
+
+    from foliospark.operators import includes
+
+    lines = [("a", i, f"t{i}", None) for i in range(4) if i != 2] + [("a", 2, None, "b"), ("b", 1, "x", None), ("b", 2, None, "a"), ("b", 5, None, "empty"), ("b", 7, "y", None)]
+    frame = spark.createDataFrame(lines, "file string, pos int, text string, include string")
+    listing = spark.createDataFrame([("a",), ("b",), ("empty",)], "file string")
+    spark.range(1).checkpoint()
+    root = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    there = set(root.glob("table-*"))
+    out = includes.spliced(includes.resolved(frame, listing), spark.createDataFrame([("a",)], "file string"))
+    got = sorted(map(tuple, out.collect()), key=lambda r: r[1])
+    assert got == [("a", i, *x) for i, x in enumerate([("a", "t0", 1, None), ("a", "t1", 1, None), ("b", "x", 2, None), ("b", None, 2, "cycle"), ("b", "y", 2, None), ("a", "t3", 1, None)], 1)]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    kept = [set(spark.read.parquet(str(p)).columns) for p in set(root.glob("table-*")) - there]
+    assert kept and not any("_open" in columns for columns in kept)
+
+
 def test_marks_braces_and_names_are_read_at_once(monkeypatch):
     from foliospark.kernels.lexer import Lexer
 
